@@ -1,0 +1,283 @@
+"""Outcome and action policy as staged projections.
+
+Each stage is one ``withColumns`` so that a value is computed once and later
+stages read it by name; nothing shuffles.  Gates are Columns, so the same code
+runs one configuration (literals) or a grid (columns of an exploded rule row).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..fixed_values import CONTROL as C
+from ..fixed_values import DEFAULT_GATES, OUTCOMES, SCORE_WEIGHTS, VALUE_WEIGHTS
+from . import labels, probs
+from .numeric import clamp, kelly, num, round_to, text
+
+Gates = dict[str, dict[str, Column]]
+
+
+def literal_gates(values=DEFAULT_GATES) -> Gates:
+    return {name: {k: F.lit(float(v)) for k, v in gate.items()} for name, gate in values.items()}
+
+
+def _component(value: Column, target: Column) -> Column:
+    return clamp(value / target, 0.0, 1.0)
+
+
+def _alignment(gap: Column, quality: Column) -> Column:
+    """Divergence from the legacy baseline only costs when data quality is poor."""
+    faded = clamp(1.0 - F.greatest(gap - 0.10, F.lit(0.0)) / 0.20, 0.0, 1.0)
+    return F.when(quality >= C["gap_quality_floor"], 1.0).otherwise(faded)
+
+
+def _weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    score = None
+    for name, weight in weights.items():
+        term = parts[name] * weight
+        score = term if score is None else score + term
+    return round_to(clamp(score, 0.0, 1.0), 4)
+
+
+def _cols(prefix: str) -> probs.Triple:
+    return {o: F.col(f"{prefix}{o}") for o in OUTCOMES}
+
+
+def market_position(df: DataFrame, p: probs.Triple) -> DataFrame:
+    """Adds the position of a forecast against the market: ``_p_*``, ``_o_*``, ``_m_*``, ``_l_*``, ``_ev_*``, ``_bias_*``."""
+    odds = probs.market_odds()
+    market = probs.effective_market(probs.triple("market"), odds)
+    legacy = probs.triple("legacy")
+    df = df.withColumns(
+        {f"_p_{o}": p[o] for o in OUTCOMES}
+        | {f"_o_{o}": odds[o] for o in OUTCOMES}
+        | {f"_m_{o}": market[o] for o in OUTCOMES}
+        | {f"_l_{o}": legacy[o] for o in OUTCOMES}
+    )
+    ev = probs.expected_values(_cols("_p_"), _cols("_o_"))
+    return df.withColumns(
+        {f"_ev_{o}": ev[o] for o in OUTCOMES} | {f"_bias_{o}": F.col(f"_p_{o}") - F.col(f"_m_{o}") for o in OUTCOMES}
+    )
+
+
+def _legacy_gap(outcome: Column) -> Column:
+    legacy = _cols("_l_")
+    gap = F.abs(probs.pick(legacy, outcome) - probs.pick(_cols("_p_"), outcome))
+    return F.when(probs.total(legacy) <= 0, 0.0).otherwise(gap)
+
+
+def outcome_policy(df: DataFrame) -> DataFrame:
+    """Direction follows the market; the value side is scored next to it.
+
+    Expects :func:`market_position`.  Adds predicted_outcome, value_outcome,
+    market_outcome, value_ev, value_bias, value_score.
+    """
+    p, ev, quality, agreement = _cols("_p_"), _cols("_ev_"), num("quality_score"), num("model_agreement")
+    df = df.withColumns(
+        {
+            "predicted_outcome": probs.argmax(p),
+            "value_outcome": probs.argmax(ev),
+            "market_outcome": probs.argmax(_cols("_m_")),
+        }
+    )
+    v = F.col("value_outcome")
+    draw = v == "draw"
+    value_ev, value_bias = probs.pick(ev, v), probs.pick(_cols("_bias_"), v)
+    parts = {
+        "ev": _component(value_ev, F.when(draw, 0.08).otherwise(0.12)),
+        "market_bias": _component(value_bias, F.lit(0.05)),
+        "probability": _component(probs.pick(p, v), F.when(draw, 0.28).otherwise(0.36)),
+        "ev_margin": _component(probs.margin_of(ev, v), F.lit(0.10)),
+        "probability_margin": clamp((probs.margin_of(p, v) + 0.10) / 0.20, 0.0, 1.0),
+        "legacy_alignment": _alignment(_legacy_gap(v), quality),
+        "quality": _component(quality, F.lit(0.82)),
+        "agreement": _component(agreement, F.lit(0.86)),
+    }
+    return df.withColumns(
+        {"value_ev": value_ev, "value_bias": value_bias, "value_score": _weighted(parts, VALUE_WEIGHTS)}
+    )
+
+
+def selection(df: DataFrame, selected: Column | None = None) -> DataFrame:
+    """Evidence of one chosen outcome (best EV unless given), independent of any gate."""
+    p, ev = _cols("_p_"), _cols("_ev_")
+    best = probs.argmax(ev)
+    if selected is not None:
+        best = F.when(selected.isin(*OUTCOMES), selected).otherwise(best)
+    df = df.withColumn("policy_outcome", best)
+    o = F.col("policy_outcome")
+    quality, agreement = num("quality_score"), num("model_agreement")
+    df = df.withColumns(
+        {
+            "policy_ev": probs.pick(ev, o),
+            "policy_bias": probs.pick(_cols("_bias_"), o),
+            "_prob": probs.pick(p, o),
+            "_odds": probs.pick(_cols("_o_"), o),
+            "_ev_margin": probs.margin_of(ev, o),
+            "_p_margin": probs.margin_of(p, o),
+            "_gap": _legacy_gap(o),
+            "_quality": quality,
+            "_agreement": agreement,
+            "policy_confidence": clamp(
+                F.lit(0.30) + quality * 0.34 + agreement * 0.26 + probs.margin(p) * 0.14, 0.18, 0.92
+            ),
+        }
+    )
+    return df.withColumns(
+        {
+            "_kelly": kelly(F.col("_prob"), F.col("_odds")),
+            "favourite_guard": o.isin("home", "away")
+            & (F.col("_odds") > 0)
+            & (F.col("_odds") <= C["favourite_odds"])
+            & (quality >= C["favourite_quality"])
+            & (agreement >= C["favourite_agreement"])
+            & (F.col("_prob") >= C["favourite_probability"]),
+        }
+    )
+
+
+def evidence_score(gates: Gates) -> Column:
+    main, light = gates["main"], gates["light"]
+    floor = F.lit(0.001)
+    parts = {
+        "ev": _component(F.col("policy_ev"), F.greatest(main["ev"], floor)),
+        "confidence": _component(
+            F.col("policy_confidence") - light["confidence"], F.greatest(main["confidence"] - light["confidence"], floor)
+        ),
+        "quality": _component(F.col("_quality") - light["quality"], F.greatest(main["quality"] - light["quality"], floor)),
+        "market_bias": _component(F.col("policy_bias"), F.greatest(main["market_bias"], floor)),
+        "ev_margin": _component(F.col("_ev_margin"), F.lit(0.08)),
+        "agreement": _component(F.col("_agreement") - 0.56, F.lit(0.28)),
+        "legacy_alignment": _alignment(F.col("_gap"), F.col("_quality")),
+        "probability": _component(F.col("_prob") - 0.18, F.lit(0.18)),
+    }
+    return _weighted(parts, SCORE_WEIGHTS)
+
+
+def _edge(prefix: str) -> Column:
+    """Per-outcome execution guard: a much cleaner edge than the general gates."""
+    return (
+        (F.col("policy_ev") >= C[f"{prefix}_ev"])
+        & (F.col("policy_bias") >= C[f"{prefix}_bias"])
+        & (F.col("_ev_margin") >= C[f"{prefix}_ev_margin"])
+        & (F.col("_p_margin") >= C[f"{prefix}_probability_margin"])
+        & (F.col("policy_score") >= C[f"{prefix}_score"])
+    )
+
+
+def _execution_guards() -> tuple[Column, Column]:
+    o, odds, favourite = F.col("policy_outcome"), F.col("_odds"), F.col("favourite_guard")
+    draw = (odds <= C["draw_odds"]) & _edge("draw")
+    away = (odds <= C["away_odds"]) & _edge("away")
+    home_guarded = (o == "home") & (odds > C["home_soft_odds"]) & ~favourite
+    light = (
+        F.when(o == "draw", draw).when((o == "away") & ~favourite, away).when(home_guarded, _edge("home"))
+        .otherwise(F.lit(True))
+    )
+    main = (
+        F.when(o == "draw", F.lit(False)).when((o == "away") & ~favourite, away).when(home_guarded, _edge("home"))
+        .otherwise(F.lit(True))
+    )
+    return light, main
+
+
+def _passes(level: str, gate: dict[str, Column]) -> Column:
+    cap = F.when(F.col("_quality") >= C["gap_quality_floor"], F.lit(True)).otherwise(
+        F.col("_gap") <= C[f"{level}_gap_cap"]
+    )
+    return (
+        (F.col("policy_ev") >= gate["ev"])
+        & (F.col("policy_bias") >= gate["market_bias"])
+        & (F.col("policy_confidence") >= gate["confidence"])
+        & (F.col("_quality") >= gate["quality"])
+        & (F.col("_ev_margin") >= C[f"{level}_ev_margin"])
+        & (F.col("_prob") >= C[f"{level}_probability"])
+        & (F.col("_p_margin") >= C[f"{level}_probability_margin"])
+        & (F.col("_agreement") >= C[f"{level}_agreement"])
+        & cap
+        & (F.col("policy_score") >= C[f"{level}_score"])
+    )
+
+
+def stake(action: Column, confidence: Column) -> Column:
+    """Quarter-Kelly stake in percent, tilted by evidence; EV-based when Kelly is 0."""
+    blend = clamp(
+        F.lit(0.55)
+        + (confidence - 0.55) * 0.45
+        + (F.col("policy_score") - 0.55) * 0.40
+        + (F.col("_agreement") - 0.65) * 0.25
+        + (F.col("_quality") - 0.65) * 0.20,
+        0.40,
+        1.30,
+    )
+    fade = F.when(
+        (F.col("_quality") < C["gap_quality_floor"]) & (F.col("_gap") > 0.10),
+        clamp(1.0 - (F.col("_gap") - 0.10) * 1.6, 0.55, 1.0),
+    ).otherwise(1.0)
+    pct = F.col("_kelly") * 0.25 * 100.0 * blend * fade
+    fallback = F.greatest(F.col("policy_ev"), F.lit(0.0)) * confidence
+    has_kelly = F.col("_kelly") > 0
+    main = F.when(has_kelly, clamp(pct, 0.5, 4.0)).otherwise(clamp(fallback * 12.0, 0.5, 4.0))
+    light = F.when(has_kelly, clamp(pct, 0.2, 1.5)).otherwise(clamp(fallback * 6.0, 0.2, 1.5))
+    return F.when(action == "main", round_to(main, 2)).when(action == "light", round_to(light, 2)).otherwise(0.0)
+
+
+def gated_action(df: DataFrame, gates: Gates) -> DataFrame:
+    """Adds policy_score, policy_action and policy_stake for the given gates."""
+    df = df.withColumn("policy_score", evidence_score(gates))
+    light_guard, main_guard = _execution_guards()
+    df = df.withColumn("_light", _passes("light", gates["light"]) & light_guard)
+    rescued = F.col("favourite_guard") & ~F.col("_light")
+    main = F.when(rescued, F.col("policy_score") >= C["favourite_main_score"]).otherwise(
+        F.col("_light") & _passes("main", gates["main"]) & main_guard
+    )
+    df = df.withColumn(
+        "policy_action", F.when(main, "main").when(F.col("_light") | rescued, "light").otherwise("watch")
+    )
+    return df.withColumn("policy_stake", stake(F.col("policy_action"), F.col("policy_confidence"))).drop("_light")
+
+
+def action_policy(
+    df: DataFrame, p: probs.Triple, gates: Gates | None = None, selected: Column | None = None
+) -> DataFrame:
+    """Market position, chosen outcome, gates and stake in one pass."""
+    staged = selection(market_position(df, p), selected)
+    return gated_action(staged, gates or literal_gates())
+
+
+def drop_working(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def stored_probabilities() -> probs.Triple:
+    """Calibrated probabilities when stored, else the final ones."""
+    calibrated, final = probs.triple("calibrated"), probs.triple("final")
+    use = probs.total(calibrated) > 0.01
+    return {o: F.when(use, calibrated[o]).otherwise(final[o]) for o in OUTCOMES}
+
+
+def review_gate(action: Column, favourite: Column) -> Column:
+    """Stored review and arbiter decisions may only lower an action."""
+    manual_open = text("manual_review_status").isin("pending", "expired", "superseded")
+    status, decision = text("review_status"), text("review_decision")
+    target = labels.action_label("review_target_action")
+    arb_status, arb_decision = text("arbiter_status"), text("arbiter_decision")
+    arb_target = labels.action_label("arbiter_target_action")
+    completed = status == "completed"
+    vetoed = (status == "failed") | (
+        completed & ((decision == "reject") | ((decision == "abstain") & ~favourite))
+    )
+    lowered = labels.step_down(action, target)
+    by_review = completed & (decision == "downgrade") & (lowered != action)
+    arb_vetoed = (arb_status == "failed") | (
+        (arb_status == "completed") & arb_decision.isin("skip", "manual_review")
+    )
+    by_arbiter = (arb_status == "completed") & (arb_decision == "downgrade")
+    return (
+        F.when((action == "watch") | manual_open | vetoed, "watch")
+        .when(by_review, lowered)
+        .when(arb_vetoed, "watch")
+        .when(by_arbiter, labels.step_down(action, arb_target))
+        .otherwise(action)
+    )

@@ -1,0 +1,32 @@
+"""Broadcast decisions with a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+AXIS_ROWS = 100_000
+
+
+def bounded_side(df: DataFrame, max_rows: int = AXIS_ROWS) -> tuple[DataFrame, bool]:
+    """Materialise a side that is expected to be tiny, if it really is.
+
+    At most ``max_rows + 1`` rows reach the driver.  Within the bound the rows
+    come back as a local relation marked for broadcast; beyond it the original
+    plan comes back unmarked and the caller joins by shuffle.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), True
+
+
+def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = AXIS_ROWS) -> DataFrame:
+    """Join a per-axis side (periods, folds) back to rows.
+
+    The key is low-cardinality and may be badly skewed, so the preferred plan
+    is a broadcast.  A side too big for that has by definition many keys; AQE
+    splits whichever of them is still hot.
+    """
+    small, _ = bounded_side(side, max_rows)
+    return df.join(small, on, how)
