@@ -257,13 +257,24 @@ def stored_probabilities() -> probs.Triple:
     return {o: F.when(use, calibrated[o]).otherwise(final[o]) for o in OUTCOMES}
 
 
+def review_targets(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {
+            "_review_target": labels.action_label("review_target_action"),
+            "_arbiter_target": labels.action_label("arbiter_target_action"),
+        }
+    )
+
+
 def review_gate(action: Column, favourite: Column) -> Column:
-    """Stored review and arbiter decisions may only lower an action."""
+    """Stored review and arbiter decisions may only lower an action.
+
+    Expects :func:`review_targets`.
+    """
     manual_open = text("manual_review_status").isin("pending", "expired", "superseded")
     status, decision = text("review_status"), text("review_decision")
-    target = labels.action_label("review_target_action")
+    target, arb_target = F.col("_review_target"), F.col("_arbiter_target")
     arb_status, arb_decision = text("arbiter_status"), text("arbiter_decision")
-    arb_target = labels.action_label("arbiter_target_action")
     completed = status == "completed"
     vetoed = (status == "failed") | (
         completed & ((decision == "reject") | ((decision == "abstain") & ~favourite))

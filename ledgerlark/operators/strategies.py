@@ -309,6 +309,21 @@ def _layers() -> list[tuple[str, Callable[[], Column]]]:
     ]
 
 
+# Strategies by depth: a stage only reads picks of earlier stages.
+STAGES = (
+    ("base",),
+    ("league_guarded", "selective", "coverage_push", "coverage_stable"),
+    ("selective_league_guarded", "coverage_refined"),
+    ("strict", "coverage_value_guarded"),
+    ("deep", "coverage_xg_guarded"),
+    ("refined",),
+    ("hardened",),
+    ("polished",),
+    ("steady",),
+    ("precise", "broad", "cautious", "ultra"),
+    ("rescue",),
+    ("clean",),
+)
 FLAG_LAYERS = ("rescue", "broad", "cautious", "ultra")
 
 
@@ -321,9 +336,10 @@ def raised_flags() -> Column:
 def row_picks(df: DataFrame, upto: str | None = None) -> DataFrame:
     """Adds ``pick_<strategy>`` for every row-local strategy (or the chain up to one)."""
     df = signals(df)
-    for name, build in _layers():
-        df = df.withColumn(PREFIX + name, build())
-        if name == upto:
+    layers = dict(_layers())
+    for stage in STAGES:
+        df = df.withColumns({PREFIX + name: layers[name]() for name in stage})
+        if upto in stage:
             return df
     for name, build in _EXTENSIONS.items():
         df = df.withColumn(PREFIX + name, build())
@@ -379,10 +395,11 @@ def with_draw_rescue(df: DataFrame) -> DataFrame:
         "_cand", F.when(~F.col("_kept"), ranked_candidate())
     )
     df = df.withColumn("_cand", F.when(F.col("_cand.score") > 0, F.col("_cand")))
+    # A filter here would be pushed below the layers and inline all of them, so the
+    # bound is part of the aggregate.
+    entry = F.when(F.col("_cand.score") >= 2.0, F.struct("_cand.score", "feedback_id", "match_id"))
     winners = (
-        df.filter(F.col("_cand.score") >= 2.0)
-        .groupBy("period")
-        .agg(F.max(F.struct("_cand.score", "feedback_id", "match_id")).alias("_w"))
+        df.groupBy("period").agg(F.max(entry).alias("_w")).filter("_w is not null")
         .select("period", F.col("_w.match_id").alias("_winner"))
     )
     df = attach(df, winners, ["period"])
@@ -438,23 +455,42 @@ def variant_rows(df: DataFrame, keys: list[str], variants=None) -> DataFrame:
     return rows.select(*keys, "variant", "pick", *[c.alias(n) for n, c in settle_pick(F.col("pick")).items()])
 
 
-def actions_of(df: DataFrame, strategy: str) -> DataFrame:
-    """The acted rows of one strategy with the fields its reports group by."""
-    facts = settle_pick(picked(strategy))
-    acted = df.filter(part(strategy, "outcome") != "")
-    return acted.withColumns(
-        {
-            "outcome": part(strategy, "outcome"),
-            "tier": part(strategy, "tier"),
-            "reason": part(strategy, "reason"),
-            "stake_pct": part(strategy, "stake"),
-            "action": F.when(part(strategy, "tier") == "core", "main").otherwise("light"),
-            "hit": facts["hit"],
-            "roi": facts["roi"],
-            "stake_units": facts["stake_units"],
-            "pick_odds": facts["odds"],
-            "odds_band": labels.odds_band(facts["odds"]),
-            "confidence_band": labels.confidence_band(num("confidence_score")),
-            "score_alignment": labels.score_alignment(part(strategy, "outcome"), F.col("s_direction")),
-        }
-    )
+def actions_of(
+    df: DataFrame, strategy: str, where: Column | None = None, extra: dict[str, Column] | None = None,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """The acted rows of one strategy with the fields its reports group by.
+
+    The fields leave through a one-element generator: a filter on a generated
+    column stays above it, while a filter on a layered pick would be pushed
+    through a dozen projections and inline every layer into itself.
+    """
+    pick = picked(strategy)
+    facts = settle_pick(pick)
+    acted = pick["outcome"] != ""
+    fields = {
+        "keep": acted if where is None else acted & where,
+        "outcome": pick["outcome"],
+        "tier": pick["tier"],
+        "reason": pick["reason"],
+        "stake_pct": pick["stake"],
+        "action": F.when(pick["tier"] == "core", "main").otherwise("light"),
+        "hit": facts["hit"],
+        "roi": facts["roi"],
+        "stake_units": facts["stake_units"],
+        "pick_odds": facts["odds"],
+        "odds_band": labels.odds_band(facts["odds"]),
+        "confidence_band": labels.confidence_band(num("confidence_score")),
+        "score_alignment": labels.score_alignment(pick["outcome"], F.col("s_direction")),
+        **(extra or {}),
+    }
+    kept = carry or REPORT_COLUMNS
+    entry = F.struct(*[c.alias(n) for n, c in fields.items()])
+    rows = df.select(*kept, F.explode(F.array(entry)).alias("e")).filter(F.col("e.keep"))
+    return rows.select(*kept, *[F.col(f"e.{n}").alias(n) for n in fields if n != "keep"])
+
+
+REPORT_COLUMNS = [
+    "match_id", "feedback_id", "period", "league", "home_team", "away_team", "actual_result", "predicted_score",
+    "market_home_prob", "market_draw_prob", "market_away_prob", "confidence_score", "quality_score",
+]

@@ -78,6 +78,9 @@ WIDE = {
     "final_home_prob": "CAST(fh AS DOUBLE) / fs",
     "final_draw_prob": "CAST(fd AS DOUBLE) / fs",
     "final_away_prob": "CAST(fa AS DOUBLE) / fs",
+    "calibrated_home_prob": "CASE WHEN k % 4 = 0 THEN CAST(fh + 3 AS DOUBLE) / (fs + 3) ELSE 0e0 END",
+    "calibrated_draw_prob": "CASE WHEN k % 4 = 0 THEN CAST(fd AS DOUBLE) / (fs + 3) ELSE 0e0 END",
+    "calibrated_away_prob": "CASE WHEN k % 4 = 0 THEN CAST(fa AS DOUBLE) / (fs + 3) ELSE 0e0 END",
     "ev_home": "CAST(fh AS DOUBLE) / fs * market_odds_home - 1e0",
     "ev_draw": "CAST(fd AS DOUBLE) / fs * market_odds_draw - 1e0",
     "ev_away": "CAST(fa AS DOUBLE) / fs * market_odds_away - 1e0",
@@ -166,3 +169,82 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_cte() -> str:
     """The same view as a DuckDB CTE named ``wide``."""
     return "wide AS (" + wide_sql("duckdb").replace("{orders}", "orders").replace("{customer}", "customer") + ")"
+
+
+# --- further views; templates refer to other views and driver tables in braces ---
+
+_RUN_ID = "(l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 7919 + l_suppkey) % 1000003"
+_OWN = {"run_id", "created_at", "recommended_outcome", "suggested_stake_pct", "handicap_recommended_side", "feedback_id", "match_id"}
+_SHARED = ", ".join(f"w.{c}" for c in WIDE if c not in _OWN)
+VIEWS = {
+    # several forecasts per match, made before and after kickoff
+    "runs": f"""SELECT {_RUN_ID} AS run_id, l_orderkey AS match_id,
+        CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE l_shipdate END AS created_at,
+        CASE l_partkey % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS recommended_outcome,
+        1e0 + l_linenumber % 3 AS suggested_stake_pct,
+        CASE l_partkey % 2 WHEN 0 THEN 'home' ELSE 'away' END AS handicap_recommended_side, {_SHARED}
+        FROM {{lineitem}} l JOIN {{wide}} w ON l.l_orderkey = w.match_id""",
+    "matches": """SELECT match_id, period, league, home_team, away_team,
+        CAST(match_id * 7 % 1000 AS {string}) AS match_no,
+        CASE WHEN match_id % 97 = 0 THEN NULL ELSE match_time END AS match_time,
+        CASE WHEN match_id % 11 = 0 OR match_id % 5 = 1 THEN actual_result ELSE '' END AS actual_result,
+        CASE WHEN match_id % 22 = 0 THEN '' WHEN match_id % 11 = 0 OR match_id % 5 = 1 THEN actual_score ELSE '' END AS actual_score,
+        CASE WHEN match_id % 11 = 0 THEN 'manual_override' WHEN match_id % 5 = 1 THEN 'settled' ELSE '' END AS result_status,
+        CASE WHEN match_id % 33 = 0 THEN '' WHEN match_id % 11 = 0 THEN 'src' ELSE '' END AS result_source_url
+        FROM {wide}""",
+    "fetched": """SELECT match_id, CASE WHEN match_id % 55 = 0 THEN 'home' ELSE actual_result END AS actual_result, actual_score,
+        'src' AS result_source_url FROM {wide} WHERE match_id % 5 <> 0 OR match_id % 55 = 0""",
+    "feedback": """SELECT run_id * 2 + 1 AS feedback_id, run_id, match_id, period, actual_result, actual_score, match_time AS settled_at,
+        CAST(recommended_outcome = actual_result AS INT) AS hit_recommendation, -0.01e0 * (1 + match_id % 3) AS roi_delta,
+        CASE match_id % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' ELSE 'push' END AS handicap_actual_result,
+        CAST(match_id % 2 AS INT) AS handicap_hit, 0.01e0 * (match_id % 4) AS handicap_roi_delta,
+        CASE WHEN match_id % 8 = 0 THEN 'manual_override' ELSE 'auto' END AS roi_source,
+        CASE WHEN match_id % 6 = 0 THEN 'checked' ELSE '' END AS notes
+        FROM {runs} WHERE match_id % 4 = 0 AND run_id % 2 = 0""",
+    "snapshots": """SELECT l_orderkey AS match_id, l_partkey AS snapshot_id, l_shipdate AS snapshot_at, l_quantity AS home_rating,
+        l_discount AS h2h FROM {lineitem}""",
+}
+STRING = {"spark": "STRING", "duckdb": "VARCHAR"}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
+def _needs(template: str) -> list[str]:
+    return [n for n in (*VIEWS, "wide", *TABLES) if "{" + n + "}" in template]
+
+
+def view(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """A DataFrame from a template over views and driver tables."""
+    text = template.replace("{string}", STRING["spark"])
+    return spark.sql(text, **{n: load(spark, sf_dir, n) for n in _needs(template)})
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "wide":
+        return wide(spark, sf_dir)
+    return view(spark, sf_dir, VIEWS[name]) if name in VIEWS else table(spark, sf_dir, name)
+
+
+def ctes(*names: str) -> list[str]:
+    """The named views and what they need as DuckDB CTEs, in order."""
+    out: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        if name in out or name in TABLES:
+            return
+        if name == "wide":
+            out[name] = wide_cte()
+            return
+        for need in _needs(VIEWS[name]):
+            add(need)
+        out[name] = f"{name} AS ({plain(VIEWS[name])})"
+
+    for name in names:
+        add(name)
+    return list(out.values())
+
+
+def plain(template: str) -> str:
+    text = template.replace("{string}", STRING["duckdb"])
+    for name in _needs(template):
+        text = text.replace("{" + name + "}", name)
+    return text
