@@ -49,7 +49,7 @@ def asof_running(
     one hot key spreads over many tasks: a running maximum inside the bucket,
     and a carried maximum from earlier buckets computed on one row per (key, bucket).
     """
-    bucket = F.floor(F.unix_micros(F.col(ts)) / F.lit(width_seconds * 1_000_000)).alias("_b")
+    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width_seconds * 1_000_000)).alias("_b")
     marks = right.select(key, ts, F.col(value).alias("_v"), F.lit(None).cast("long").alias("_id"), F.lit(0).alias("_side"), bucket)
     asks = left.select(key, ts, F.lit(None).cast("long").alias("_v"), F.col(left_id).alias("_id"), F.lit(1).alias("_side"), bucket)
     both = marks.unionByName(asks)

@@ -507,9 +507,9 @@ def duplicate_keys(spark, sf_dir):
     return audit.duplicates(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("orphan_rows", sql("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40)"))
+@query("orphan_rows", sql("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 48 AND l_returnflag = 'R')"))
 def orphan_rows(spark, sf_dir):
-    parent = load(spark, sf_dir, "lineitem").filter("l_linenumber = 7 and l_quantity > 40").select(F.col("l_suppkey").alias("s_suppkey"))
+    parent = load(spark, sf_dir, "lineitem").filter("l_linenumber = 7 and l_quantity > 48 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
     return joins.orphans(load(spark, sf_dir, "supplier"), parent, "s_suppkey").select("s_suppkey", "s_nationkey")
 
 
