@@ -207,3 +207,24 @@ LINEUP_PLACEHOLDERS = (
     "未在公开来源中命中预计首发", "未在公开来源中命中明确伤停", "外部公开来源补采未命中",
     "伤停/阵容补采失败", "页面含预计阵容模块", "当前页面未列出明确伤停名单",
 )
+
+# --- fixed values: escalation thresholds ------------------------------------
+ESCALATION = {"model_gap": 0.10, "low_quality": 0.68, "high_ev": 0.12, "high_bias": 0.08, "trusted_quality": 0.78}
+
+# --- fixed values: currency factors and unit words --------------------------
+EUR_PER = {"£": 1.17, "gbp": 1.17, "$": 0.92, "usd": 0.92}
+UNIT_TO_MILLION = {"bn": 1000.0, "b": 1000.0, "billion": 1000.0, "k": 0.001, "th": 0.001, "thousand": 0.001}
+PRICE_PATTERN = r"(?i)(€|EUR|£|GBP|\$|USD)\s*([0-9]+(?:[.,][0-9]+)?)\s*(bn|b|billion|m|mil|million|k|th|thousand)?"
+
+# --- fixed values: page groups in display order -----------------------------
+# (group, host contains, path contains)
+PAGE_GROUPS = (
+    ("match-list", "trade.500.com", "/sfc/"),
+    ("dim12-data", "odds.500.com", "shuju-"),
+    ("dim3-odds", "odds.500.com", "ouzhi-"),
+    ("dim3-heat", "odds.500.com", "touzhu-"),
+    ("dim1-strength", "liansai.500.com", "jifen-"),
+    ("dim2-lineup", "flashscore", ""),
+    ("dim2-lineup", "soccerway.com", ""),
+    ("dim2-lineup", "livescore.com", ""),
+)

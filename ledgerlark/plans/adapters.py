@@ -247,4 +247,4 @@ def plain(template: str) -> str:
     text = template.replace("{string}", STRING["duckdb"])
     for name in _needs(template):
         text = text.replace("{" + name + "}", name)
-    return text
+    return text.replace("{{", "{").replace("}}", "}")
