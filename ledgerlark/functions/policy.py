@@ -155,34 +155,37 @@ def evidence_score(gates: Gates) -> Column:
     return _weighted(parts, SCORE_WEIGHTS)
 
 
-def _edge(prefix: str) -> Column:
+def _edge(prefix: str, scored: bool = True) -> Column:
     """Per-outcome execution guard: a much cleaner edge than the general gates."""
+    reached = (F.col("policy_score") >= C[f"{prefix}_score"]) if scored else F.lit(True)
     return (
-        (F.col("policy_ev") >= C[f"{prefix}_ev"])
+        reached
+        & (F.col("policy_ev") >= C[f"{prefix}_ev"])
         & (F.col("policy_bias") >= C[f"{prefix}_bias"])
         & (F.col("_ev_margin") >= C[f"{prefix}_ev_margin"])
         & (F.col("_p_margin") >= C[f"{prefix}_probability_margin"])
-        & (F.col("policy_score") >= C[f"{prefix}_score"])
     )
 
 
-def _execution_guards() -> tuple[Column, Column]:
+def _execution_guards(scored: bool = True) -> tuple[Column, Column]:
+    """Guards of a light and of a main action; unscored, the part no gate can change."""
     o, odds, favourite = F.col("policy_outcome"), F.col("_odds"), F.col("favourite_guard")
-    draw = (odds <= C["draw_odds"]) & _edge("draw")
-    away = (odds <= C["away_odds"]) & _edge("away")
+    draw = (odds <= C["draw_odds"]) & _edge("draw", scored)
+    away = (odds <= C["away_odds"]) & _edge("away", scored)
+    home = _edge("home", scored)
     home_guarded = (o == "home") & (odds > C["home_soft_odds"]) & ~favourite
     light = (
-        F.when(o == "draw", draw).when((o == "away") & ~favourite, away).when(home_guarded, _edge("home"))
+        F.when(o == "draw", draw).when((o == "away") & ~favourite, away).when(home_guarded, home)
         .otherwise(F.lit(True))
     )
     main = (
-        F.when(o == "draw", F.lit(False)).when((o == "away") & ~favourite, away).when(home_guarded, _edge("home"))
+        F.when(o == "draw", F.lit(False)).when((o == "away") & ~favourite, away).when(home_guarded, home)
         .otherwise(F.lit(True))
     )
     return light, main
 
 
-def _passes(level: str, gate: dict[str, Column]) -> Column:
+def _passes(level: str, gate: dict[str, Column], scored: bool = True) -> Column:
     cap = F.when(F.col("_quality") >= C["gap_quality_floor"], F.lit(True)).otherwise(
         F.col("_gap") <= C[f"{level}_gap_cap"]
     )
@@ -196,10 +199,16 @@ def _passes(level: str, gate: dict[str, Column]) -> Column:
         & (F.col("_p_margin") >= C[f"{level}_probability_margin"])
         & (F.col("_agreement") >= C[f"{level}_agreement"])
         & cap
-        & (F.col("policy_score") >= C[f"{level}_score"])
+        & ((F.col("policy_score") >= C[f"{level}_score"]) if scored else F.lit(True))
     )
 
 
+def can_act(loosest: dict[str, Column]) -> Column:
+    """Could any gate configuration with these loosest light gates act on the row?"""
+    guard, _ = _execution_guards(scored=False)
+    return F.col("favourite_guard") | (_passes("light", loosest, scored=False) & guard)
+
+
 def stake(action: Column, confidence: Column) -> Column:
     """Quarter-Kelly stake in percent, tilted by evidence; EV-based when Kelly is 0."""
     blend = clamp(

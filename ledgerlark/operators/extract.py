@@ -465,7 +465,7 @@ def review_payload(df: DataFrame, raw: str, action: str) -> DataFrame:
     decided = F.when(F.col("_u"), rule(0)).otherwise(d)
     target = F.when(
         F.col("_u"),
-        F.when(rule(0) == "downgrade", labels.level_action(F.greatest(labels.action_level(now) - 1, F.lit(0))))
+        F.when(rule(0) == "downgrade", labels.step_down(now, F.lit("watch")))
         .when(rule(0) == "abstain", "watch").otherwise(now),
     ).otherwise(legacy_target)
     error = (

@@ -540,10 +540,8 @@ def gate_candidates(rows: DataFrame) -> DataFrame:
     staged = policy.outcome_policy(policy.market_position(rows, probs.normalise(probs.triple("final"), V.EPSILON)))
     staged = policy.selection(staged, F.col("market_outcome"))
     g = V.GATE_GRID
-    reachable = F.col("favourite_guard") | (
-        (F.col("policy_ev") >= min(g["light_ev"])) & (F.col("policy_bias") >= min(g["light_market_bias"]))
-        & (F.col("policy_confidence") >= min(g["light_confidence"]))
-    )
+    loosest = {k: F.lit(min(g[f"light_{k}"])) for k in ("ev", "confidence", "market_bias")}
+    reachable = policy.can_act(loosest | {"quality": F.lit(V.BASE_GATES["light"]["quality"])})
     keep = [
         "is_validation", "actual_result", "policy_outcome", "policy_ev", "policy_bias", "_prob", "_odds", "_ev_margin",
         "_p_margin", "_gap", "_quality", "_agreement", "policy_confidence", "_kelly", "favourite_guard",
@@ -606,35 +604,36 @@ def gate_search(rows: DataFrame) -> DataFrame:
         F.col("_s_plain").alias("f_stake"), roi(F.col("_s_plain")).alias("f_roi"),
         F.col("_s_promoted").alias("p_stake"), roi(F.col("_s_promoted")).alias("p_roi"),
     )
-    flags = (("train", ~val), ("validation", val))
-    base = df.groupBy("gate_id").agg(*[
-        agg.alias(f"{split}_{k}") for split, flag in flags for k, agg in (
-            ("algo_actions", F.count_if(flag & (F.col("a_stake") > 0))),
-            ("algo_roi", F.sum(F.when(flag, F.col("a_roi")).otherwise(0.0))),
-            ("final_actions", F.count_if(flag & (F.col("f_stake") > 0))),
-            ("final_roi", F.sum(F.when(flag, F.col("f_roi")).otherwise(0.0))),
-        )
-    ])
+    # One pass for both grids: promote position -1 carries the row's plain facts, the others
+    # what a promotion under that position changes.
     pgrid = _gate_positions(PROMOTE_NAMES)
     passing = F.filter(
         F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(x)).alias(n) for n, x in zip("ecb", combo)]) for i, combo in enumerate(pgrid)]),
         lambda g: (F.col("policy_ev") >= g["e"]) & (F.col("policy_confidence") >= g["c"]) & (F.col("policy_bias") >= g["b"]),
     )
-    entry = F.when(F.col("can"), passing)
-    gained = df.select("*", F.explode(entry).alias("p")).groupBy("gate_id", F.col("p.i").alias("promote_id")).agg(*[
-        agg.alias(f"{split}_{k}") for split, flag in flags for k, agg in (
-            ("d_actions", F.sum(F.when(flag, (F.col("p_stake") > 0).cast("int") - (F.col("f_stake") > 0).cast("int")).otherwise(0))),
-            ("d_roi", F.sum(F.when(flag, F.col("p_roi") - F.col("f_roi")).otherwise(0.0))),
-        )
+    none = F.array(F.lit(-1))
+    positions = F.when(F.col("can"), F.concat(none, F.transform(passing, lambda g: g["i"]))).otherwise(none)
+    flags = (("train", ~val), ("validation", val))
+    plain_row = F.col("p") == -1
+    facts = {
+        "algo_actions": F.when(plain_row & (F.col("a_stake") > 0), 1).otherwise(0),
+        "algo_roi": F.when(plain_row, F.col("a_roi")).otherwise(0.0),
+        "final_actions": F.when(plain_row, (F.col("f_stake") > 0).cast("int")).otherwise(
+            (F.col("p_stake") > 0).cast("int") - (F.col("f_stake") > 0).cast("int")
+        ),
+        "final_roi": F.when(plain_row, F.col("f_roi")).otherwise(F.col("p_roi") - F.col("f_roi")),
+    }
+    agg = df.select("*", F.explode(positions).alias("p")).groupBy("gate_id", F.col("p").alias("promote_id")).agg(*[
+        F.sum(F.when(flag, fact).otherwise(0)).alias(f"{split}_{k}") for split, flag in flags for k, fact in facts.items()
     ])
-    all_ids = base.withColumn("promote_id", F.explode(F.sequence(F.lit(0), F.lit(len(pgrid) - 1))))
-    j = all_ids.join(gained, ["gate_id", "promote_id"], "left")
-    out = {}
-    for split in ("train", "validation"):
-        out[f"{split}_final_actions"] = F.col(f"{split}_final_actions") + F.coalesce(f"{split}_d_actions", F.lit(0))
-        out[f"{split}_final_roi"] = round_to(F.col(f"{split}_final_roi") + F.coalesce(f"{split}_d_roi", F.lit(0.0)), 4)
-        out[f"{split}_algo_roi"] = round_to(F.col(f"{split}_algo_roi"), 4)
-    return j.withColumns(out).drop(*[f"{s}_d_{c}" for s in ("train", "validation") for c in ("actions", "roi")])
+    # At most 729 x 28 rows whatever the data size.
+    cells, _ = bounded_side(agg, 729 * 28)
+    names = [f"{split}_{k}" for split, _ in flags for k in facts]
+    base = cells.filter("promote_id = -1").withColumn("promote_id", F.explode(F.sequence(F.lit(0), F.lit(len(pgrid) - 1))))
+    total = base.unionByName(cells.filter("promote_id >= 0")).groupBy("gate_id", "promote_id").agg(
+        *[F.sum(n).alias(n) for n in names]
+    )
+    return total.withColumns({n: round_to(n, 4) for n in names if n.endswith("roi")})
 
 
 def _base_position(names: tuple[str, ...]) -> int:

@@ -159,11 +159,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give an input of fewer splits than cores one partition per core.
+
+    A lone small file is one split, and everything up to the next shuffle would
+    run in one task.  Inputs that already have enough splits are left alone, so
+    this adds no shuffle to a large scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settled, joined row every analytic starts from."""
-    return spark.sql(
-        wide_sql("spark"), orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer")
-    )
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return spark.sql(wide_sql("spark"), orders=orders, customer=table(spark, sf_dir, "customer"))
 
 
 def wide_cte() -> str:

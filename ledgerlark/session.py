@@ -16,6 +16,11 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Wide projections compile to methods the JIT refuses above 8000 bytecodes; past that
+        # size Spark's per-operator path, which splits expressions, is the faster one.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Capturing a call site per Column call doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
