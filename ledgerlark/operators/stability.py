@@ -98,12 +98,24 @@ def rolling_report(frame: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
-def comparison(frame: DataFrame) -> DataFrame:
-    """The strategy table: role, totals, latest 10, rolling minimum."""
-    s = summary(frame)
-    roll = rolling_report(frame).select("variant", "min_hit_rate", "min_roi_on_stake")
+def comparison(frame: DataFrame, width: int = 10) -> DataFrame:
+    """The strategy table: role, totals, latest 10, rolling minimum.
+
+    Totals and windows come from one ranked frame, so the fixtures behind it
+    are scanned once.
+    """
+    r = ranked(frame)
+    span = Window.partitionBy("variant").orderBy("rank").rowsBetween(-(width - 1), 0)
+    r = r.withColumns({f"w_{c}": F.sum(c).over(span) for c in ("actions", "hits", "roi", "stake")})
+    whole = F.col("rank") >= width
+    latest = F.col("rank") > F.col("periods") - 10
+    s = r.groupBy("variant").agg(
+        *_sums(), *_sums(latest, "latest10_"),
+        F.min(F.when(whole, round_to(ratio("w_hits", "w_actions"), 6))).alias("min_hit_rate"),
+        F.min(F.when(whole, round_to(ratio("w_roi", "w_stake"), 6))).alias("min_roi_on_stake"),
+    )
     role = F.create_map(*[F.lit(x) for kv in VARIANT_ROLES.items() for x in kv])
-    return s.join(roll, "variant", "left").select(
+    return s.select(
         "variant",
         F.coalesce(F.try_element_at(role, F.col("variant")), F.lit("candidate")).alias("role"),
         F.col("samples").alias("sample_count"), F.col("actions").alias("action_count"), *ratios(),

@@ -231,7 +231,10 @@ def view(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "wide":
         return wide(spark, sf_dir)
-    return view(spark, sf_dir, VIEWS[name]) if name in VIEWS else table(spark, sf_dir, name)
+    if name in VIEWS:
+        return view(spark, sf_dir, VIEWS[name])
+    df = table(spark, sf_dir, name)
+    return spread(df, "l_orderkey") if name == "lineitem" else df
 
 
 def ctes(*names: str) -> list[str]:
