@@ -388,6 +388,25 @@ def apply_buckets(rows: DataFrame, cells: DataFrame, feature_sets: list[str]) ->
 O_ORDER = ("direction", "odds_max", "prob_min", "market_prob_min", "quality_min", "confidence_min", "ev_min", "prob_margin_min", "ev_margin_min")
 
 
+GAPS = {
+    "rating_gap": lambda: num("home_rating") - num("away_rating"),
+    "ppg_gap": lambda: num("recent_home_ppg") - num("recent_away_ppg"),
+    "split_ppg_gap": lambda: num("home_split_ppg") - num("away_split_ppg"),
+    "lineup_gap": lambda: num("lineup_home_availability") - num("lineup_away_availability"),
+    "absence_gap": lambda: num("away_absence_impact") - num("home_absence_impact"),
+    "h2h_gap": lambda: num("h2h_edge"),
+}
+
+
+def filter_columns() -> dict[str, Column]:
+    """Inputs of the category and structural filters, home side minus away side."""
+    return {
+        "review_decisions": text("review_decision"), "arbiter_decisions": text("arbiter_decision"),
+        "effective_sources": text("effective_action_source"), "algo_actions": labels.action_label("algo_recommendation"),
+        **{name: gap() for name, gap in GAPS.items()},
+    }
+
+
 def direction_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each row once per direction source, with the features of the chosen outcome."""
     p = probs.normalise(probs.triple("final"), V.EPSILON)
@@ -467,6 +486,102 @@ def fit_outcome_rules(rows: DataFrame) -> DataFrame:
     return frontier(outcome_rules(rows), V.OUTCOME_TARGET)
 
 
+def _signed(gap: str) -> Column:
+    """A gap seen from the chosen outcome; a draw wants both sides level."""
+    d, o = F.col(gap), F.col("outcome")
+    return F.when(o == "home", d).when(o == "away", -d).otherwise(-F.abs(d))
+
+
+def _mask(tests: list[Column]) -> Column:
+    """Bit i set when test i holds; bit 0 stands for "no filter"."""
+    mask = F.lit(1)
+    for i, test in enumerate(tests):
+        mask = mask + F.when(test, 1 << (i + 1)).otherwise(0)
+    return mask
+
+
+def _bits(mask: str, count: int) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(count)), lambda b: F.getbit(F.col(mask), b) == 1)
+
+
+CATEGORY_COUNT, STRUCTURAL_COUNT = len(V.CATEGORY_FILTERS), len(V.STRUCTURAL_FILTERS)
+VARIANTS_PER_RULE = (1 + CATEGORY_COUNT) * (1 + STRUCTURAL_COUNT)
+
+
+def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT, cap: int = 25_000) -> DataFrame:
+    """The best base rules combined with category and structural filters.
+
+    Which filters a row passes is two bit masks, so rows collapse to cells of
+    (threshold indices, masks); the chosen rules (at most ``limit`` constants)
+    meet cells, and the filter combinations are read off the masks afterwards.
+    ``cap`` keeps the first candidates in listed order, as the search defines it.
+    """
+    chosen = (
+        outcome_rules(rows).filter(F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS)
+        .orderBy(rule_score("train").desc(), "rule_id").limit(limit).select("rule_id", *O_ORDER).collect()
+    )
+    if not chosen:
+        return outcome_rules(rows).limit(0)
+    val = F.col("is_validation")
+    totals = rows.agg(F.count_if(~val).alias("t"), F.count_if(val).alias("v")).first()
+    g = V.OUTCOME_GRID
+    extra = filter_columns()
+    packed = rows.withColumn("_x", F.struct(*[c.alias(n) for n, c in extra.items()]))
+    long = direction_rows(packed, ["is_validation", "_x"]).select("*", *[F.col(f"_x.{n}").alias(n) for n in extra])
+    member = lambda k, vals: F.col("outcome" if k == "outcomes" else k).isin(*vals)
+    category = [member(k, v) for f in V.CATEGORY_FILTERS for k, v in f.items()]
+    structural = []
+    for f in V.STRUCTURAL_FILTERS:
+        test = F.lit(True)
+        for gap, floor in f.items():
+            test = test & (_signed(gap) >= floor)
+        structural.append(test)
+    cells = long.select(
+        "is_validation", "direction", "hit", "roi", _mask(category).alias("cats"), _mask(structural).alias("structs"),
+        _cap_index(F.col("odds"), g["odds_max"]).alias("odds_max"),
+        *[threshold_index(F.col(c), g[k]).alias(k) for k, c in (
+            ("prob_min", "prob"), ("market_prob_min", "market_prob"), ("quality_min", "quality"),
+            ("confidence_min", "confidence"), ("ev_min", "ev"), ("prob_margin_min", "prob_margin"), ("ev_margin_min", "ev_margin"))],
+    ).groupBy(*O_ORDER, "cats", "structs").agg(*[
+        agg.alias(f"{split}_{n}") for split, flag in (("train", ~val), ("validation", val)) for n, agg in (
+            ("actions", F.count_if(flag)), ("hits", F.sum(F.when(flag, F.col("hit")).otherwise(0))),
+            ("roi", F.sum(F.when(flag, F.col("roi")).otherwise(0.0))))
+    ])
+    names = [f"{s}_{n}" for s in ("train", "validation") for n in ("actions", "hits", "roi")]
+    rules = F.array(*[
+        F.struct(F.lit(i).alias("place"), *[F.lit(r[k]).alias(k) for k in O_ORDER]) for i, r in enumerate(chosen)
+    ])
+
+    def passes(r: Column) -> Column:
+        test = (F.col("direction") == r["direction"]) & (F.col("odds_max") >= len(g["odds_max"]) - r["odds_max"])
+        for k in O_ORDER[2:]:
+            test = test & (F.col(k) > r[k])
+        return test
+
+    places = F.transform(F.filter(rules, passes), lambda r: r["place"])
+    met = cells.select(F.explode(places).alias("place"), "cats", "structs", *names).groupBy("place", "cats", "structs").agg(
+        *[F.sum(n).alias(n) for n in names]
+    )
+    spread = met.withColumn("cat", F.explode(_bits("cats", CATEGORY_COUNT))).withColumn(
+        "struct", F.explode(_bits("structs", STRUCTURAL_COUNT))
+    )
+    # Listed order within a rule: bare, categories, structures, then category x structure.
+    c, t = F.col("cat"), F.col("struct")
+    offset = (
+        F.when(t == 0, c).when(c == 0, CATEGORY_COUNT + t)
+        .otherwise(1 + CATEGORY_COUNT + STRUCTURAL_COUNT + (c - 1) * STRUCTURAL_COUNT + (t - 1))
+    )
+    out = spread.groupBy("place", "cat", "struct").agg(*[F.sum(n).alias(n) for n in names])
+    out = out.withColumn("rule_id", (F.col("place") * VARIANTS_PER_RULE + offset).cast("long")).filter(F.col("rule_id") < cap)
+    return out.withColumns(
+        {**grid_metrics(out, "train", F.lit(totals["t"])), **grid_metrics(out, "validation", F.lit(totals["v"]))}
+    )
+
+
+def fit_expanded_rules(rows: DataFrame) -> DataFrame:
+    return frontier(expanded_rules(rows), V.OUTCOME_TARGET)
+
+
 def walk_forward(rows: DataFrame) -> DataFrame:
     """Expanding folds: per period the rule chosen by that fold, trained on earlier periods only.
 

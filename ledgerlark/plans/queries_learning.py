@@ -214,6 +214,11 @@ def fit_outcome_rules(spark, sf_dir):
     return _front_cols(learning.fit_outcome_rules(rows(spark, sf_dir)))
 
 
+@query("fit_expanded_outcome_rules", None)
+def fit_expanded_outcome_rules(spark, sf_dir):
+    return _front_cols(learning.fit_expanded_rules(rows(spark, sf_dir)))
+
+
 @query("walk_forward_folds", None)
 def walk_forward_folds(spark, sf_dir):
     return learning.walk_forward(rows(spark, sf_dir))

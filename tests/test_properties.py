@@ -133,3 +133,32 @@ def test_settlement_twice_is_the_same(spark):
     second = settle.settle(*parts, again).filter("skip_reason = ''")
     cols = ["match_id", "run_id", "roi_delta", "roi_source", "notes"]
     assert sorted(map(tuple, first.select(*cols).collect())) == sorted(map(tuple, second.select(*cols).collect()))
+
+
+def test_expanded_rules_equal_direct_filters(learn):
+    """Random candidates of the expanded search against a plain Python evaluation."""
+    top = learning.outcome_rules(learn).filter(F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS).orderBy(
+        learning.rule_score("train").desc(), "rule_id").limit(V.EXPANSION_LIMIT).collect()
+    extra = learning.filter_columns()
+    packed = learn.withColumn("_x", F.struct(*[c.alias(n) for n, c in extra.items()]))
+    rows = [r for r in learning.direction_rows(packed, ["is_validation", "_x"]).collect() if not r.is_validation]
+    got = {(r.place, r.cat, r.struct): r for r in learning.expanded_rules(learn).collect()}
+    signed = lambda r, gap: {"home": r._x[gap], "away": -r._x[gap]}.get(r.outcome, -abs(r._x[gap]))
+    g, rng = V.OUTCOME_GRID, random.Random(11)
+    for _ in range(25):
+        place, cat, struct = rng.randrange(min(len(top), 100)), rng.randrange(11), rng.randrange(18)
+        rule = top[place]
+        cats = V.CATEGORY_FILTERS[cat - 1] if cat else {}
+        gaps = V.STRUCTURAL_FILTERS[struct - 1] if struct else {}
+        floors = (("prob_min", "prob"), ("market_prob_min", "market_prob"), ("quality_min", "quality"), ("confidence_min", "confidence"),
+                  ("ev_min", "ev"), ("prob_margin_min", "prob_margin"), ("ev_margin_min", "ev_margin"))
+        passing = [
+            r for r in rows
+            if r.direction == rule.direction and 0 < r.odds <= g["odds_max"][rule.odds_max]
+            and all(r[c] >= g[k][rule[k]] for k, c in floors)
+            and all((r.outcome if k == "outcomes" else r._x[k]) in v for k, v in cats.items())
+            and all(signed(r, k) >= v for k, v in gaps.items())
+        ]
+        found = got.get((place, cat, struct))
+        assert (found.train_actions if found else 0) == len(passing)
+        assert (found.train_hits if found else 0) == sum(r.hit for r in passing)
