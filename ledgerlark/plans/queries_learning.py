@@ -219,12 +219,29 @@ def fit_expanded_outcome_rules(spark, sf_dir):
     return _front_cols(learning.fit_expanded_rules(rows(spark, sf_dir)))
 
 
-@query("walk_forward_folds", None)
+_WF = f"""wf AS (SELECT rule_id, period_rank, sum(n) AS a, sum(h) AS h, sum(r) AS r
+  FROM orule JOIN ocell ON dr = d0 AND i1 <= orule.a AND i2 > b AND i3 > c AND i4 > d AND i5 > e AND i6 > f AND i7 > g AND i8 > k GROUP BY 1, 2),
+wt AS (SELECT *, coalesce(sum(a) OVER (PARTITION BY rule_id ORDER BY period_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ta FROM wf),
+axn AS (SELECT period, period_rank, n, sum(n) OVER (ORDER BY period_rank) - n AS ts FROM (SELECT period, period_rank, count(*) AS n FROM lr GROUP BY 1, 2)),
+fold AS (SELECT period, axn.period_rank, rule_id, ta, a, h, n, ts, round(r, 4) AS roi, h / a::DOUBLE AS hr, a / n::DOUBLE AS sh,
+   h / a::DOUBLE >= {V.OUTCOME_TARGET['hit_rate']} AND a / n::DOUBLE >= {V.OUTCOME_TARGET['action_share']} AS rdy
+   FROM wt JOIN axn ON axn.period_rank = wt.period_rank WHERE ta >= 40 AND ts >= 40 AND n >= 10),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period_rank ORDER BY rdy DESC, -(greatest(0.75 - hr, 0e0) * 2e0 + greatest(0.5 - sh, 0e0)) DESC, hr DESC, sh DESC, roi DESC, rule_id) AS rn FROM fold) WHERE rn = 1)"""
+
+
+@query("walk_forward_folds", with_wide(
+    f"""SELECT period, period_rank, rule_id, CASE WHEN rdy THEN 'ready' ELSE 'target_unreachable' END AS status, {big('ts')} AS train_samples, n AS validation_samples,
+    {big('ta')} AS train_actions, {big('a')} AS validation_actions, {big('h')} AS validation_hits, round(hr, 6) AS validation_hit_rate, round(sh, 6) AS validation_action_share,
+    roi AS validation_total_roi FROM best""", SETTLED, _ROWS, _OCELL, _WF))
 def walk_forward_folds(spark, sf_dir):
     return learning.walk_forward(rows(spark, sf_dir))
 
 
-@query("walk_forward_combined", None)
+@query("walk_forward_combined", with_wide(
+    f"""SELECT *, CASE WHEN validation_samples < 10 THEN 'insufficient_samples' WHEN validation_actions > 0 AND validation_hit_rate >= 0.75 AND validation_action_share >= 0.5 THEN 'ready'
+      ELSE 'target_unreachable' END AS status FROM (SELECT count(*) AS fold_count, {big('sum(n)')} AS validation_samples, {big('sum(a)')} AS validation_actions, {big('sum(h)')} AS validation_hits,
+      round(sum(roi), 4) AS validation_total_roi, {ratio('sum(h)', 'sum(a)')} AS validation_hit_rate, {ratio('sum(a)', 'sum(n)')} AS validation_action_share FROM best)""",
+    SETTLED, _ROWS, _OCELL, _WF))
 def walk_forward_combined(spark, sf_dir):
     return learning.combine_folds(learning.walk_forward(rows(spark, sf_dir)))
 

@@ -233,7 +233,15 @@ def mark_replayed_settlements(spark, sf_dir):
     return rows.select("feedback_id", "roi_source", "notes")
 
 
-@query("resettle_backfilled_handicap", None)
+_RES = "(CASE WHEN gd > 0 THEN 'home' WHEN gd < 0 THEN 'away' ELSE 'push' END)"
+
+
+@query("resettle_backfilled_handicap", sql(
+    f"""SELECT res AS handicap_actual_result, count(*) AS row_count, {big("sum(CASE WHEN handicap_recommendation <> 'watch' AND res = handicap_recommended_side THEN 1 ELSE 0 END)")} AS hits,
+    round(sum(CASE WHEN handicap_recommendation = 'watch' OR res = 'push' THEN 0e0 WHEN res = handicap_recommended_side AND so > 0
+      THEN round(suggested_stake_pct / 100e0 * (CASE WHEN so < 1.5 THEN so ELSE so - 1e0 END), 4) ELSE round(-suggested_stake_pct / 100e0, 4) END), 4) AS roi FROM (
+    SELECT *, {_RES} AS res, CASE WHEN handicap_recommended_side = 'home' THEN handicap_home_odds ELSE handicap_away_odds END AS so FROM (
+      SELECT *, CAST(split_part(actual_score, '-', 1) AS INT) - CAST(split_part(actual_score, '-', 2) AS INT) + handicap_initial_line AS gd FROM runs)) GROUP BY 1""", "runs"))
 def resettle_backfilled_handicap(spark, sf_dir):
     rows = ledger.resettle_handicap(load(spark, sf_dir, "runs").withColumn("handicap_line", F.col("handicap_initial_line")))
     return rows.groupBy("handicap_actual_result").agg(
@@ -557,7 +565,12 @@ def chain_audit_findings(spark, sf_dir):
     return audit.finding_counts(_chain(spark, sf_dir))
 
 
-@query("chain_audit_totals", None)
+@query("chain_audit_totals", sql(
+    f"""SELECT *, {ratio('hit_count', 'action_count')} AS hit_rate, row_count >= 1 AND finding_count = 0 AS passed FROM (SELECT count(*) AS row_count,
+    count(*) FILTER (len(findings) = 0) AS valid_count, count(*) FILTER (len(findings) > 0) AS finding_count,
+    count(*) FILTER (len(findings) = 0 AND handicap_recommendation <> 'watch') AS action_count,
+    count(*) FILTER (len(findings) = 0 AND handicap_recommendation <> 'watch' AND handicap_hit = 1) AS hit_count FROM chk)""",
+    "matches", "feedback", extra=[_CANON, _DER, _CHK]))
 def chain_audit_totals(spark, sf_dir):
     return audit.audit_totals(audit.audit_periods(_chain(spark, sf_dir)), {"row_count": 1})
 
