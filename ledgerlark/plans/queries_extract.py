@@ -170,7 +170,15 @@ def page_source_groups(spark, sf_dir):
 _PRICED = """SELECT doc_id, concat(text, ' €', CAST(doc_id % 90 + 1 AS {string}), '.5m and £2bn, $ 300k then EUR ', CAST(doc_id % 7 + 1 AS {string}), ' m') AS text FROM {documents}"""
 
 
-@query("quoted_value_sums", None)
+_RE = "(?i)(€|EUR|£|GBP|\\$|USD)\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(bn|b|billion|m|mil|million|k|th|thousand)?"
+
+
+@query("quoted_value_sums", with_ctes(
+    """SELECT doc_id, count(*) AS price_count, CASE WHEN count(*) >= 4 THEN round(sum(v), 3) ELSE 0 END AS partial_value, round(max(v), 3) AS max_value FROM (
+      SELECT doc_id, CAST(replace(a, ',', '.') AS DOUBLE) * CASE WHEN lower(u) IN ('bn', 'b', 'billion') THEN 1000e0 WHEN lower(u) IN ('k', 'th', 'thousand') THEN 0.001::DOUBLE ELSE 1e0 END
+        * CASE WHEN lower(c) IN ('£', 'gbp') THEN 1.17::DOUBLE WHEN lower(c) IN ('$', 'usd') THEN 0.92::DOUBLE ELSE 1e0 END AS v FROM parts) WHERE v > 0 GROUP BY 1""",
+    f"priced AS ({plain(_PRICED)})",
+    f"parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RE}', 1)) AS c, unnest(regexp_extract_all(text, '{_RE}', 2)) AS a, unnest(regexp_extract_all(text, '{_RE}', 3)) AS u FROM priced)"))
 def quoted_value_sums(spark, sf_dir):
     return extract.partial_values(view(spark, sf_dir, _PRICED), "doc_id", "text")
 
@@ -227,7 +235,14 @@ def coalesced_sources(spark, sf_dir):
 _RULES = {"the": 2, "ion": 3, "er": 1, "privacy": -5}
 
 
-@query("best_page_link", None)
+_LINKS = """links AS (SELECT page_id, href, min(pos) AS pos, arg_min(label, pos) AS label FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '<li>\\s*<a href="([^"]*)">(.*?)</a>', 1, 's')) AS href, trim(unnest(regexp_extract_all(html, '<li>\\s*<a href="([^"]*)">(.*?)</a>', 2, 's'))) AS label,
+  generate_subscripts(regexp_extract_all(html, '<li>\\s*<a href="([^"]*)">(.*?)</a>', 1, 's'), 1) - 1 AS pos FROM pages) GROUP BY 1, 2)"""
+_POINTS = " + ".join(f"CASE WHEN contains(lower(label), '{w}') THEN {p}e0 ELSE 0e0 END" for w, p in _RULES.items())
+
+
+@query("best_page_link", with_ctes(
+    f"SELECT page_id, pos, href, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos, href) AS rn FROM (SELECT *, {_POINTS} AS score FROM links)) WHERE rn = 1", _LINKS))
 def best_page_link(spark, sf_dir):
     from ..operators.joins import prefer
 
