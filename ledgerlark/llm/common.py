@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows of a text column that a task turns into Python strings at a time.
 SLICE_ROWS = 256
 #: Entries that a worker's word memo holds before it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 M64 = (1 << 64) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -6,8 +6,8 @@
    other texts hold too.  A text most of whose weight no other text shares cannot reach the threshold and ends here.
 3. The rest is sampled (improved consistent weighted sampling), banded, and compared in every band with a few members
    drawn at random from it, so the work is linear in a band's size.  A signature estimate drops hopeless pairs, the
-   exact weighted Jaccard similarity decides, and linked texts form groups.  Bands that hold several groups are drawn
-   from again until a turn links nothing new.
+   exact weighted Jaccard similarity decides, and linked texts form groups.  Bands that still hold several groups are
+   drawn from once more.
 
 Equal texts are one class from the start: they are never compared, and all take the group of their class.
 """
@@ -32,11 +32,13 @@ THRESHOLD = 0.8
 IDF = 0.25
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-#: Pairs whose samples agree less often than this are not verified; at the threshold that is over four deviations off.
-HOPELESS = 0.55
-BLOCK_SHINGLES = 1 << 21
+#: Pairs whose samples agree less often than this are not verified; at the threshold that is 2.6 deviations off.
+HOPELESS = 0.65
+#: Times that bands are gone through; each time every member meets two others of its band, drawn at random.
+TURNS = 2
+BLOCK_SHINGLES = 1 << 20
 BLOCK_TEXTS = 60_000
-BUCKET_SHINGLES = 1 << 20
+BUCKET_SHINGLES = 1 << 19
 MANY = 0xFFFF
 TABLE = 1 << 16
 
@@ -309,14 +311,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(banded: DataFrame, roots: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """Pairs of every member of a band with members drawn from it at random: two, in later turns four of other components."""
+    """Pairs of every member of a band with members drawn from it at random: two, in later turns of other components."""
     if roots is None:
         members = banded.withColumn("root", F.col("key"))
     else:
         members = banded.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     member = F.struct(F.col("total").alias("total2"), F.col("sign").alias("sign2"), F.col("key").alias("key2"), F.col("root").alias("root2"))
     # The first of the two has the same order in all bands, so that most comparisons of a group are with one text.
-    drawn = [F.xxhash64("key")] + [F.xxhash64("key", "band", F.lit(i)) for i in range(4 * turn, 4 * turn + (4 if turn else 1))]
+    drawn = ([] if turn else [F.xxhash64("key")]) + [F.xxhash64("key", "band", F.lit(i)) for i in (range(2 * turn, 2 * turn + 2) if turn else (0,))]
     names = [f"c{i}" for i in range(len(drawn))]
     centres = (
         members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), *(F.min_by(member, d).alias(n) for d, n in zip(drawn, names)))
@@ -372,20 +374,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = sets.where("total is not null").select("key", "block", "total", "hash", "weight")
     sampled = cut(own.mapInArrow(_sample, "key binary, total double, sign binary, bands array<long>"), "samples").dropDuplicates(["key"])
     banded = cut(sampled.select("key", "total", "sign", F.explode("bands").alias("band")), "bands")
-    links, roots, fresh, turn = None, None, True, 0
-    while fresh or turn < 2:
-        # Later turns look only at bands that hold several components still, from other random members.
+    links, roots = None, None
+    for turn in range(TURNS):
+        # Later turns look only at bands that hold several components still, and draw other members.
         pairs = cut(_candidates(banded, roots, turn, threshold).mapInArrow(_hopeful, "a binary, b binary"), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "block"), "key")
         used = cut(own.join(wanted, ["key", "block"]).dropDuplicates(["key"]).select("key", "total", "hash", "weight"), "used")
         left = used.select(F.col("key").alias("a"), "total", "hash", "weight")
         right = used.select(F.col("key").alias("b"), F.col("total").alias("total2"), F.col("hash").alias("hash2"), F.col("weight").alias("weight2"))
         new = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a binary, b binary"), "links")
-        fresh = bool(new.limit(1).count())
         links = new if links is None else links.unionByName(new)
-        if fresh or roots is None:
-            roots = components(links)
-        turn += 1
+        roots = components(links)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     rooted = classes.join(roots, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = F.min(F.struct(F.col("class_id").isNotNull().alias("known"), F.col("class_id")))
