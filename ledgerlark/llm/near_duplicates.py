@@ -4,16 +4,17 @@
    per block and shingle with the number of documents, however many of them hold it.
 2. A hash range knows the document frequency of its shingles and answers each block, but only about shingles that
    other texts hold too.  A text most of whose weight no other text shares cannot reach the threshold and ends here.
-3. The rest is sampled (improved consistent weighted sampling), banded, and compared in every band with a few members
-   drawn at random from it, so the work is linear in a band's size.  A signature estimate drops hopeless pairs, the
-   exact weighted Jaccard similarity decides, and linked texts form groups.  Bands that still hold several groups are
-   drawn from once more.
+3. The rest is sampled (improved consistent weighted sampling) and banded.  Bands are dealt into parts of bounded
+   size; in a part all signatures are compared, and each text is verified against the few likeliest by the exact
+   weighted Jaccard similarity.  Linked texts form groups.  Bands that still hold several groups are gone through
+   again, for pairs across groups, so the work is linear in a band's size and every text gets a second chance.
 
 Equal texts are one class from the start: they are never compared, and all take the group of their class.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +35,11 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 #: Pairs whose samples agree less often than this are not verified; at the threshold that is 2.6 deviations off.
 HOPELESS = 0.65
-#: Times that bands are gone through; each time every member meets two others of its band, drawn at random.
-TURNS = 2
+#: Bands with more members are dealt into parts of this size, anew in every band and turn.
+PART = 512
+#: Turn by turn, against how many of its part a text is verified: those that its samples liken it to most and that no
+#: link has joined to it yet.
+BEST = (2, 24)
 BLOCK_SHINGLES = 1 << 20
 BLOCK_TEXTS = 60_000
 BUCKET_SHINGLES = 1 << 19
@@ -273,11 +277,47 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("total"), pa.array(signs, pa.binary()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))], names=["key", "total", "sign", "bands"])
 
 
-def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES) for c in ("sign", "sign2"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= HOPELESS))
+def _likeliest(signs: np.ndarray, totals: np.ndarray, roots: np.ndarray, best: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a part of a band: each text with the ``best`` most alike ones of components as large as its own or larger."""
+    alike = (signs[:, None, :] == signs[None, :, :]).mean(axis=2)
+    size = np.bincount(roots)[roots]
+    open_ = (roots[:, None] != roots) & (size[:, None] <= size) & (np.minimum(totals[:, None], totals) >= threshold * np.maximum(totals[:, None], totals))
+    alike = np.where(open_, alike, 0.0)
+    top = np.argsort(-alike, axis=1, kind="stable")[:, :best]
+    a = np.repeat(np.arange(len(signs)), top.shape[1])
+    hopeful = alike[a, top.ravel()] >= HOPELESS
+    return a[hopeful], top.ravel()[hopeful]
+
+
+def _compared(best: int, threshold: float):
+    """Over rows sorted by (band, part): the likeliest pairs of each part, which is held once at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in itertools.chain(batches, (None,)):
+            table = pa.Table.from_batches([b for b in (carry, batch) if b is not None]) if carry is not None or batch is not None else None
+            if table is None or not table.num_rows:
+                continue
+            rows = table.combine_chunks().to_batches()[0]
+            band, part = rows.column("band").to_numpy(), rows.column("part").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (part[1:] != part[:-1])]))
+            end = np.append(first[1:], len(band))
+            if batch is not None:  # the last part may go on
+                carry = rows.slice(int(first[-1]))
+                first, end = first[:-1], end[:-1]
+            keys = rows.column("key")
+            signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            totals, roots = rows.column("total").to_numpy(), rows.column("root").dictionary_encode().indices.to_numpy()
+            a, b = [], []
+            for i, j in zip(first.tolist(), end.tolist()):
+                if j - i > 1:
+                    x, y = _likeliest(signs[i:j], totals[i:j], np.unique(roots[i:j], return_inverse=True)[1], best, threshold)
+                    a.append(x + i)
+                    b.append(y + i)
+            if a:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (a, b)], names=["key", "key2"])
+
+    return run
 
 
 def _verified(threshold: float):
@@ -311,24 +351,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(banded: DataFrame, roots: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """Pairs of every member of a band with members drawn from it at random: two, in later turns of other components."""
+    """Pairs (a, b) worth verifying, from bands that hold several components."""
     if roots is None:
         members = banded.withColumn("root", F.col("key"))
     else:
         members = banded.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    member = F.struct(F.col("total").alias("total2"), F.col("sign").alias("sign2"), F.col("key").alias("key2"), F.col("root").alias("root2"))
-    # The first of the two has the same order in all bands, so that most comparisons of a group are with one text.
-    drawn = ([] if turn else [F.xxhash64("key")]) + [F.xxhash64("key", "band", F.lit(i)) for i in (range(2 * turn, 2 * turn + 2) if turn else (0,))]
-    names = [f"c{i}" for i in range(len(drawn))]
-    centres = (
-        members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), *(F.min_by(member, d).alias(n) for d, n in zip(drawn, names)))
-        .where("least <> most").select("band", F.explode(F.array(*names)).alias("c")).select("band", "c.*")
-    )
-    return (
-        members.join(centres, "band").where((F.col("root") != F.col("root2")) & (F.least("total", "total2") >= threshold * F.greatest("total", "total2")))
-        .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"), F.when(F.col("key") < F.col("key2"), F.col("sign")).otherwise(F.col("sign2")).alias("sign"), F.when(F.col("key") < F.col("key2"), F.col("sign2")).otherwise(F.col("sign")).alias("sign2"))
-        .dropDuplicates(["a", "b"])
-    )
+    mixed_bands = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "n")
+    dealt = members.join(mixed_bands, "band").withColumn("part", F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.ceil(F.col("n") / PART)).cast("int"))
+    met = dealt.select("band", "part", "key", "total", "sign", "root").repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(_compared(BEST[turn], threshold), "key binary, key2 binary")
+    return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -375,9 +406,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sampled = cut(own.mapInArrow(_sample, "key binary, total double, sign binary, bands array<long>"), "samples").dropDuplicates(["key"])
     banded = cut(sampled.select("key", "total", "sign", F.explode("bands").alias("band")), "bands")
     links, roots = None, None
-    for turn in range(TURNS):
-        # Later turns look only at bands that hold several components still, and draw other members.
-        pairs = cut(_candidates(banded, roots, turn, threshold).mapInArrow(_hopeful, "a binary, b binary"), "pairs")
+    for turn in range(len(BEST)):
+        pairs = cut(_candidates(banded, roots, turn, threshold), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "block"), "key")
         used = cut(own.join(wanted, ["key", "block"]).dropDuplicates(["key"]).select("key", "total", "hash", "weight"), "used")
         left = used.select(F.col("key").alias("a"), "total", "hash", "weight")
