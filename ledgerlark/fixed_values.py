@@ -148,11 +148,6 @@ STRUCTURAL_FILTERS = (
     {"ppg_gap": 0.0, "split_ppg_gap": 0.0},
 )
 EXPANSION_LIMIT = 220
-UNION_LIMIT = 60
-UNION_CHILD_MIN_ACTIONS = 12
-COMPLEMENT_LIMIT = 120
-COMPLEMENT_CHILDREN_MAX = 4
-COMPLEMENT_HIT_FLOOR = 0.72
 
 # --- fixed values: stored-review rule table ---------------------------------
 # (unified decision, evidence grade): decision, outcome decision, stake multiplier, confidence delta

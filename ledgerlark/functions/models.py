@@ -280,4 +280,6 @@ def handicap_recommendation(df: DataFrame, f: Features) -> DataFrame:
         .when((F.col("h_value") >= 0.02) & (F.col("h_confidence") >= 0.52) & (score >= -0.15), "light")
         .otherwise("watch")
     )
-    return df.withColumn("h_action", action)
+    # No side is recommended where nothing is to be done.
+    df = df.withColumn("h_action", action)
+    return df.withColumn("h_side", F.when(F.col("h_action") == "watch", "").otherwise(F.col("h_side")))

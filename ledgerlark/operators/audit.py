@@ -32,7 +32,7 @@ def chain_findings(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     derived = metrics.handicap_settlement()
     findings = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("canonical_id") == F.col("run_id"), F.lit(False)), "not_canonical"),
-        F.when(text("handicap_actual_result") != derived["handicap_actual_result"], "handicap_result"),
+        F.when((text("handicap_actual_result") != "") & (text("handicap_actual_result") != derived["handicap_actual_result"]), "handicap_result"),
         F.when(num("handicap_hit") != derived["handicap_hit"], "handicap_hit"),
         F.when(F.abs(num("handicap_roi_delta") - derived["handicap_roi_delta"]) > 1e-6, "handicap_return"),
         F.when(text("period") == "", "blank_period"),

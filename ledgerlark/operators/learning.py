@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import labels, policy, probs
 from ..functions.numeric import floor_bin, num, ratio, round_to, text, threshold_index
-from .sizing import attach, bounded_side
 
 # --- windows and splits -------------------------------------------------------
 
@@ -31,12 +30,12 @@ def period_axis(df: DataFrame, last: int | None = None) -> DataFrame:
     return axis.withColumn("period_rank", F.row_number().over(Window.orderBy(labels.period_key("period"))))
 
 
-def learning_window(df: DataFrame, last: int = 90) -> DataFrame:
-    """Rows of the last ``last`` periods with period_rank and the latest-period hold-out flag."""
+def learning_window(df: DataFrame, last: int | None = None) -> DataFrame:
+    """Rows of all periods, or of the last ``last`` ones, with period_rank and the latest-period hold-out flag."""
     axis = period_axis(df, last)
     top = Window.partitionBy()
     axis = axis.withColumn("is_validation", (F.col("period_rank") == F.max("period_rank").over(top)) & (F.max("period_rank").over(top) > 1))
-    return attach(df, axis, ["period"], "inner")
+    return df.join(axis, "period")
 
 
 # --- calibration ---------------------------------------------------------------
@@ -373,8 +372,7 @@ def apply_buckets(rows: DataFrame, cells: DataFrame, feature_sets: list[str]) ->
     for i, name in enumerate(feature_sets):
         key = F.concat_ws("|", *[bucket_key(f).cast("string") for f in V.BUCKET_FEATURE_SETS[name]])
         side = table.filter(F.col("feature_set") == name).select(F.col("bucket").alias(f"_k{i}"), F.col("side").alias(f"_s{i}"))
-        small, _ = bounded_side(side)
-        rows = rows.withColumn(f"_k{i}", key).join(small, f"_k{i}", "left")
+        rows = rows.withColumn(f"_k{i}", key).join(side, f"_k{i}", "left")
         sides.append(F.col(f"_s{i}"))
     chosen = F.coalesce(*sides, F.lit(""))
     source = F.when(sides[0].isNotNull(), "primary").when(F.coalesce(*sides).isNotNull(), "fallback").otherwise("")
@@ -508,13 +506,13 @@ CATEGORY_COUNT, STRUCTURAL_COUNT = len(V.CATEGORY_FILTERS), len(V.STRUCTURAL_FIL
 VARIANTS_PER_RULE = (1 + CATEGORY_COUNT) * (1 + STRUCTURAL_COUNT)
 
 
-def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT, cap: int = 25_000) -> DataFrame:
+def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT) -> DataFrame:
     """The best base rules combined with category and structural filters.
 
     Which filters a row passes is two bit masks, so rows collapse to cells of
     (threshold indices, masks); the chosen rules (at most ``limit`` constants)
     meet cells, and the filter combinations are read off the masks afterwards.
-    ``cap`` keeps the first candidates in listed order, as the search defines it.
+    Every chosen rule is judged with every combination.
     """
     chosen = (
         outcome_rules(rows).filter(F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS)
@@ -572,7 +570,7 @@ def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT, cap: int = 2
         .otherwise(1 + CATEGORY_COUNT + STRUCTURAL_COUNT + (c - 1) * STRUCTURAL_COUNT + (t - 1))
     )
     out = spread.groupBy("place", "cat", "struct").agg(*[F.sum(n).alias(n) for n in names])
-    out = out.withColumn("rule_id", (F.col("place") * VARIANTS_PER_RULE + offset).cast("long")).filter(F.col("rule_id") < cap)
+    out = out.withColumn("rule_id", (F.col("place") * VARIANTS_PER_RULE + offset).cast("long"))
     return out.withColumns(
         {**grid_metrics(out, "train", F.lit(totals["t"])), **grid_metrics(out, "validation", F.lit(totals["v"]))}
     )
@@ -593,7 +591,6 @@ def walk_forward(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("period", "period_rank").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("period_rank").rowsBetween(Window.unboundedPreceding, -1)
     axis = sizes.withColumn("train_samples", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    small, _ = bounded_side(axis)
     past = Window.partitionBy("rule_id").orderBy("period_rank").rowsBetween(Window.unboundedPreceding, -1)
     # A rule that does not act in a period still has train metrics there, but no validation actions;
     # such a rule scores lowest, so only acting rules (and their running sums) are needed to choose.
@@ -601,7 +598,7 @@ def walk_forward(rows: DataFrame) -> DataFrame:
         "rule_id", "period_rank", F.col("actions").alias("validation_actions"), F.col("hits").alias("validation_hits"),
         F.col("roi").alias("validation_roi"),
         *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"train_{c}") for c in ("actions", "hits", "roi")],
-    ).join(small, "period_rank")
+    ).join(axis, "period_rank")
     folds = folds.filter(
         (F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS) & (F.col("train_samples") >= V.RULE_MIN_TRAIN_ROWS)
         & (F.col("n") >= V.RULE_MIN_VALIDATION_ROWS)
@@ -742,7 +739,7 @@ def gate_search(rows: DataFrame) -> DataFrame:
         F.sum(F.when(flag, fact).otherwise(0)).alias(f"{split}_{k}") for split, flag in flags for k, fact in facts.items()
     ])
     # At most 729 x 28 rows whatever the data size.
-    cells, _ = bounded_side(agg, 729 * 28)
+    cells = agg
     names = [f"{split}_{k}" for split, _ in flags for k in facts]
     base = cells.filter("promote_id = -1").withColumn("promote_id", F.explode(F.sequence(F.lit(0), F.lit(len(pgrid) - 1))))
     total = base.unionByName(cells.filter("promote_id >= 0")).groupBy("gate_id", "promote_id").agg(

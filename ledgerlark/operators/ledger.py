@@ -177,18 +177,22 @@ def prune(tables: dict[str, DataFrame], keep: int = 90) -> dict[str, DataFrame]:
 
 
 def import_settlements(stored: DataFrame, incoming: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """Append settlements of matches not stored yet; counters per source.
+    """Append settlements of matches not stored yet, the first by (source, period, id) of each; counters per source.
+
+    A later settlement of the same match counts as existing, so imports add up to the rows that are appended.
 
     Surrogate keys continue after the stored maximum: dense per-match numbers
     come from a two-step rank (rows per partition, then offsets), never from a
     single-task window over all new rows.
     """
-    first = latest(incoming.filter(valid), ["match_id"], [F.col("source"), F.col("feedback_id").desc()])
+    order = [F.col("source"), labels.period_key("period"), F.col("feedback_id")]
+    first = latest(incoming.filter(valid), ["match_id"], order)
     fresh = first.join(stored.select("match_id"), "match_id", "left_anti")
+    is_first = fresh.select("match_id", F.col("feedback_id").alias("_first"))
     status = (
-        F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("_stored"), "existing").otherwise("imported")
+        F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("feedback_id") == F.col("_first"), "imported").otherwise("existing")
     )
-    marked = incoming.join(stored.select("match_id", F.lit(True).alias("_stored")).distinct(), "match_id", "left")
+    marked = incoming.join(is_first, "match_id", "left")
     counters = marked.groupBy("source").agg(
         F.count_if(status == "imported").alias("imported"), F.count_if(status == "existing").alias("existing"),
         F.count_if(status == "invalid").alias("invalid"),

@@ -86,14 +86,17 @@ def rejected_feedback(claims: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def expire_reviews(runs: DataFrame, matches: DataFrame, asof: Column, note: str = "expired at kickoff") -> DataFrame:
-    """Pending reviews of matches that have started become expired."""
+    """Pending reviews of matches that have started become expired; a reason or time that is there already stays."""
     started = matches.filter(F.col("match_time") <= asof).select("match_id", F.lit(True).alias("_started"))
     j = runs.join(started.distinct(), "match_id", "left")
     hit = (text("manual_review_status") == "pending") & F.coalesce("_started", F.lit(False))
+    reason = text("manual_review_reason") if "manual_review_reason" in runs.columns else F.lit("")
+    resolved = F.col("manual_review_resolved_at") if "manual_review_resolved_at" in runs.columns else F.lit(None).cast("timestamp")
     return j.withColumns(
         {
             "manual_review_status": F.when(hit, "expired").otherwise(F.col("manual_review_status")),
-            "manual_review_reason": F.when(hit, note).otherwise(""),
+            "manual_review_reason": F.when(hit & (reason == ""), note).otherwise(reason),
+            "manual_review_resolved_at": F.when(hit & resolved.isNull(), asof).otherwise(resolved),
         }
     ).drop("_started")
 
@@ -101,8 +104,8 @@ def expire_reviews(runs: DataFrame, matches: DataFrame, asof: Column, note: str
 def supersede_reviews(runs: DataFrame) -> DataFrame:
     """Pending reviews of runs that a newer run of the match has replaced."""
     newest = runs.groupBy("match_id").agg(F.max("run_id").alias("_newest"))
-    j = runs.join(newest, "match_id")
-    hit = (text("manual_review_status") == "pending") & (F.col("run_id") != F.col("_newest"))
+    j = runs.join(newest, "match_id", "left")  # runs without a match are kept as they are
+    hit = (text("manual_review_status") == "pending") & F.coalesce(F.col("run_id") != F.col("_newest"), F.lit(False))
     return j.withColumn(
         "manual_review_status", F.when(hit, "superseded").otherwise(F.col("manual_review_status"))
     ).drop("_newest")

@@ -26,7 +26,6 @@ from ..fixed_values import (
 )
 from ..functions import labels, probs
 from ..functions.numeric import between, num, text
-from .sizing import attach
 
 PREFIX = "pick_"
 ROW_LOCAL = tuple(v for v in VARIANT_ROLES if v != "coverage_draw_rescue")
@@ -402,7 +401,7 @@ def with_draw_rescue(df: DataFrame) -> DataFrame:
         df.groupBy("period").agg(F.max(entry).alias("_w")).filter("_w is not null")
         .select("period", F.col("_w.match_id").alias("_winner"))
     )
-    df = attach(df, winners, ["period"])
+    df = df.join(winners, "period", "left")
     cand = F.col("_cand")
     late_draw = (
         (cand["outcome"] == "draw") & (cand["score"] >= 0.5)

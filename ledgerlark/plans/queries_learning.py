@@ -12,15 +12,16 @@ from . import adapters
 from .oracle import SETTLED, argmax, big, by_outcome, margin_of, odds_of, ratio, with_wide
 from .registry import query
 
-LAST_FULL_PERIOD = "200106"
+#: Periods of the window that ``learning_split`` shows; all other learning queries read every period.
+WINDOW_PERIODS = 60
 
 
-def rows(spark, sf_dir):
-    settled = metrics.with_settlement(adapters.wide(spark, sf_dir)).filter(F.col("period") <= LAST_FULL_PERIOD)
-    return learning.learning_window(settled, 60)
+def rows(spark, sf_dir, last=None):
+    return learning.learning_window(metrics.with_settlement(adapters.wide(spark, sf_dir)), last)
 
 
-_ROWS = f"""ax AS (SELECT period, row_number() OVER (ORDER BY CAST(period AS BIGINT)) AS period_rank FROM (SELECT DISTINCT period FROM settled WHERE period <= '{LAST_FULL_PERIOD}' ORDER BY period DESC LIMIT 60)),
+_PERIODS = "SELECT DISTINCT period FROM settled WHERE period <> ''"
+_ROWS = f"""ax AS (SELECT period, row_number() OVER (ORDER BY CAST(period AS BIGINT)) AS period_rank FROM ({_PERIODS})),
 lr AS (SELECT s.*, period_rank, period_rank = (SELECT max(period_rank) FROM ax) AS val FROM settled s JOIN ax USING (period))"""
 
 # --- calibration -----------------------------------------------------------------
@@ -162,7 +163,7 @@ def handicap_bucket_metrics(spark, sf_dir):
     f"""SELECT feature_set, bucket_count, validation_actions, validation_hits, CASE WHEN rdy THEN 'ready' WHEN validation_samples < 10 THEN 'insufficient_samples' ELSE 'target_unreachable' END AS status FROM (
     SELECT *, validation_hits / validation_actions::DOUBLE AS hr, validation_actions / validation_samples::DOUBLE AS sh,
       validation_samples >= 10 AND validation_actions > 0 AND validation_hits / validation_actions::DOUBLE >= 0.7 AND validation_actions / validation_samples::DOUBLE >= 0.6 AS rdy FROM bm)
-    ORDER BY rdy DESC, -(greatest(0.75 - hr, 0e0) * 2e0 + greatest(0.5 - sh, 0e0)) DESC, hr DESC, sh DESC LIMIT 1""", SETTLED, _ROWS, _BCELL))
+    ORDER BY rdy DESC, -(greatest(0.75 - hr, 0e0) * 2e0 + greatest(0.5 - sh, 0e0)) DESC, hr DESC, sh DESC, list_position({list(V.BUCKET_FEATURE_SETS)}, feature_set) LIMIT 1""", SETTLED, _ROWS, _BCELL))
 def fit_handicap_buckets(spark, sf_dir):
     return learning.fit_buckets(rows(spark, sf_dir)).select("feature_set", "bucket_count", "validation_actions", "validation_hits", "status")
 
@@ -256,9 +257,9 @@ def direction_source_hits(spark, sf_dir):
     )
 
 
-@query("learning_split", with_wide("SELECT period, period_rank, val AS is_validation, count(*) AS row_count FROM lr GROUP BY 1, 2, 3", SETTLED, _ROWS))
+@query("learning_split", with_wide("SELECT period, period_rank, val AS is_validation, count(*) AS row_count FROM lr GROUP BY 1, 2, 3", SETTLED, _ROWS.replace(_PERIODS, f"{_PERIODS} ORDER BY CAST(period AS BIGINT) DESC LIMIT {WINDOW_PERIODS}")))
 def learning_split(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("period", "period_rank", "is_validation").agg(F.count(F.lit(1)).alias("row_count"))
+    return rows(spark, sf_dir, WINDOW_PERIODS).groupBy("period", "period_rank", "is_validation").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query("gate_search_best", None)

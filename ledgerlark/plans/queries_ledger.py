@@ -160,17 +160,21 @@ INCOMING = """SELECT run_id AS feedback_id, match_id, period, CASE WHEN run_id %
  concat('source-', CAST(match_id % 3 AS {string})) AS source FROM {runs} WHERE match_id % 2 = 0"""
 
 
+#: Settlements arrive in the order of source, period and id; the first valid one of a match that is not stored counts.
+_TURNS = """SELECT *, CASE WHEN actual_result = '' THEN 'invalid' WHEN match_id IN (SELECT match_id FROM feedback) THEN 'existing'
+ WHEN row_number() OVER (PARTITION BY match_id, actual_result = '' ORDER BY source, CAST(period AS BIGINT), feedback_id) = 1 THEN 'imported' ELSE 'existing' END AS status FROM incoming"""
+
+
 @query("import_settlements", sql(
-    """SELECT match_id, source, max(feedback_id) AS feedback_id FROM incoming WHERE actual_result <> '' AND match_id NOT IN (SELECT match_id FROM feedback) GROUP BY 1, 2""",
-    "feedback", extra=[f"incoming AS ({INCOMING})"]))
+    f"SELECT match_id, source, feedback_id FROM ({_TURNS}) WHERE status = 'imported'", "feedback", extra=[f"incoming AS ({INCOMING})"]))
 def import_settlements(spark, sf_dir):
     fresh, _ = ledger.import_settlements(load(spark, sf_dir, "feedback"), view(spark, sf_dir, INCOMING), F.col("actual_result") != "")
     return fresh.select("match_id", "source", "feedback_id")
 
 
 @query("import_counters", sql(
-    """SELECT source, count(*) FILTER (actual_result <> '' AND NOT known) AS imported, count(*) FILTER (actual_result <> '' AND known) AS existing,
-    count(*) FILTER (actual_result = '') AS invalid FROM (SELECT *, match_id IN (SELECT match_id FROM feedback) AS known FROM incoming) GROUP BY 1""",
+    f"""SELECT source, count(*) FILTER (status = 'imported') AS imported, count(*) FILTER (status = 'existing') AS existing,
+    count(*) FILTER (status = 'invalid') AS invalid FROM ({_TURNS}) GROUP BY 1""",
     "feedback", extra=[f"incoming AS ({INCOMING})"]))
 def import_counters(spark, sf_dir):
     return ledger.import_settlements(load(spark, sf_dir, "feedback"), view(spark, sf_dir, INCOMING), F.col("actual_result") != "")[1]
@@ -541,7 +545,7 @@ def _chain(spark, sf_dir):
 _DER = """der AS (SELECT *, CAST(split_part(actual_score, '-', 1) AS INT) - CAST(split_part(actual_score, '-', 2) AS INT) + handicap_line AS adj FROM runs)"""
 _CHK = """chk AS (SELECT r.period, f.handicap_hit, r.handicap_recommendation, list_filter([
   CASE WHEN c.run_id IS DISTINCT FROM f.run_id THEN 'not_canonical' END,
-  CASE WHEN f.handicap_actual_result <> CASE WHEN adj > 0 THEN 'home' WHEN adj < 0 THEN 'away' ELSE 'push' END THEN 'handicap_result' END,
+  CASE WHEN f.handicap_actual_result <> '' AND f.handicap_actual_result <> CASE WHEN adj > 0 THEN 'home' WHEN adj < 0 THEN 'away' ELSE 'push' END THEN 'handicap_result' END,
   CASE WHEN f.handicap_hit <> CAST(r.handicap_recommendation <> 'watch' AND CASE WHEN adj > 0 THEN 'home' WHEN adj < 0 THEN 'away' ELSE 'push' END = r.handicap_recommended_side AS INT) THEN 'handicap_hit' END,
   CASE WHEN abs(f.handicap_roi_delta - CASE WHEN r.handicap_recommendation = 'watch' OR adj = 0 THEN 0e0
      WHEN CASE WHEN adj > 0 THEN 'home' ELSE 'away' END = r.handicap_recommended_side AND so > 0

@@ -32,13 +32,15 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only when a cluster names none (tests) is a new temporary folder made, and
-    remembered in the session so later callers share it.
+    A local session (tests) that names none gets a new temporary folder, remembered
+    in the session so later callers share it; a cluster without one is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
