@@ -28,6 +28,8 @@ NO_RANK = 1 << 30
 SHORT_WORD = 96
 #: Chunks whose ids a worker remembers before it starts afresh.
 MEMO_CHUNKS = 250_000
+#: Pieces of chunks that it remembers besides.
+MEMO_PIECES = 350_000
 
 #: White space, and how text is split before merging.
 WHITE = regex.compile(r"[\t-\r\x20\x85\xA0  -     　]+")
@@ -74,6 +76,7 @@ class Codec(dict):
         self.last = [vocab[c + end] for c in byte_symbols()]
         self.rank: dict[int, int] = {}
         self.merged: list[int] = []
+        self.pieces: dict[str, tuple[int, ...]] = {}
         for pair in spec["model"]["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 20 | vocab[b]] = len(self.merged)
@@ -95,16 +98,28 @@ class Codec(dict):
         kept = self[chunk] = tuple(ids)
         return kept
 
-    def _plain(self, text: str) -> Iterator[int]:
-        text = WHITE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()  # by character: no final sigma
-        if not text.isascii():
-            text = text.translate(YOUNG_CASE)
-        shape = text if text.isascii() else YOUNG.sub(UNKNOWN, text)
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a chunk without special tokens; it holds no white space, and pieces without case come from a memo too."""
+        if text.isascii():
+            shape = text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(YOUNG_CASE)  # by character: no final sigma
+            shape = YOUNG.sub(UNKNOWN, text)
+        out: list[int] = []
         for m in PIECE.finditer(shape):
-            raw = text[m.start() : m.end()].encode()
-            ids = [self.inner[b] for b in raw[:-1]]
-            ids.append(self.last[raw[-1]])
-            yield from self.merge(ids) if len(ids) <= SHORT_WORD else self.merge_long(ids)
+            piece = text if m.end() - m.start() == len(text) else text[m.start() : m.end()]
+            ids = self.pieces.get(piece)
+            if ids is None:
+                raw = piece.encode()
+                ids = [self.inner[b] for b in raw[:-1]]
+                ids.append(self.last[raw[-1]])
+                ids = self.merge(ids) if len(ids) <= SHORT_WORD else self.merge_long(ids)
+                if len(piece) <= 64:
+                    if len(self.pieces) >= MEMO_PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = tuple(ids)
+            out += ids
+        return out
 
     def merge(self, ids: list[int]) -> list[int]:
         """Symbols of a word after all merges, by scans of the rank array."""
