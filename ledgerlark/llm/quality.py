@@ -72,9 +72,9 @@ def _vote(value: float, fine: float, bad: float) -> int:
     return 2 if value >= bad else 0 if value <= fine else 1
 
 
-def votes(text: str) -> tuple[int, int]:
+def votes(text: str, seen: tuple | None = None) -> tuple[int, int]:
     """Votes on junk and on abuse as base-3 codes: 0 fine, 1 abstains, 2 bad."""
-    f, words = style(text)
+    f, words = seen or style(text)
     junk = (
         _vote(f[0], 0.05, 0.25), _vote(f[1], 0.6, 0.93), _vote(f[2], 0.2, 0.4), _vote(f[3], 0.05, 0.3), _vote(f[4], 0.01, 0.06), _vote(f[5], 0.02, 0.15),
         _vote(1 - f[6], 0.12, 0.3),
@@ -124,8 +124,8 @@ class _Features(dict):
 _features = _Features()
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    figures, words = style(text)
+def features(text: str, seen: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    figures, words = seen or style(text)
     return np.array(sorted(itertools.chain.from_iterable(map(_features.__getitem__, set(words)))), np.int32), figures
 
 
@@ -169,8 +169,8 @@ class Model:
         self.junk, self.abuse = junk, abuse
         self.junk_posterior, self.abuse_posterior = junk_posterior, abuse_posterior
 
-    def score(self, text: str) -> tuple[float, float]:
-        own, figures = features(text)
+    def score(self, text: str, seen: tuple | None = None) -> tuple[float, float]:
+        own, figures = features(text, seen)
         dense = np.append(figures * 8, 1.0)
         return tuple(round(_logistic(float(w[own].sum() + d @ dense)), 6) for w, d in (self.junk, self.abuse))
 
@@ -235,7 +235,8 @@ def judge(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 part = batch.slice(at, SLICE_ROWS)
                 out = []
                 for text in part.column("text").to_pylist():
-                    scores, (junk, abuse) = own.score(text), votes(text)
+                    seen = style(text)
+                    scores, (junk, abuse) = own.score(text, seen), votes(text, seen)
                     out.append((*scores, round(own.junk_posterior.get(junk, 0.5), 6), round(own.abuse_posterior.get(abuse, 0.5), 6), max(scores) < reject))
                 types = (*[pa.float64()] * 4, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(c), type=t) for c, t in zip(zip(*out), types))], names=["doc_id", "junk", "abuse", "junk_posterior", "abuse_posterior", "kept"])
