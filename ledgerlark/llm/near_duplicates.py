@@ -4,10 +4,13 @@
    per block and shingle with the number of documents, however many of them hold it.
 2. A hash range knows the document frequency of its shingles and answers each block, but only about shingles that
    other texts hold too.  A text most of whose weight no other text shares cannot reach the threshold and ends here.
-3. The rest is sampled (improved consistent weighted sampling) and banded.  Bands are dealt into parts of bounded
-   size; in a part all signatures are compared, and each text is verified against the few likeliest by the exact
-   weighted Jaccard similarity.  Linked texts form groups.  Bands that still hold several groups are gone through
-   again, for pairs across groups, so the work is linear in a band's size and every text gets a second chance.
+3. The rest is sampled (improved consistent weighted sampling) and banded; a pair belongs to the first band that it
+   shares.  A first turn shrinks the work: bands are dealt into parts of bounded size, each text is verified against
+   the likeliest of its part by the exact weighted Jaccard similarity, and linked texts form groups.
+4. The second turn is whole: in each band that still holds several groups, all texts outside its largest group meet
+   all others, part by part, and every pair across groups that the samples do not rule out is verified where the part
+   lies.  A part gives out only links that join groups of it, so rows are linear in a band; no pair is capped.  Work
+   beyond a band's size is only for texts outside its largest group.
 
 Equal texts are one class from the start: they are never compared, and all take the group of their class.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,10 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 #: Pairs whose samples agree less often than this are not verified; at the threshold that is 2.6 deviations off.
 HOPELESS = 0.65
-#: Bands with more members are dealt into parts of this size, anew in every band and turn.
+#: Bands with more members are dealt into parts of this size, anew in every band.
 PART = 512
-#: Turn by turn, against how many of its part a text is verified: those that its samples liken it to most and that no
-#: link has joined to it yet.
-BEST = (2, 24)
+#: Likewise bands whose weighted sets take more bytes than this, in the turn that moves them.
+PART_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 20
 BLOCK_TEXTS = 60_000
 BUCKET_SHINGLES = 1 << 19
@@ -274,23 +277,76 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 band = mixed(band * ODD + got.reshape(m, BANDS, ROWS)[:, :, r] + np.arange(BANDS, dtype=np.uint64))
             signs = [bytes(r) for r in (got & np.uint64(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("total"), pa.array(signs, pa.binary()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))], names=["key", "total", "sign", "bands"])
+            codes = [r.tobytes() for r in (band & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+            columns = [part.column("key"), part.column("total"), pa.array([2 * len(h) for h in part.column("hash").to_pylist()], pa.int64()), pa.array(signs, pa.binary()), pa.array(codes, pa.binary()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "total", "bytes", "sign", "codes", "bands"])
 
 
-def _likeliest(signs: np.ndarray, totals: np.ndarray, roots: np.ndarray, best: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a part of a band: each text with the ``best`` most alike ones of components as large as its own or larger."""
-    alike = (signs[:, None, :] == signs[None, :, :]).mean(axis=2)
-    size = np.bincount(roots)[roots]
-    open_ = (roots[:, None] != roots) & (size[:, None] <= size) & (np.minimum(totals[:, None], totals) >= threshold * np.maximum(totals[:, None], totals))
-    alike = np.where(open_, alike, 0.0)
-    top = np.argsort(-alike, axis=1, kind="stable")[:, :best]
-    a = np.repeat(np.arange(len(signs)), top.shape[1])
-    hopeful = alike[a, top.ravel()] >= HOPELESS
-    return a[hopeful], top.ravel()[hopeful]
+class _Part(NamedTuple):
+    """Texts of a part of one band: signatures, codes of all bands, totals, numbered groups, side and the band's place."""
 
+    signs: np.ndarray
+    codes: np.ndarray
+    totals: np.ndarray
+    roots: np.ndarray
+    side: np.ndarray
+    place: int
 
-def _compared(best: int, threshold: float):
-    """Over rows sorted by (band, part): the likeliest pairs of each part, which is held once at a time."""
+
+def _hopeful(p: _Part, threshold: float) -> np.ndarray:
+    """How alike the samples of each two texts are; 0 for pairs of one group, pairs of an earlier band and hopeless ones."""
+    alike = (p.signs[:, None, :] == p.signs[None, :, :]).mean(axis=2)
+    earlier = (p.codes[:, None, : p.place] == p.codes[None, :, : p.place]).any(axis=2)
+    open_ = (p.roots[:, None] != p.roots) & (np.minimum(p.totals[:, None], p.totals) >= threshold * np.maximum(p.totals[:, None], p.totals))
+    return np.where(open_ & ~earlier & (alike >= HOPELESS), alike, 0.0)
+
+
+def _likeliest(p: _Part, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a part: each text with the most alike one."""
+    alike = _hopeful(p, threshold)
+    a, top = np.arange(len(alike)), alike.argmax(axis=1)
+    some = alike[a, top] > 0
+    return a[some], top[some]
+
+
+def _all_hopeful(p: _Part, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places that are worth verifying, the most alike first; of two different parts, those across them."""
+    alike = np.triu(_hopeful(p, threshold), 1)
+    if p.side.any():
+        alike = np.where(p.side[:, None] != p.side, alike, 0.0)
+    a, b = np.nonzero(alike)
+    order = np.argsort(-alike[a, b], kind="stable")
+    return a[order], b[order]
+
+
+def _joining(a: np.ndarray, b: np.ndarray, sets: list, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Those of the pairs that are links and join two groups of the part; a pair within a group is not looked at."""
+    up = list(range(len(roots)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(int(roots[i])), find(int(roots[j]))
+        if x != y and weighted_jaccard(sets[i], sets[j]) >= threshold:
+            up[x] = y
+            out.append((i, j))
+    return out
+
+
+PAIRS, WORTH, JOINS = "pairs", "worth", "joins"
+
+
+def _compared(kind: str, threshold: float):
+    """Over rows sorted by (band, part), one part held at a time, one of three results.
+
+    PAIRS: (key, key2) of the likeliest pairs.  WORTH: the rows of texts with any pair worth verifying.
+    JOINS: (key, key2) of the links that join groups, verified in place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -299,23 +355,33 @@ def _compared(best: int, threshold: float):
             if table is None or not table.num_rows:
                 continue
             rows = table.combine_chunks().to_batches()[0]
-            band, part = rows.column("band").to_numpy(), rows.column("part").to_numpy()
+            band, part = rows.column("band").to_numpy(), rows.column("part").dictionary_encode().indices.to_numpy()
             first = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (part[1:] != part[:-1])]))
             end = np.append(first[1:], len(band))
             if batch is not None:  # the last part may go on
                 carry = rows.slice(int(first[-1]))
                 first, end = first[:-1], end[:-1]
-            keys = rows.column("key")
             signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint32).reshape(-1, BANDS)
             totals, roots = rows.column("total").to_numpy(), rows.column("root").dictionary_encode().indices.to_numpy()
-            a, b = [], []
+            place, side = rows.column("place").to_numpy(), rows.column("side").to_numpy()
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, j in zip(first.tolist(), end.tolist()):
-                if j - i > 1:
-                    x, y = _likeliest(signs[i:j], totals[i:j], np.unique(roots[i:j], return_inverse=True)[1], best, threshold)
-                    a.append(x + i)
-                    b.append(y + i)
-            if a:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (a, b)], names=["key", "key2"])
+                if j - i < 2:
+                    continue
+                p = _Part(signs[i:j], codes[i:j], totals[i:j], np.unique(roots[i:j], return_inverse=True)[1], side[i:j], int(place[i]))
+                x, y = _likeliest(p, threshold) if kind == PAIRS else _all_hopeful(p, threshold)
+                if kind == JOINS and len(x):
+                    h, w = rows.column("hash").slice(i, j - i).to_pylist(), rows.column("weight").slice(i, j - i).to_pylist()
+                    sets = [(np.frombuffer(u, np.uint64), np.frombuffer(v, np.float64), t) for u, v, t in zip(h, w, totals[i:j].tolist())]
+                    x, y = np.array(_joining(x, y, sets, p.roots, threshold), np.int64).reshape(-1, 2).T
+                a.append(x + i)
+                b.append(y + i)
+            a, b = np.concatenate(a), np.concatenate(b)
+            if kind == WORTH:
+                yield rows.select(["band", "part", "place", "side", "key", "total", "sign", "codes", "root"]).take(pa.array(np.unique(np.concatenate([a, b]))))
+            else:
+                yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(x)) for x in (a, b)], names=["key", "key2"])
 
     return run
 
@@ -350,16 +416,40 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _candidates(banded: DataFrame, roots: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) worth verifying, from bands that hold several components."""
-    if roots is None:
-        members = banded.withColumn("root", F.col("key"))
-    else:
-        members = banded.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed_bands = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "n")
-    dealt = members.join(mixed_bands, "band").withColumn("part", F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.ceil(F.col("n") / PART)).cast("int"))
-    met = dealt.select("band", "part", "key", "total", "sign", "root").repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(_compared(BEST[turn], threshold), "key binary, key2 binary")
-    return met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+MEMBER = "band long, part string, place int, side int, key binary, total double, sign binary, codes binary, root binary"
+
+
+def _members(parts: DataFrame) -> DataFrame:
+    return parts.select("band", F.col("part").cast("string").alias("part"), "place", "side", "key", "total", "sign", "codes", "root")
+
+
+def _together(parts: DataFrame) -> DataFrame:
+    return parts.repartition("band", "part").sortWithinPartitions("band", "part")
+
+
+def _dealt(banded: DataFrame) -> DataFrame:
+    """Each member of a band of several texts in one part of it."""
+    bands = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("key", "band"), F.ceil(F.col("n") / PART))
+    return _members(banded.join(bands, "band").withColumn("part", part).withColumn("side", F.lit(0)).withColumn("root", F.col("key")))
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Members of bands of several groups, as often as it takes for each one outside its band's largest group to meet all.
+
+    A small band is one part.  A larger one has parts 0 .. r-1 of the rest and r .. r+b-1 of the largest group; each part
+    of the rest meets itself, the other ones of the rest and each of the largest group.
+    """
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    bands = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("body")).where("n > body.n")
+    parts = lambda n, size: F.greatest(F.ceil(n / PART), F.ceil(size / PART_BYTES))
+    body = F.col("body.n"), F.col("body.bytes")
+    bands = bands.select("band", F.col("body.root").alias("body"), parts(F.col("n"), F.col("bytes")).alias("all"), parts(F.col("n") - body[0], F.col("bytes") - body[1]).alias("r"), parts(*body).alias("b"))
+    rest, draw, small = F.col("root") != F.col("body"), F.xxhash64("key", "band"), F.col("all") <= 1
+    own = F.when(small, 0).when(rest, F.pmod(draw, "r")).otherwise(F.col("r") + F.pmod(draw, "b"))
+    last = F.when(small, 0).when(rest, F.col("r") + F.col("b") - 1).otherwise(F.col("r") - 1)
+    spread = members.join(bands, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return _members(spread.withColumn("part", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", (F.col("own") > F.col("other")).cast("int")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -403,18 +493,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = cut(named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("block").alias("block"), F.count("*").alias("class_size"), F.max(F.col("doc_id").isNull()).alias("nameless")), "classes")
     classes = classes.withColumn("class_id", F.when(~F.col("nameless"), F.col("class_id"))).drop("nameless")
     own = sets.where("total is not null").select("key", "block", "total", "hash", "weight")
-    sampled = cut(own.mapInArrow(_sample, "key binary, total double, sign binary, bands array<long>"), "samples").dropDuplicates(["key"])
-    banded = cut(sampled.select("key", "total", "sign", F.explode("bands").alias("band")), "bands")
-    links, roots = None, None
-    for turn in range(len(BEST)):
-        pairs = cut(_candidates(banded, roots, turn, threshold), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "block"), "key")
-        used = cut(own.join(wanted, ["key", "block"]).dropDuplicates(["key"]).select("key", "total", "hash", "weight"), "used")
-        left = used.select(F.col("key").alias("a"), "total", "hash", "weight")
-        right = used.select(F.col("key").alias("b"), F.col("total").alias("total2"), F.col("hash").alias("hash2"), F.col("weight").alias("weight2"))
-        new = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a binary, b binary"), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+    sampled = cut(own.mapInArrow(_sample, "key binary, total double, bytes long, sign binary, codes binary, bands array<long>"), "samples").dropDuplicates(["key"])
+    banded = cut(sampled.select("key", "total", "bytes", "sign", "codes", F.posexplode("bands").alias("place", "band")), "bands")
+    # Equal texts in several blocks: the set of the least block.
+    own = own.join(classes.select("key", "block"), ["key", "block"]).select("key", "total", "hash", "weight")
+    pairs = _together(_dealt(banded)).mapInArrow(_compared(PAIRS, threshold), "key binary, key2 binary")
+    pairs = cut(pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    used = cut(own.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "used")
+    left = used.select(F.col("key").alias("a"), "total", "hash", "weight")
+    right = used.select(F.col("key").alias("b"), F.col("total").alias("total2"), F.col("hash").alias("hash2"), F.col("weight").alias("weight2"))
+    links = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a binary, b binary"), "links")
+    members = banded.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    worth = cut(_together(_met(members)).mapInArrow(_compared(WORTH, threshold), MEMBER), "worth")
+    used = cut(own.join(worth.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "hash", "weight"), "used")
+    joins = _together(worth.join(used, "key")).mapInArrow(_compared(JOINS, threshold), "key binary, key2 binary")
+    links = links.unionByName(cut(joins.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")), "links"))
+    roots = components(links)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     rooted = classes.join(roots, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = F.min(F.struct(F.col("class_id").isNotNull().alias("known"), F.col("class_id")))
