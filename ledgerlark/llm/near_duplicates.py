@@ -495,19 +495,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = sets.where("total is not null").select("key", "block", "total", "hash", "weight")
     sampled = cut(own.mapInArrow(_sample, "key binary, total double, bytes long, sign binary, codes binary, bands array<long>"), "samples").dropDuplicates(["key"])
     banded = cut(sampled.select("key", "total", "bytes", "sign", "codes", F.posexplode("bands").alias("place", "band")), "bands")
-    # Equal texts in several blocks: the set of the least block.
-    own = own.join(classes.select("key", "block"), ["key", "block"]).select("key", "total", "hash", "weight")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """One set per wanted text, that of its class's block; the narrow side finds the block, so that sets need not move."""
+        wanted = keys.distinct().join(classes.select("key", "block"), "key")
+        return cut(own.join(wanted, ["key", "block"]).dropDuplicates(["key"]).select("key", "total", "hash", "weight"), "used")
+
     pairs = _together(_dealt(banded)).mapInArrow(_compared(PAIRS, threshold), "key binary, key2 binary")
     pairs = cut(pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    used = cut(own.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "used")
+    used = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")))
     left = used.select(F.col("key").alias("a"), "total", "hash", "weight")
     right = used.select(F.col("key").alias("b"), F.col("total").alias("total2"), F.col("hash").alias("hash2"), F.col("weight").alias("weight2"))
     links = cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a binary, b binary"), "links")
     members = banded.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
     worth = cut(_together(_met(members)).mapInArrow(_compared(WORTH, threshold), MEMBER), "worth")
-    used = cut(own.join(worth.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "hash", "weight"), "used")
-    joins = _together(worth.join(used, "key")).mapInArrow(_compared(JOINS, threshold), "key binary, key2 binary")
+    joins = _together(worth.join(sets_of(worth.select("key")).drop("total"), "key")).mapInArrow(_compared(JOINS, threshold), "key binary, key2 binary")
     links = links.unionByName(cut(joins.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")), "links"))
     roots = components(links)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
