@@ -68,6 +68,31 @@ def test_secrets_below_layers():
     assert secret_scan.secrets(loop)[2] >= 1
 
 
+def test_secrets_in_glued_damaged_and_large_layers():
+    inner = b"password=hunter2hunter2"
+    token = base64.b64encode(inner).decode()
+
+    def spans(text):
+        return {(a, b) for k, a, b in secret_scan.secrets(text)[1] if k == "assign"}
+
+    for before, after in (("a/" + "segment-" * 9, ""), ("", "/download"), ("", "_v2-final"), ("x_y/" * 40, "-a_b" * 40), ("k_", "/" + token)):
+        at = len(before)
+        assert (at, at + len(token.rstrip("="))) in spans(f"{before}{token.rstrip('=')}{after}"), (before, after)
+    for odd in ("\u00a0", "\u200b", "\u00ad", "\f", "\v", "\0"):
+        raw = f"note{odd} ".encode() + inner
+        for packed in (raw, gzip.compress(raw), zlib.compress(raw)):
+            assert spans("see " + base64.b64encode(packed).decode()), (odd, packed)
+    for packed in (b"caf\xe9 " + inner, gzip.compress(b"caf\xe9 " + inner)):
+        assert spans(base64.b64encode(packed).decode())
+    assert spans("%FF" + quote(inner.decode(), safe="").replace("=", "%3D")) and spans("%70%61%73%73%77%6F%72%64%3D%68%75%6E%74%65%72%32%FF")
+    glued = base64.b64encode(gzip.compress(inner)).decode().rstrip("=")
+    assert spans(f"a-{glued}/raw") == {(2, 2 + len(glued))}
+    # Twice the same token: both places; a layer beyond the budget is read to its end.
+    assert len(spans(f"{token} and {token}")) == 2
+    large = base64.b64encode(gzip.compress(gzip.compress(b"some words " * 1_000_000 + inner))).decode()
+    assert spans(large) and secret_scan.secrets(large, 1 << 20)[1:4:2] == (secret_scan.secrets(large)[1], 1)
+
+
 def plain_personal(t):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
