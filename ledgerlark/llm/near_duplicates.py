@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ THRESHOLD = 0.8
 IDF = 0.25
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-#: Pairs whose samples agree less often than this are not verified; at the threshold that is 2.6 deviations off.
-HOPELESS = 0.65
+#: Pairs of a band whose samples agree less often than this are not verified.  Given the three of the band, a pair at the
+#: threshold misses it with chance 1.4e-7 (21 or more of 45 are left to agree); the bands miss such a pair with chance 1e-5.
+HOPELESS = 0.5
 #: Bands with more members are dealt into parts of this size, anew in every band.
 PART = 512
 #: Likewise bands whose weighted sets take more bytes than this, in the turn that moves them.
@@ -91,8 +93,9 @@ def idf_weight(df: np.ndarray, documents: int) -> np.ndarray:
 class _Block:
     """Shingles of distinct texts on their way to the hash ranges."""
 
-    def __init__(self, buckets: int, mask: int) -> None:
+    def __init__(self, buckets: int, mask: int, partition: int = 0) -> None:
         self.buckets, self.mask = buckets, np.uint64(mask)
+        self.partition, self.turn = partition, 0
         self.clear()
 
     def clear(self) -> None:
@@ -123,7 +126,7 @@ class _Block:
         return self.size >= BLOCK_SHINGLES or len(self.copies) >= BLOCK_TEXTS or len(self.ids) >= 4 * BLOCK_TEXTS
 
     def rows(self, schema: pa.Schema, id_type: pa.DataType) -> pa.RecordBatch:
-        """All rows of the block; its name is made of its content, so that a task run again names it alike."""
+        """All rows of the block; its name is made of its content and place, so that a task run again names it alike."""
         columns: dict[str, list] = {f.name: [] for f in schema}
 
         def put(**values) -> None:
@@ -131,7 +134,7 @@ class _Block:
                 column.append(values.get(name))
 
         sizes = [len(h) for h in self.hashes]
-        seed = np.array([len(self.ids), self.size, *(int.from_bytes(k[:8], "little") for k in self.index)], np.uint64)
+        seed = np.array([self.partition, self.turn, len(self.ids), self.size, *(int.from_bytes(k[:8], "little") for k in self.index)], np.uint64)
         block = int(mixed(np.bitwise_xor.reduce(mixed(seed * ODD + np.arange(len(seed), dtype=np.uint64)), keepdims=True))[0] ^ np.uint64(hash_words([repr(self.ids[0])])[0])) - (1 << 63)
         if sizes:
             h = np.concatenate(self.hashes)
@@ -153,6 +156,7 @@ class _Block:
             put(kind=1, block=block, bucket=block % self.buckets, key=b"".join(self.index), hash=_pack(h[shared]), docs=np.stack([totals, np.asarray(self.copies)]).tobytes(), text=_planes(text[shared].astype(np.uint16)), count=_planes(n[shared].astype(np.uint32)))
         for doc_id, key in zip(self.ids, self.keys):
             put(kind=2, block=block, bucket=block % self.buckets, doc_id=doc_id, key=key)
+        self.turn += 1
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns.values(), schema)], schema=schema)
 
@@ -453,12 +457,10 @@ def _met(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs``: class_id (least doc_id of equal texts), group_id (least doc_id of linked texts), sizes, links.
+    """Per row of ``docs``: class_id (least doc_id of equal texts), group_id (least doc_id of linked texts), sizes.
 
     Texts are equal if their words are, A-Z in lower case; they are linked if the weighted Jaccard similarity of their
-    five-word shingles reaches the threshold.  ``n_links`` counts the links of a row's text that
-    grouping verified.  Texts of fewer
-    words are one shingle.  A null or empty text, or one of white space, has no words and stays alone: its ids are its
+    five-word shingles reaches the threshold.  Texts of fewer words are one shingle.  A null or empty text, or one of white space, has no words and stays alone: its ids are its
     own doc_id.  Repeated rows are equal texts and count in the sizes.  A null doc_id is the least of its class, like
     any other.  No rows give no rows.
     """
@@ -475,7 +477,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sent_schema = to_arrow_schema(sent)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(buckets, mask)
+        block = _Block(buckets, mask, TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
@@ -512,15 +514,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joins = _together(worth.join(sets_of(worth.select("key")).drop("total"), "key")).mapInArrow(_compared(JOINS, threshold), "key binary, key2 binary")
     links = links.unionByName(cut(joins.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")), "links"))
     roots = components(links)
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    rooted = classes.join(roots, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = F.min(F.struct(F.col("class_id").isNotNull().alias("known"), F.col("class_id")))
     groups = rooted.groupBy("root").agg(first["class_id"].alias("group_id"), F.sum("class_size").alias("group_size"))
-    full = rooted.join(groups, "root").select("key", "class_id", "class_size", "group_id", "group_size", "n_links", F.lit(True).alias("named"))
+    full = rooted.join(groups, "root").select("key", "class_id", "class_size", "group_id", "group_size", F.lit(True).alias("named"))
     out = named.join(full, "key", "left")
     return out.select(
         "doc_id", *(F.when(F.col("named"), F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("class_id", "group_id")),
-        *(F.coalesce(F.col(c), F.lit(d)).cast("long").alias(c) for c, d in (("class_size", 1), ("group_size", 1), ("n_links", 0))),
+        *(F.coalesce(F.col(c), F.lit(d)).cast("long").alias(c) for c, d in (("class_size", 1), ("group_size", 1))),
     )
 
 

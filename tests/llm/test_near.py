@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import no_rows, texts_of
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerlark.llm import near_duplicates as near
 
@@ -98,3 +100,31 @@ def test_samples_meet_similarity():
 def test_codec_of_hash_ranges():
     h = np.sort(np.random.default_rng(2).integers(0, 2**63, 1000).astype(np.uint64))
     assert (near._unpack(near._pack(h)) == h).all() and len(near._unpack(near._pack(h[:0]))) == 0
+
+
+def test_no_pair_of_a_band_is_lost_to_its_samples():
+    """Pairs a little above the threshold that share a band are all hopeful."""
+    rng, shared = np.random.default_rng(5), 0
+    for _ in range(1500):
+        h = np.sort(rng.integers(0, 2**63, 111).astype(np.uint64))
+        got = np.stack([near.weighted_samples(s, np.ones(100)) for s in (h[:100], h[11:])])  # 89 of 111
+        agree = (got[0] == got[1]).reshape(near.BANDS, near.ROWS).all(axis=1)
+        if agree.any():
+            shared += 1
+            codes = np.stack([np.arange(near.BANDS), np.where(agree, np.arange(near.BANDS), 99)]).astype(np.uint32)
+            part = near._Part((got & np.uint64(255)).astype(np.uint8), codes, np.full(2, 100.0), np.arange(2), np.zeros(2, int), int(agree.argmax()))
+            assert len(near._all_hopeful(part, near.THRESHOLD)[0]) == 1
+    assert shared > 1400
+
+
+def test_blocks_of_one_content(spark):
+    """Equal blocks of two tasks, and of one task, have names of their own; a task run again names them alike."""
+    schema = to_arrow_schema(StructType.fromDDL(near.SENT.format(id="long")))
+
+    def names(partition):
+        block = near._Block(1, 0, partition)
+        for _ in range(2):
+            block.add(7, "a text of a few words that two tasks read")
+            yield block.rows(schema, schema.field("doc_id").type).column("block")[0].as_py()
+
+    assert len({*names(0), *names(1)}) == 4 and [*names(1)] == [*names(1)]
