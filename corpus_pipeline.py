@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import bpe, decontaminate, exact, near_duplicates, quality
-from ledgerlark.llm.common import cut, null_safe
+from ledgerlark.llm.common import cut, text_mark
 
+#: Column of the row key while a stage works.
+KEY = "__key"
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among the kept ones; null is an id."""
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key by which stages tell rows apart: doc_id, which may be null or repeated, and the text's hash."""
+    mark = F.nullif(text_mark(), F.lit(""))  # never null, but of a type that may be, as operators declare theirs
+    return docs.withColumn(KEY, F.struct("doc_id", mark.alias("mark")))
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """The key in place of doc_id, in whose order it is, and the text."""
+    return _keyed(docs).select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` joined (semi or anti) to ``keys`` (doc_id, mark)."""
+    keys = keys.select(F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"))
+    keyed = docs.withColumn(KEY, text_mark())
+    return keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["key_id"]) & (keyed[KEY] == keys["key_mark"]), how).drop(KEY)
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +42,21 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     groups = cut(exact.exact_groups(docs), "groups")
-    out = _only(docs, groups.where("kept"))
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    out = _joined(docs, groups.where("kept"), "left_semi")
+    repeated = groups.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    return _keyed(out).dropDuplicates([KEY]).drop(KEY) if repeated else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates."""
-    return _only(docs, near_duplicates.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id"))))
+    groups = near_duplicates.near_duplicates(_by_key(docs))
+    return _joined(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id.*"), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, null_safe(docs, leaks, "doc_id"), "left_anti")
+    found = decontaminate.contamination(_by_key(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _joined(docs, found.where("contaminated").select("doc_id.*").distinct(), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

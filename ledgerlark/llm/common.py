@@ -69,6 +69,11 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_mark() -> Column:
+    """Hash of a row's whole text, null as empty; with doc_id it tells rows apart that share an id or have none."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, keep: str = "doc_id") -> DataFrame:
     """One output row per input row: the kept column and what ``row(text)`` returns, a few hundred texts at a time."""
 

@@ -111,3 +111,24 @@ def test_stages_on_awkward_rows(spark, awkward):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
                 docs = out
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null ids, and an id of two sources, over different texts: each row has its own group and its own fate."""
+    import corpus_pipeline
+
+    leak = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    long = [" ".join(f"{a}{i}" for i in range(80)) for a in "pqr"]
+    rows = [(None, "first text"), (None, "second text, alone"), (None, "third  text"), (5, "third text"), (5, "another one"), (5, "first text"), (7, "seven"), (7, "seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(rows_of(exact.exact_groups(docs), "doc_id", "keep_id", "group_size", "kept"), key=repr)
+    want = [(None, None, 2, True), (None, None, 1, True), (None, None, 2, True), (5, None, 2, False), (5, 5, 1, True), (5, None, 2, False), (7, 7, 2, True), (7, 7, 2, False)]
+    assert got == sorted(want, key=repr)
+    kept = rows_of(corpus_pipeline.drop_copies(spark, docs, SF), "doc_id", "text")
+    assert sorted(kept, key=repr) == sorted([*rows[:3], rows[4], rows[6]], key=repr)
+    near = [(None, long[0]), (None, long[0] + " end"), (None, long[1]), (3, long[2]), (3, long[1] + " end")]
+    kept = rows_of(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string"), SF), "doc_id", "text")
+    assert len(kept) == 3 and {near[2], near[3]} <= set(kept) and near[4] not in kept
+    leaked = [(None, leak), (None, long[0]), (4, leak), (4, long[1])]
+    kept = rows_of(corpus_pipeline.drop_leaks(spark, spark.createDataFrame(leaked, "doc_id long, text string"), SF), "doc_id", "text")
+    assert sorted(kept, key=repr) == sorted([leaked[1], leaked[3]], key=repr)
