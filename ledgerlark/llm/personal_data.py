@@ -19,8 +19,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-GROUP = re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{1,7}")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+DIGITS = re.compile(r"[0-9]+")
+#: An account's start and what may belong to it; where it ends, mod 97 says.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 #: Words beside a span that speak for or against it; a span's score starts at BASE and gains or loses STEP for them.
@@ -85,19 +86,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _cards_within(text: str, start: int, end: int):
+    """Cards among whole digit groups of a run: 13 to 19 digits in groups of four or more, the last of any size.
+
+    Every group may start one; of those that overlap the first and longest stays.
+    """
+    groups, done = [(m.start(), m.end()) for m in DIGITS.finditer(text, start, end)], start
+    for i, (a, _) in enumerate(groups):
+        if a < done:
+            continue
+        digits, best = "", None
+        for c, d in groups[i:]:
+            digits += text[c:d]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn(digits):
+                best = d
+            if d - c < 4:
+                break
+        if best:
+            yield a, best
+            done = best
+
+
+def _ibans(text: str):
+    """From each start the longest account that ends at the end of a word and passes mod 97."""
+    m = IBAN.search(text)
+    while m:
+        after = m.start() + 4
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            if 15 <= len(bare := text[m.start() : end].replace(" ", "")) <= 34 and mod97(bare):
+                yield m.start(), end
+                after = end
+                break
+        m = IBAN.search(text, after)
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Finds beyond the base: cards inside longer digit runs, bank accounts (mod 97), social security numbers."""
-    out, taken = [], {(a, b) for k, a, b in base if k == "card"}
-    for m in CARD.finditer(text):
-        if m.end() - m.start() > 19 and (m.start(), m.end()) not in taken:
-            for g in GROUP.finditer(text, m.start(), m.end()):
-                digits = NOT_DIGIT.sub("", g[0])
-                whole = (g.start() == 0 or not text[g.start() - 1].isdigit()) and (g.end() == len(text) or not text[g.end()].isdigit())
-                if whole and 13 <= len(digits) <= 19 and luhn(digits):
-                    out.append(("card", g.start(), g.end()))
-    for m in IBAN.finditer(text):
-        if 15 <= len(bare := m[0].replace(" ", "")) <= 34 and mod97(bare):
-            out.append(("iban", m.start(), m.end()))
+    taken = {(a, b) for k, a, b in base if k == "card"}
+    runs = [m.span() for m in CARD.finditer(text) if m.end() - m.start() > 13 and m.span() not in taken]
+    out = [("card", a, b) for run in runs for a, b in _cards_within(text, *run)]
+    out += [("iban", a, b) for a, b in _ibans(text)]
     out += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
     return [s for s in out if score(text, *s) >= LEAST]
 

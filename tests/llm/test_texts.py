@@ -290,3 +290,16 @@ def test_contamination(spark, docs):
     same(decontaminate.contamination(docs, items), list(plain_contamination(texts_of(docs), known)), *columns)
     assert decontaminate.contamination(no_rows(docs), items).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, no_rows(items)).collect())
+
+
+def test_accounts_and_cards_beside_other_words():
+    def added(text):
+        return [(k, text[a:b]) for k, a, b in personal_data.added_spans(text, personal_data.base_spans(text))]
+
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for text, want in ((f"{de} 2024", de), (f"{gb} AND more", gb), (f"IBAN {de} {gb} X", de)):
+        assert ("iban", want) in added(text), text
+    assert ("iban", gb) in added(f"IBAN {de} {gb} X")
+    for text, want in (("2 4111111111111111", "4111111111111111"), ("12 3782 822463 10005 7 1", "3782 822463 10005"), ("1 4111 1111 1111 1111", "4111 1111 1111 1111")):
+        assert ("card", want) in added(text), text
+    assert added("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20") == []
