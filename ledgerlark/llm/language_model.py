@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS, WORD, cut, hash_words, texts
 
 ORDER = 4
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text that are cut into grams at a time.
 PIECE_BYTES = 1 << 20
 START, END, SYMBOLS = 0xFE, 0xFF, 257  # neither byte occurs in UTF-8; symbols are 256 bytes and the end
@@ -173,16 +173,23 @@ def _score(tokens: int, distinct: int):
         keys, lps = known.column("gram").to_numpy(), known.column("lp").to_numpy()
         order = np.argsort(keys)
         keys, lps = keys[order], lps[order]
-        counts: dict[str, int] = {}
-        packed = told.filter(pc.is_valid(told.column("words")))
-        for w, c in zip(packed.column("words").to_pylist(), packed.column("counts").to_pylist()):
-            counts.update(zip(w.decode().split(" "), np.frombuffer(c, np.int64).tolist()))
+        named, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        packed = told.filter(pc.is_valid(told.column("words"))).select(["words", "counts"])
+        del told, known
+        for row in packed.to_batches(max_chunksize=1):
+            w, c = row.column(0)[0].as_py(), row.column(1)[0].as_py()
+            named.append(hash_words(w.decode().split(" ")))
+            counts.append(np.frombuffer(c, np.int64))
+        del packed
+        named, counts = np.concatenate(named), np.concatenate(counts).astype(float)
+        order = np.argsort(named)
+        named, counts = named[order], counts[order]
         n_tokens, n_known, base, score = [], [], [], []
         for _, raw in _pieces(docs):
             g, first = _grams(raw)
             score += np.add.reduceat(lps[np.searchsorted(keys, g)], first).tolist()
             for t in raw:
-                c = np.fromiter(map(counts.__getitem__, [*WORD.findall(t.decode()), END_WORD]), np.float64)
+                c = counts[np.searchsorted(named, hash_words([*WORD.findall(t.decode()), END_WORD]))]
                 n_tokens.append(len(c))
                 n_known.append(int(np.count_nonzero(c)))
                 base.append(float(np.log10(c + ALPHA).sum() - floor * len(c)))
