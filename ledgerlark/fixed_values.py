@@ -147,7 +147,6 @@ STRUCTURAL_FILTERS = (
     {"rating_gap": 0.0, "lineup_gap": 0.0},
     {"ppg_gap": 0.0, "split_ppg_gap": 0.0},
 )
-EXPANSION_LIMIT = 220
 
 # --- fixed values: stored-review rule table ---------------------------------
 # (unified decision, evidence grade): decision, outcome decision, stake multiplier, confidence delta

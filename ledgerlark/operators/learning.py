@@ -506,22 +506,13 @@ CATEGORY_COUNT, STRUCTURAL_COUNT = len(V.CATEGORY_FILTERS), len(V.STRUCTURAL_FIL
 VARIANTS_PER_RULE = (1 + CATEGORY_COUNT) * (1 + STRUCTURAL_COUNT)
 
 
-def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT) -> DataFrame:
-    """The best base rules combined with category and structural filters.
+def expanded_cells(rows: DataFrame) -> DataFrame:
+    """Actions, hits and return of both splits per combination of threshold indices, category and structural filter.
 
-    Which filters a row passes is two bit masks, so rows collapse to cells of
-    (threshold indices, masks); the chosen rules (at most ``limit`` constants)
-    meet cells, and the filter combinations are read off the masks afterwards.
-    Every chosen rule is judged with every combination.
+    Which filters a row passes is two bit masks; rows collapse to cells of (indices, masks) first, and a mask is then
+    read off bit by bit, so the filters cost cells, not rows.
     """
-    chosen = (
-        outcome_rules(rows).filter(F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS)
-        .orderBy(rule_score("train").desc(), "rule_id").limit(limit).select("rule_id", *O_ORDER).collect()
-    )
-    if not chosen:
-        return outcome_rules(rows).limit(0)
     val = F.col("is_validation")
-    totals = rows.agg(F.count_if(~val).alias("t"), F.count_if(val).alias("v")).first()
     g = V.OUTCOME_GRID
     extra = filter_columns()
     packed = rows.withColumn("_x", F.struct(*[c.alias(n) for n, c in extra.items()]))
@@ -545,32 +536,33 @@ def expanded_rules(rows: DataFrame, limit: int = V.EXPANSION_LIMIT) -> DataFrame
             ("actions", F.count_if(flag)), ("hits", F.sum(F.when(flag, F.col("hit")).otherwise(0))),
             ("roi", F.sum(F.when(flag, F.col("roi")).otherwise(0.0))))
     ])
-    names = [f"{s}_{n}" for s in ("train", "validation") for n in ("actions", "hits", "roi")]
-    rules = F.array(*[
-        F.struct(F.lit(i).alias("place"), *[F.lit(r[k]).alias(k) for k in O_ORDER]) for i, r in enumerate(chosen)
-    ])
+    by_bit = cells.withColumn("struct", F.explode(_bits("structs", STRUCTURAL_COUNT))).groupBy(*O_ORDER, "cats", "struct").agg(*_sums())
+    return by_bit.withColumn("cat", F.explode(_bits("cats", CATEGORY_COUNT))).groupBy(*O_ORDER, "cat", "struct").agg(*_sums())
 
-    def passes(r: Column) -> Column:
-        test = (F.col("direction") == r["direction"]) & (F.col("odds_max") >= len(g["odds_max"]) - r["odds_max"])
-        for k in O_ORDER[2:]:
-            test = test & (F.col(k) > r[k])
-        return test
 
-    places = F.transform(F.filter(rules, passes), lambda r: r["place"])
-    met = cells.select(F.explode(places).alias("place"), "cats", "structs", *names).groupBy("place", "cats", "structs").agg(
-        *[F.sum(n).alias(n) for n in names]
-    )
-    spread = met.withColumn("cat", F.explode(_bits("cats", CATEGORY_COUNT))).withColumn(
-        "struct", F.explode(_bits("structs", STRUCTURAL_COUNT))
-    )
+def _sums() -> list[Column]:
+    return [F.sum(n).alias(n) for n in SPLIT_SUMS]
+
+
+SPLIT_SUMS = tuple(f"{s}_{n}" for s in ("train", "validation") for n in ("actions", "hits", "roi"))
+
+
+def expanded_rules(rows: DataFrame) -> DataFrame:
+    """All 12,960 base rules, each with all 198 combinations of a category and a structural filter, on both splits.
+
+    Every rule is judged: the thresholds are cumulated over the cells of each filter combination, as those of the
+    base grid are, so no rule is chosen beforehand and nothing is brought to the driver but two row counts.
+    """
+    val = F.col("is_validation")
+    totals = rows.agg(F.count_if(~val).alias("t"), F.count_if(val).alias("v")).first()
+    cube = _outcome_cube(expanded_cells(rows), ["cat", "struct"], list(SPLIT_SUMS))
     # Listed order within a rule: bare, categories, structures, then category x structure.
     c, t = F.col("cat"), F.col("struct")
     offset = (
         F.when(t == 0, c).when(c == 0, CATEGORY_COUNT + t)
         .otherwise(1 + CATEGORY_COUNT + STRUCTURAL_COUNT + (c - 1) * STRUCTURAL_COUNT + (t - 1))
     )
-    out = spread.groupBy("place", "cat", "struct").agg(*[F.sum(n).alias(n) for n in names])
-    out = out.withColumn("rule_id", (F.col("place") * VARIANTS_PER_RULE + offset).cast("long"))
+    out = cube.withColumn("rule_id", (F.col("rule_id") * VARIANTS_PER_RULE + offset).cast("long"))
     return out.withColumns(
         {**grid_metrics(out, "train", F.lit(totals["t"])), **grid_metrics(out, "validation", F.lit(totals["v"]))}
     )

@@ -215,11 +215,62 @@ def fit_outcome_rules(spark, sf_dir):
     return _front_cols(learning.fit_outcome_rules(rows(spark, sf_dir)))
 
 
-@query("fit_expanded_outcome_rules", None)
+def _steps() -> str:
+    """One threshold after the other replaced by the positions it reaches, each step a sum over the cells before."""
+    dims = ("a", "b", "c", "d", "e", "f", "g", "k")
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("tn", "th", "tr", "vn", "vh", "vr"))
+    out, before = [], "xcat"
+    for i, (dim, values) in enumerate(zip(dims, _OG.values()), 1):
+        test = "i1 <= p" if i == 1 else f"i{i} > p"
+        keys = ", ".join([*dims[: i - 1], *(f"i{j}" for j in range(i + 1, 9))])
+        out.append(f"x{i} AS MATERIALIZED (SELECT dr, cat, st, {keys}, p AS {dim}, {sums} FROM {before}, range({len(values)}) t(p) WHERE {test} GROUP BY ALL)")
+        before = f"x{i}"
+    return ",\n".join(out)
+
+
+def _gap(name: str) -> str:
+    g = {
+        "rating_gap": "home_rating - away_rating", "ppg_gap": "recent_home_ppg - recent_away_ppg", "split_ppg_gap": "home_split_ppg - away_split_ppg",
+        "lineup_gap": "lineup_home_availability - lineup_away_availability", "absence_gap": "away_absence_impact - home_absence_impact", "h2h_gap": "h2h_edge",
+    }[name]
+    return f"(CASE oc WHEN 'home' THEN {g} WHEN 'away' THEN -({g}) ELSE -abs({g}) END)"
+
+
+_CAT_COLUMN = {"outcomes": "oc", "review_decisions": "review_decision", "arbiter_decisions": "arbiter_decision", "effective_sources": "effective_action_source", "algo_actions": "algo_recommendation"}
+_CATS = [f"{_CAT_COLUMN[k]} IN ({', '.join(repr(x) for x in v)})" for f in V.CATEGORY_FILTERS for k, v in f.items()]
+_STRUCTS = [" AND ".join(f"{_gap(k)} >= {v}::DOUBLE" for k, v in f.items()) for f in V.STRUCTURAL_FILTERS]
+_passed = lambda tests: f"unnest(list_filter([0, {', '.join(f'CASE WHEN {t} THEN {i} END' for i, t in enumerate(tests, 1))}], lambda x: x IS NOT NULL))"
+_XCELL = f"""xrow AS (SELECT *, CASE WHEN h = 1 AND od > 0 THEN round(0.01::DOUBLE * (od - 1e0), 4) WHEN h = 1 THEN 0e0 ELSE -0.01::DOUBLE END AS r,
+  CASE WHEN od <= 0 THEN 9 {' '.join(f'WHEN od <= {c} THEN {i}' for i, c in enumerate(_OG['odds_max']))} ELSE 9 END AS i1,
+  {_idx(by_outcome('oc', *_P), _OG['prob_min'])} AS i2, {_idx(by_outcome('oc', *_MPS), _OG['market_prob_min'])} AS i3, {_idx('quality_score', _OG['quality_min'])} AS i4,
+  {_idx('confidence_score', _OG['confidence_min'])} AS i5, {_idx(by_outcome('oc', *_E), _OG['ev_min'])} AS i6, {_idx(margin_of('oc', *_P), _OG['prob_margin_min'])} AS i7, {_idx(margin_of('oc', *_E), _OG['ev_margin_min'])} AS i8 FROM o3),
+xst AS (SELECT *, {_passed(_STRUCTS)} AS st FROM xrow),
+xcat AS MATERIALIZED (SELECT dr, cat, st, i1, i2, i3, i4, i5, i6, i7, i8, {', '.join(f'sum(CASE WHEN {f} THEN {c} ELSE 0 END) AS {s}{n}' for s, f in (('t', 'NOT val'), ('v', 'val')) for n, c in (('n', '1'), ('h', 'h'), ('r', 'r')))}
+  FROM (SELECT dr, st, i1, i2, i3, i4, i5, i6, i7, i8, val, h, r, {_passed(_CATS)} AS cat FROM xst) GROUP BY ALL),
+{_steps()},
+xmet AS (SELECT rule_id, {', '.join(f"{big(f'{s}_{n}')} AS {s}_{n}" for s in ('train', 'validation') for n in ('actions', 'hits'))}, train_roi, validation_roi,
+  {_metrics('train', '(SELECT count(*) FROM lr WHERE NOT val)')}, {_metrics('validation', '(SELECT count(*) FROM lr WHERE val)')}
+  FROM (SELECT CAST((((((((dr * 5 + a) * 3 + b) * 3 + c) * 3 + d) * 2 + e) * 2 + f) * 2 + g) * 2 + k AS BIGINT) * {learning.VARIANTS_PER_RULE}
+    + CASE WHEN st = 0 THEN cat WHEN cat = 0 THEN {learning.CATEGORY_COUNT} + st ELSE 1 + {learning.CATEGORY_COUNT + learning.STRUCTURAL_COUNT} + (cat - 1) * {learning.STRUCTURAL_COUNT} + st - 1 END AS rule_id,
+    tn AS train_actions, th AS train_hits, tr AS train_roi, vn AS validation_actions, vh AS validation_hits, vr AS validation_roi FROM x8))"""
+
+
+@query("fit_expanded_outcome_rules", with_wide(_front("xmet", V.OUTCOME_TARGET), SETTLED, _ROWS, _OCELL, _XCELL))
 def fit_expanded_outcome_rules(spark, sf_dir):
     return _front_cols(learning.fit_expanded_rules(rows(spark, sf_dir)))
 
 
+@query("expanded_filter_totals", with_wide(
+    f"""SELECT cat AS category_filter, st AS structural_filter, count(*) AS rules_met, {big('sum(tn)')} AS train_actions, {big('sum(vn)')} AS validation_actions, {big('sum(th)')} AS train_hits,
+    {big('sum(vh)')} AS validation_hits, {big('max(tn)')} AS widest_train_actions FROM x8 GROUP BY 1, 2""", SETTLED, _ROWS, _OCELL, _XCELL))
+def expanded_filter_totals(spark, sf_dir):
+    """What each of the 198 filter combinations lets through, over all base rules."""
+    total = lambda c: F.sum(c).alias(c)
+    return learning.expanded_rules(rows(spark, sf_dir)).groupBy(F.col("cat").alias("category_filter"), F.col("struct").alias("structural_filter")).agg(
+        F.count("*").alias("rules_met"), *[total(f"{s}_{n}") for n in ("actions", "hits") for s in ("train", "validation")], F.max("train_actions").alias("widest_train_actions"),
+    )
+
+
 _WF = f"""wf AS (SELECT rule_id, period_rank, sum(n) AS a, sum(h) AS h, sum(r) AS r
   FROM orule JOIN ocell ON dr = d0 AND i1 <= orule.a AND i2 > b AND i3 > c AND i4 > d AND i5 > e AND i6 > f AND i7 > g AND i8 > k GROUP BY 1, 2),
 wt AS (SELECT *, coalesce(sum(a) OVER (PARTITION BY rule_id ORDER BY period_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ta FROM wf),
