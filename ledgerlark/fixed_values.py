@@ -222,3 +222,11 @@ PAGE_GROUPS = (
     ("dim2-lineup", "soccerway.com", ""),
     ("dim2-lineup", "livescore.com", ""),
 )
+
+# --- fixed values: match features -------------------------------------------
+# points a rating gains per point a game, split point a game, goal difference a game, and per point of the value gap
+STRENGTH_SHARES = {"points": 24.0, "split": 18.0, "goals": 22.0, "value": 0.45}
+VALUE_GAP_SCALE, VALUE_GAP_LIMIT = 85.0, 190.0
+MOTIVATION_MARK, MOTIVATION_SIGNAL = "参考最近交锋", 0.15
+ENOUGH_GAMES = 6
+LINEUP_FALLBACKS = ("lineup fallback not found", "injury fallback not found")

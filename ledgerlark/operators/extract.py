@@ -198,8 +198,8 @@ def lineup_metrics(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns(out).drop("_lines", "_signal", "_home", "_away", "_injury", "_hs", "_as", "_hi", "_ai")
 
 
-def summary_features(df: DataFrame) -> DataFrame:
-    """All summary-text features of the analyses table as structs, one projection chain."""
+def summary_features(df: DataFrame, listed: tuple[Column, Column, Column] | None = None) -> DataFrame:
+    """All summary-text features of the analyses table as structs, one projection chain; ``listed`` odds stand in for quoted ones."""
     df = with_captures(df, {
         "_rh": ("recent_form_home", V.RECORD_PATTERN, 9), "_ra": ("recent_form_away", V.RECORD_PATTERN, 9),
         "_ha": ("home_away_form", V.HOME_AWAY_PATTERN, 10), "_hh": ("head_to_head_summary", V.H2H_PATTERN, 6),
@@ -208,14 +208,14 @@ def summary_features(df: DataFrame) -> DataFrame:
         "_hc": ("asian_handicap_summary", V.HANDICAP_PATTERN, 6), "_bh": ("betting_heat_summary", V.HEAT_PATTERN, 3),
     }).withColumn("_mv", team_values("market_value_summary"))
     pack = lambda d: F.struct(*[c.alias(n) for n, c in d.items()])
-    zero = (F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    listed = listed or (F.lit(0.0), F.lit(0.0), F.lit(0.0))
     heat = {o: _dbl("_bh", i) / 100.0 for i, o in enumerate(V.OUTCOMES)}
     return df.withColumns(
         {
             "recent_home": pack(record_metrics("_rh")), "recent_away": pack(record_metrics("_ra")),
             "split": pack(home_away_metrics("_ha")), "h2h": pack(h2h_metrics("_hh")),
             "strength_home": pack(strength_metrics("_eh")), "strength_away": pack(strength_metrics("_ea")),
-            "odds": pack(odds_triple("_od", zero)), "handicap": pack(handicap_quotes("_hc")),
+            "odds": pack(odds_triple("_od", listed)), "handicap": pack(handicap_quotes("_hc")),
             "heat": pack(heat), "team_value": pack(team_value_metrics("_mv")),
         }
     ).drop("_rh", "_ra", "_ha", "_hh", "_eh", "_ea", "_od", "_hc", "_bh", "_mv")

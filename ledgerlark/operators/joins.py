@@ -67,29 +67,55 @@ def _prefixes(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(value)), lambda n: F.substring(value, F.lit(1), n))
 
 
-def resolve_names(rows: DataFrame, row_id: str, aliases: str, dim: DataFrame, title: str, dim_order: str) -> DataFrame:
+def resolve_names(rows: DataFrame, row_id: str | list[str], aliases: str, dim: DataFrame, title: str, dim_order: str, within: str | None = None) -> DataFrame:
     """First dimension entry for an ordered alias list: exact title, else prefix either way.
 
     Prefix containment in both directions is expressed as equi joins on the
     (short) exploded prefixes, so neither side is ever paired with all of the
     other.  Preference: alias position, exact before prefix, dimension order.
+    With ``within`` both sides carry that column and only equal values meet.
     """
-    exploded = rows.select(row_id, F.posexplode(aliases).alias("_pos", "_a")).withColumn("_a", F.lower(F.trim("_a")))
+    ids = [row_id] if isinstance(row_id, str) else list(row_id)
+    group = [] if within is None else [F.col(within).alias("_g")]
+    exploded = rows.select(*ids, *group, F.posexplode(aliases).alias("_pos", "_a")).withColumn("_a", F.lower(F.trim("_a")))
     exploded = exploded.filter("_a <> ''")
-    d = dim.select(F.lower(F.trim(title)).alias("_t"), F.col(title).alias("_title"), F.col(dim_order).alias("_o")).filter("_t <> ''")
-    exact = exploded.join(d, F.col("_a") == F.col("_t")).select(row_id, "_pos", F.lit(0).alias("_kind"), "_o", "_title")
+    d = dim.select(*group, F.lower(F.trim(title)).alias("_t"), F.col(title).alias("_title"), F.col(dim_order).alias("_o")).filter("_t <> ''")
+    on = [] if within is None else ["_g"]
+    keep = [*ids, "_pos", "_kind", "_o", "_title"]
+    exact = exploded.withColumn("_t", F.col("_a")).join(d, [*on, "_t"]).withColumn("_kind", F.lit(0)).select(*keep)
     longer = (
-        exploded.withColumn("_p", F.explode(_prefixes(F.col("_a")))).filter(F.col("_p") != F.col("_a"))
-        .join(d, F.col("_p") == F.col("_t")).select(row_id, "_pos", F.lit(1).alias("_kind"), "_o", "_title")
+        exploded.withColumn("_t", F.explode(_prefixes(F.col("_a")))).filter(F.col("_t") != F.col("_a"))
+        .join(d, [*on, "_t"]).withColumn("_kind", F.lit(1)).select(*keep)
     )
     shorter = (
-        exploded.join(d.withColumn("_p", F.explode(_prefixes(F.col("_t")))).filter(F.col("_p") != F.col("_t")), F.col("_a") == F.col("_p"))
-        .select(row_id, "_pos", F.lit(1).alias("_kind"), "_o", "_title")
+        exploded.join(d.withColumn("_a", F.explode(_prefixes(F.col("_t")))).filter(F.col("_a") != F.col("_t")), [*on, "_a"])
+        .withColumn("_kind", F.lit(1)).select(*keep)
     )
     found = exact.unionByName(longer).unionByName(shorter)
-    return found.groupBy(row_id).agg(
+    return found.groupBy(*ids).agg(
         F.min(F.struct("_pos", "_kind", "_o", "_title")).alias("_best")
-    ).select(row_id, F.col("_best._title").alias(title), (F.col("_best._kind") == 0).alias("exact"))
+    ).select(*ids, F.col("_best._title").alias(title), (F.col("_best._kind") == 0).alias("exact"))
+
+
+def both_team_metrics(matches: DataFrame, teams: DataFrame, metrics: list[str]) -> DataFrame:
+    """Metrics of both teams of a match from the first of its league codes that knows both.
+
+    ``matches`` has (match_id, codes, home_aliases, away_aliases), arrays in order of preference; ``teams`` has (code,
+    title, place, metrics...), ``place`` being the order within a code.  A match without such a code has no row.
+    """
+    sides = matches.select(
+        "match_id", F.posexplode("codes").alias("_c", "code"),
+        F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_aliases").alias("aliases")) for s in ("home", "away")]).alias("_sides"),
+    ).select("match_id", "_c", "code", F.inline("_sides"))
+    known = sides.join(teams.select("code").distinct(), "code", "left_semi")
+    found = resolve_names(known, ["match_id", "_c", "code", "side"], "aliases", teams, "title", "place", "code")
+    pairs = found.groupBy("match_id", "_c", "code").agg(*[F.max(F.when(F.col("side") == s, F.col("title"))).alias(f"{s}_title") for s in ("home", "away")])
+    pairs = pairs.where("home_title is not null and away_title is not null")
+    first = pairs.groupBy("match_id").agg(F.min(F.struct("_c", "code", "home_title", "away_title")).alias("_b")).select("match_id", "_b.code", "_b.home_title", "_b.away_title")
+    for s in ("home", "away"):
+        own = teams.select("code", F.col("title").alias(f"{s}_title"), *[F.col(m).alias(f"{s}_{m}") for m in metrics])
+        first = first.join(own, ["code", f"{s}_title"])
+    return first.select("match_id", "code", "home_title", "away_title", *[f"{s}_{m}" for s in ("home", "away") for m in metrics])
 
 
 def alias_list(name: Column, known: Column | None = None) -> Column:

@@ -487,15 +487,3 @@ def escalation_reasons(spark, sf_dir):
     bias = probs.pick({x: final[x] - market[x] for x in V.OUTCOMES}, o)
     reasons = models.escalation_reasons(probs.triple("legacy"), final, o, ev, bias, num("quality_score"))
     return wide.select("match_id", F.array_join(reasons, ",").alias("reasons"))
-
-
-_CHECKS = {"recent_home": "match_id % 2 = 0", "recent_away": "match_id % 3 <> 0", "home_away": "match_id % 5 <> 0", "ratings": "home_rating > 1450", "market_value": "value_available <> 0",
-           "lineup": "match_id % 7 <> 0", "h2h": "h2h_edge <> 0", "schedule": "rest_days_home > 3", "market": "market_odds_home > 0"}
-
-
-@query("data_quality_scores", sql(
-    "SELECT match_id, round(" + " + ".join(f"CASE WHEN {c} THEN {models.QUALITY_WEIGHTS[n]}::DOUBLE ELSE 0e0 END" for n, c in _CHECKS.items()) + ", 6) AS score FROM wide", "wide"))
-def data_quality_scores(spark, sf_dir):
-    return load(spark, sf_dir, "wide").select(
-        "match_id", round_to(models.quality_score({n: F.expr(c) for n, c in _CHECKS.items()}), 6).alias("score")
-    )
