@@ -188,9 +188,9 @@ def import_settlements(stored: DataFrame, incoming: DataFrame, valid: Column) ->
     order = [F.col("source"), labels.period_key("period"), F.col("feedback_id")]
     first = latest(incoming.filter(valid), ["match_id"], order)
     fresh = first.join(stored.select("match_id"), "match_id", "left_anti")
-    is_first = fresh.select("match_id", F.col("feedback_id").alias("_first"))
+    is_first = fresh.select("match_id", F.struct("source", "feedback_id").alias("_first"))  # ids of two sources may be equal
     status = (
-        F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("feedback_id") == F.col("_first"), "imported").otherwise("existing")
+        F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.struct("source", "feedback_id") == F.col("_first"), "imported").otherwise("existing")
     )
     marked = incoming.join(is_first, "match_id", "left")
     counters = marked.groupBy("source").agg(

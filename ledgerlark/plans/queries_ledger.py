@@ -20,9 +20,10 @@ def sql(body: str, *views: str, extra=()) -> str:
 
 # --- keyed writes ------------------------------------------------------------
 
-TARGET = "SELECT match_id, league, match_time AS sync_time, actual_result FROM {wide} WHERE match_id % 3 <> 0"
-FEED = """SELECT l_orderkey AS match_id, CAST(l_linenumber AS {string}) AS league, l_shipdate AS sync_time,
- l_partkey AS seq FROM {lineitem} WHERE l_orderkey % 2 = 0"""
+#: All matches, and a feed of all line items, of which the odd ones tell of matches that are not stored yet.
+TARGET = "SELECT match_id, league, match_time AS sync_time, actual_result FROM {wide}"
+FEED = """SELECT l_orderkey + l_partkey % 2 * 1000000007 AS match_id, CAST(l_linenumber AS {string}) AS league, l_shipdate AS sync_time,
+ l_partkey AS seq FROM {lineitem}"""
 FEED1 = "f1 AS (SELECT match_id, max(sync_time) AS sync_time FROM (" + FEED + ") GROUP BY 1)"
 
 
@@ -58,11 +59,11 @@ def upsert_analyses(spark, sf_dir):
 
 @query("mark_failed_analyses", sql(
     """SELECT coalesce(a.match_id, w.match_id) AS match_id, coalesce(w.remarks, a.remarks) AS remarks, a.value FROM
-    (SELECT match_id, '' AS remarks, quality_score AS value FROM wide WHERE match_id % 2 = 0) a
-    FULL JOIN (SELECT match_id, 'collection failed' AS remarks FROM wide WHERE match_id % 3 = 0) w ON a.match_id = w.match_id""", "wide"))
+    (SELECT match_id, '' AS remarks, quality_score AS value FROM wide) a
+    FULL JOIN (SELECT match_id + match_id % 3 * 1000000007 AS match_id, 'collection failed' AS remarks FROM wide) w ON a.match_id = w.match_id""", "wide"))
 def mark_failed_analyses(spark, sf_dir):
-    stored = view(spark, sf_dir, "SELECT match_id, '' AS remarks, quality_score AS value FROM {wide} WHERE match_id % 2 = 0")
-    failed = view(spark, sf_dir, "SELECT match_id, 'collection failed' AS remarks FROM {wide} WHERE match_id % 3 = 0")
+    stored = view(spark, sf_dir, "SELECT match_id, '' AS remarks, quality_score AS value FROM {wide}")
+    failed = view(spark, sf_dir, "SELECT match_id + match_id % 3 * 1000000007 AS match_id, 'collection failed' AS remarks FROM {wide}")
     return ledger.upsert_masked(stored, failed, ["match_id"], ["remarks"])
 
 
@@ -139,8 +140,8 @@ _GONE = "run_id IN (SELECT run_id FROM runs WHERE match_id % 7 = 3)"
     f"""SELECT 'matches' AS "table", count(*) AS rows_before, count(*) FILTER (match_id % 7 <> 3) AS rows_kept, count(*) FILTER (match_id % 7 = 3) AS rows_deleted FROM matches
     UNION ALL SELECT 'runs', count(*), count(*) FILTER (match_id % 7 <> 3), count(*) FILTER (match_id % 7 = 3) FROM runs
     UNION ALL SELECT 'snapshots', count(*), count(*) FILTER (match_id % 7 <> 3), count(*) FILTER (match_id % 7 = 3) FROM snapshots
-    UNION ALL SELECT 'feedback', count(*), count(*) FILTER (match_id % 7 <> 3 AND NOT {_GONE}), count(*) FILTER (match_id % 7 = 3 OR {_GONE}) FROM feedback""",
-    "matches", "feedback", "snapshots"))
+    UNION ALL SELECT 'feedback', count(*), count(*) FILTER (match_id NOT IN (FROM doomed) AND NOT {_GONE}), count(*) FILTER (match_id IN (FROM doomed) OR {_GONE}) FROM feedback""",
+    "matches", "feedback", "snapshots", extra=[f"doomed AS ({_DOOMED})"]))
 def cascade_delete_counts(spark, sf_dir):
     before = {n: load(spark, sf_dir, n) for n in ("matches", "runs", "snapshots", "feedback")}
     return ledger.deleted_counts(before, ledger.cascade_delete(before, view(spark, sf_dir, _DOOMED)))
@@ -157,7 +158,7 @@ def prune_to_recent_periods(spark, sf_dir):
 
 
 INCOMING = """SELECT run_id AS feedback_id, match_id, period, CASE WHEN run_id % 13 = 0 THEN '' ELSE actual_result END AS actual_result,
- concat('source-', CAST(match_id % 3 AS {string})) AS source FROM {runs} WHERE match_id % 2 = 0"""
+ concat('source-', CAST(run_id % 3 AS {string})) AS source FROM {runs}"""
 
 
 #: Settlements arrive in the order of source, period and id; the first valid one of a match that is not stored counts.
@@ -519,10 +520,13 @@ def duplicate_keys(spark, sf_dir):
     return audit.duplicates(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("orphan_rows", sql("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 48 AND l_returnflag = 'R')"))
+#: The customer of an urgent order; nobody for other orders.
+_URGENT = "SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS c_custkey FROM {orders}"
+
+
+@query("orphan_rows", sql(f"SELECT c_custkey, c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM ({_URGENT}) u WHERE u.c_custkey = c.c_custkey)"))
 def orphan_rows(spark, sf_dir):
-    parent = load(spark, sf_dir, "lineitem").filter("l_linenumber = 7 and l_quantity > 48 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
-    return joins.orphans(load(spark, sf_dir, "supplier"), parent, "s_suppkey").select("s_suppkey", "s_nationkey")
+    return joins.orphans(load(spark, sf_dir, "customer"), view(spark, sf_dir, _URGENT), "c_custkey").select("c_custkey", "c_nationkey")
 
 
 @query("dedup_repointed_settlements", sql(
