@@ -247,6 +247,19 @@ def gated_action(df: DataFrame, gates: Gates) -> DataFrame:
     return df.withColumn("policy_stake", stake(F.col("policy_action"), F.col("policy_confidence"))).drop("_light")
 
 
+def gate_states(df: DataFrame, gates: Gates) -> tuple[DataFrame, Column, Column]:
+    """(``df`` with policy_score and the action when light opens, the action while it stays closed, whether it can open).
+
+    ``gates`` hold for all but those light gates that are given as minus infinity; these open or close light.
+    """
+    df = df.withColumn("policy_score", evidence_score(gates))
+    light_guard, main_guard = _execution_guards()
+    able = _passes("light", gates["light"]) & light_guard
+    df = df.withColumn("policy_action", F.when(_passes("main", gates["main"]) & main_guard, "main").otherwise("light"))
+    rescued = F.when(F.col("policy_score") >= C["favourite_main_score"], "main").otherwise("light")
+    return df, F.when(F.col("favourite_guard"), rescued).otherwise("watch"), able
+
+
 def action_policy(
     df: DataFrame, p: probs.Triple, gates: Gates | None = None, selected: Column | None = None
 ) -> DataFrame:

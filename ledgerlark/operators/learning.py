@@ -10,6 +10,7 @@ not on the data.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import labels, policy, probs
-from ..functions.numeric import floor_bin, num, ratio, round_to, text, threshold_index
+from ..functions.numeric import clamp, floor_bin, num, ratio, round_to, text, text_num, threshold_index
 
 # --- windows and splits -------------------------------------------------------
 
@@ -639,105 +640,157 @@ GATE_NAMES = ("main_ev", "main_confidence", "main_market_bias", "light_ev", "lig
 PROMOTE_NAMES = ("promote_ev", "promote_confidence", "promote_market_bias")
 
 
-def gate_candidates(rows: DataFrame) -> DataFrame:
-    """Rows that could act under the loosest gates; the others add nothing to any configuration."""
-    staged = policy.outcome_policy(policy.market_position(rows, probs.normalise(probs.triple("final"), V.EPSILON)))
+#: Gates that enter the evidence score or the main action: their 81 combinations meet rows; all others are thresholds.
+SCORE_GATES = ("main_ev", "main_confidence", "main_market_bias", "light_confidence")
+_EFFECTS = "confidence_delta string, stake_multiplier string, evidence_grade string"
+
+
+def gate_candidates(rows: DataFrame, calibrator: dict | None = None) -> DataFrame:
+    """Rows that could act, or be promoted to act, under the loosest gates; the others add nothing to any configuration.
+
+    ``calibrator`` has a temperature and biases by outcome; without one the normalised probabilities stand.
+    """
+    p = probs.normalise(probs.triple("final"), V.EPSILON)
+    if calibrator is not None:
+        p = probs.calibrate(probs.triple("final"), F.lit(float(calibrator["temperature"])), {o: F.lit(float(calibrator["biases"][o])) for o in V.OUTCOMES})
+    staged = policy.outcome_policy(policy.market_position(rows, p))
     staged = policy.selection(staged, F.col("market_outcome"))
     g = V.GATE_GRID
     loosest = {k: F.lit(min(g[f"light_{k}"])) for k in ("ev", "confidence", "market_bias")}
-    reachable = policy.can_act(loosest | {"quality": F.lit(V.BASE_GATES["light"]["quality"])})
+    done, decision = text("review_status") == "completed", text("review_decision")
+    hopeful = done & (decision == "promote") & _promotable()
+    for c, k in (("policy_ev", "ev"), ("policy_confidence", "confidence"), ("policy_bias", "market_bias")):
+        hopeful = hopeful & (F.col(c) >= min(g[f"promote_{k}"]))
+    reachable = policy.can_act(loosest | {"quality": F.lit(V.BASE_GATES["light"]["quality"])}) | hopeful
+    raw = F.from_json(text("review_raw") if "review_raw" in rows.columns else F.lit(""), _EFFECTS)
+    asked = F.trim(text("review_target_action"))
     keep = [
         "is_validation", "actual_result", "policy_outcome", "policy_ev", "policy_bias", "_prob", "_odds", "_ev_margin",
         "_p_margin", "_gap", "_quality", "_agreement", "policy_confidence", "_kelly", "favourite_guard",
-        "review_status", "review_decision", "review_target_action",
+        done.alias("done"), decision.alias("decision"), F.when(asked != "", labels.action_label(asked)).alias("target"),
+        F.when(done, clamp(text_num(raw["confidence_delta"]), -0.12, 0.08)).otherwise(0.0).alias("delta"),
+        F.when(done, clamp(text_num(raw["stake_multiplier"], 1.0), 0.0, 1.0)).otherwise(1.0).alias("share"),
+        F.lower(F.trim(text(raw["evidence_grade"]))).alias("grade"),
     ]
     entry = F.array(F.struct(reachable.alias("reachable"), *keep))
     return staged.select(F.explode(entry).alias("e")).filter("e.reachable").select("e.*").drop("reachable")
 
 
-def gate_search(rows: DataFrame) -> DataFrame:
-    """Algorithm and final metrics of all 3^9 gate configurations, as two factored grids.
+def _promotable() -> Column:
+    """What a promotion needs besides its three gates."""
+    return (F.col("_quality") >= V.BASE_GATES["promote"]["quality"]) & (F.col("policy_confidence") >= 0.48)
 
-    Only six gates move the algorithm's action (729 combinations); the three
-    promote gates matter only for rows whose stored review says promote.  So
-    729 constants meet the candidate rows and 27 more only those promoted ones.
+
+def gate_cells(rows: DataFrame, calibrator: dict | None = None) -> DataFrame:
+    """Facts of both splits per combination of the score gates and position under the threshold gates.
+
+    Light's expected value and bias and the three promote gates only open or close: a row passes them up to a
+    position.  A cell holds what its rows do when light stays closed or opens, and when a promotion is refused or
+    granted, so 81 combinations meet the candidate rows and everything else is sums over at most 81 * 16 * 64 cells.
     """
-    val = F.col("is_validation")
     grid = F.array(*[
-        F.struct(F.lit(i).alias("gate_id"), *[F.lit(float(x)).alias(n) for n, x in zip(GATE_NAMES, combo)])
-        for i, combo in enumerate(_gate_positions(GATE_NAMES))
+        F.struct(*[F.lit(i).alias(f"{n}_at") for n, i in zip(SCORE_GATES, at)], *[F.lit(float(V.GATE_GRID[n][i])).alias(n) for n, i in zip(SCORE_GATES, at)])
+        for at in product(range(3), repeat=len(SCORE_GATES))
     ])
-    df = policy.review_targets(gate_candidates(rows).withColumn("arbiter_target_action", F.lit("")))
-    df = df.select("*", F.explode(grid).alias("g"))
+    df = gate_candidates(rows, calibrator).select("*", F.explode(grid).alias("g"))
     c = lambda n: F.col(f"g.{n}")
+    never = F.lit(float("-inf"))
     gates = {
-        level: {"ev": c(f"{level}_ev"), "confidence": c(f"{level}_confidence"), "market_bias": c(f"{level}_market_bias"),
-                "quality": F.lit(V.BASE_GATES[level]["quality"])} for level in ("main", "light")
+        "main": {"ev": c("main_ev"), "confidence": c("main_confidence"), "market_bias": c("main_market_bias"), "quality": F.lit(V.BASE_GATES["main"]["quality"])},
+        "light": {"ev": never, "confidence": c("light_confidence"), "market_bias": never, "quality": F.lit(V.BASE_GATES["light"]["quality"])},
     }
-    df = policy.gated_action(df, gates)
-    action, target = F.col("policy_action"), F.col("_review_target")
-    done = text("review_status") == "completed"
-    decision = text("review_decision")
-    conf = policy.clamp(F.col("policy_confidence"), 0.18, 0.88)
-
-    def settle_level(level: Column) -> Column:
-        """A completed review also has to keep the action above its confidence gate."""
-        main_kept = F.when(done & (level == "main") & (conf < c("main_confidence")), "light").otherwise(level)
-        return F.when(done & (main_kept == "light") & (conf < c("light_confidence")), "watch").otherwise(main_kept)
-
-    plain = (
-        F.when(done & (decision == "downgrade"), labels.step_down(action, target))
-        .when(done & (decision == "abstain"), "watch").otherwise(action)
-    )
-    df = df.withColumns({"_plain": settle_level(plain), "_promoted": settle_level(labels.step_up(action, target))})
-    stake = lambda a: policy.stake(a, conf)
-    units = lambda s: s / 100.0
+    opened, closed, able = policy.gate_states(df, gates)
+    df = opened.withColumns({"_open": able, "_opened": F.col("policy_action"), "_closed": closed})
+    df = df.withColumn("_opened", F.when(F.col("_open"), F.col("_opened")).otherwise(F.col("_closed")))
+    done, conf = F.col("done"), clamp(F.col("policy_confidence") + F.col("delta"), 0.18, 0.88)
+    df = df.withColumn("_conf", conf)
     hit = F.col("policy_outcome") == F.col("actual_result")
 
-    def roi(s: Column) -> Column:
-        return F.when(s <= 0, 0.0).when(hit & (F.col("_odds") > 0), round_to(units(s) * (F.col("_odds") - 1.0), 4)).when(
-            hit, 0.0).otherwise(round_to(-units(s), 4))
-
-    df = df.withColumns({"_s_plain": stake(F.col("_plain")), "_s_promoted": stake(F.col("_promoted"))})
-    can_promote = done & (decision == "promote") & ~((action == "watch") & (target == "main")) & (
-        F.col("_quality") >= V.BASE_GATES["promote"]["quality"]
-    ) & (F.col("policy_confidence") >= 0.48)
-    df = df.select(
-        "g.gate_id", "is_validation", hit.alias("hit"), can_promote.alias("can"), "policy_ev", "policy_bias", "policy_confidence",
-        F.col("policy_stake").alias("a_stake"), roi(F.col("policy_stake")).alias("a_roi"),
-        F.col("_s_plain").alias("f_stake"), roi(F.col("_s_plain")).alias("f_roi"),
-        F.col("_s_promoted").alias("p_stake"), roi(F.col("_s_promoted")).alias("p_roi"),
-    )
-    # One pass for both grids: promote position -1 carries the row's plain facts, the others
-    # what a promotion under that position changes.
-    pgrid = _gate_positions(PROMOTE_NAMES)
-    passing = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(x)).alias(n) for n, x in zip("ecb", combo)]) for i, combo in enumerate(pgrid)]),
-        lambda g: (F.col("policy_ev") >= g["e"]) & (F.col("policy_confidence") >= g["c"]) & (F.col("policy_bias") >= g["b"]),
-    )
-    none = F.array(F.lit(-1))
-    positions = F.when(F.col("can"), F.concat(none, F.transform(passing, lambda g: g["i"]))).otherwise(none)
-    flags = (("train", ~val), ("validation", val))
-    plain_row = F.col("p") == -1
-    facts = {
-        "algo_actions": F.when(plain_row & (F.col("a_stake") > 0), 1).otherwise(0),
-        "algo_roi": F.when(plain_row, F.col("a_roi")).otherwise(0.0),
-        "final_actions": F.when(plain_row, (F.col("f_stake") > 0).cast("int")).otherwise(
-            (F.col("p_stake") > 0).cast("int") - (F.col("f_stake") > 0).cast("int")
-        ),
-        "final_roi": F.when(plain_row, F.col("f_roi")).otherwise(F.col("p_roi") - F.col("f_roi")),
+    def roi(stake: Column) -> Column:
+        units = stake / 100.0
+        return F.when(units <= 0, 0.0).when(hit & (F.col("_odds") > 0), round_to(units * (F.col("_odds") - 1.0), 4)).when(hit, 0.0).otherwise(round_to(-units, 4))
+
+    stakes = {}
+    for level in ("main", "light"):
+        stakes[f"_a_{level}"] = policy.stake(F.lit(level), F.col("policy_confidence"))
+        full = policy.stake(F.lit(level), F.col("_conf"))
+        stakes[f"_f_{level}"] = F.when(done, round_to(full * F.col("share"), 2)).otherwise(full)
+    df = df.withColumns(stakes)
+    df = df.withColumns({f"_r{k}": roi(F.col(k)) for k in stakes})
+
+    def settled(level: Column) -> Column:
+        """What the review's evidence and the confidence gates leave of an action."""
+        level = F.when(done & ((F.col("grade") == "unsafe") | (F.col("share") <= 0)), "watch").when(done & (F.col("grade") == "weak") & (level == "main"), "light").otherwise(level)
+        level = F.when(done & (level == "main") & (F.col("_conf") < c("main_confidence")), "light").otherwise(level)
+        return F.when(done & (level == "light") & (F.col("_conf") < c("light_confidence")), "watch").otherwise(level)
+
+    can = done & (F.col("decision") == "promote") & _promotable()
+    actions = {}
+    for state in ("_opened", "_closed"):
+        now = F.col(state)
+        target = F.coalesce("target", now)
+        plain = F.when(done & (F.col("decision") == "downgrade"), labels.step_down(now, target)).when(done & (F.col("decision") == "abstain"), "watch").otherwise(now)
+        granted = F.when(can & ~((now == "watch") & (target == "main")), labels.step_up(now, target)).otherwise(plain)
+        actions |= {f"{state}_a": now, f"{state}_p": settled(plain), f"{state}_q": settled(granted)}
+    df = df.withColumns(actions)
+    index = lambda column, gate: threshold_index(F.col(column), V.GATE_GRID[gate])
+    keys = {
+        "light_ev_at": F.when(F.col("_open"), index("policy_ev", "light_ev")).otherwise(0), "light_market_bias_at": F.when(F.col("_open"), index("policy_bias", "light_market_bias")).otherwise(0),
+        "promote_ev_at": F.when(can, index("policy_ev", "promote_ev")).otherwise(0), "promote_confidence_at": F.when(can, index("policy_confidence", "promote_confidence")).otherwise(0),
+        "promote_market_bias_at": F.when(can, index("policy_bias", "promote_market_bias")).otherwise(0),
     }
-    agg = df.select("*", F.explode(positions).alias("p")).groupBy("gate_id", F.col("p").alias("promote_id")).agg(*[
-        F.sum(F.when(flag, fact).otherwise(0)).alias(f"{split}_{k}") for split, flag in flags for k, fact in facts.items()
-    ])
-    # At most 729 x 28 rows whatever the data size.
-    cells = agg
-    names = [f"{split}_{k}" for split, _ in flags for k in facts]
-    base = cells.filter("promote_id = -1").withColumn("promote_id", F.explode(F.sequence(F.lit(0), F.lit(len(pgrid) - 1))))
-    total = base.unionByName(cells.filter("promote_id >= 0")).groupBy("gate_id", "promote_id").agg(
-        *[F.sum(n).alias(n) for n in names]
+    facts = {}
+    for name in actions:
+        kind = "_a" if name.endswith("_a") else "_f"
+        of = lambda prefix, name=name, kind=kind: F.when(F.col(name) == "main", F.col(f"{prefix}{kind}_main")).when(F.col(name) == "light", F.col(f"{prefix}{kind}_light")).otherwise(0.0)
+        facts |= {f"{name}_n": (of("") > 0).cast("int"), f"{name}_r": of("_r")}
+    df = df.select("is_validation", *[c(f"{n}_at").alias(f"{n}_at") for n in SCORE_GATES], *[v.alias(k) for k, v in keys.items()], *[v.alias(k) for k, v in facts.items()])
+    flags = (("train", ~F.col("is_validation")), ("validation", F.col("is_validation")))
+    return df.groupBy(*[f"{n}_at" for n in SCORE_GATES], *keys).agg(*[F.sum(F.when(flag, F.col(k)).otherwise(0)).alias(f"{split}{k}") for split, flag in flags for k in facts])
+
+
+def gate_search(rows: DataFrame, calibrator: dict | None = None) -> DataFrame:
+    """Algorithm and final metrics of all 3^9 gate configurations, from the cells of ``gate_cells``.
+
+    A configuration's total is what its rows do with light closed and no promotion, plus what opening light changes
+    for the rows that reach its gates, what a promotion changes for those that reach the promote gates, and what both do.
+    """
+    cells = gate_cells(rows, calibrator)
+    score = [f"{n}_at" for n in SCORE_GATES]
+    light, promote = ["light_ev_at", "light_market_bias_at"], ["promote_ev_at", "promote_confidence_at", "promote_market_bias_at"]
+    splits = ("train", "validation")
+    named = (("algo", "actions", "a", "n"), ("algo", "roi", "a", "r"), ("final", "actions", "p", "n"), ("final", "roi", "p", "r"))
+
+    def part(names: list[str], value) -> DataFrame:
+        df = cells
+        for n in names:
+            df = df.withColumn(n, F.explode(_reach(n)))
+        for n in (*light, *promote):
+            if n not in names:
+                df = df.withColumn(n, F.lit(-1))  # for every position
+        sums = [F.sum(value(split, kind, what)).alias(f"{split}_{out}_{name}") for split in splits for out, name, kind, what in named]
+        return df.groupBy(*score, *light, *promote).agg(*sums)
+
+    x = lambda split, state, kind, what: F.col(f"{split}_{state}_{kind}_{what}")
+    zero = F.lit(0)
+
+    def granted(split: str, state: str, kind: str, what: str) -> Column:
+        return x(split, state, "q", what) - x(split, state, "p", what) if kind == "p" else zero
+
+    parts = (
+        part([], lambda s, k, w: x(s, "closed", k, w)), part(light, lambda s, k, w: x(s, "opened", k, w) - x(s, "closed", k, w)),
+        part(promote, lambda s, k, w: granted(s, "closed", k, w)), part([*light, *promote], lambda s, k, w: granted(s, "opened", k, w) - granted(s, "closed", k, w)),
+    )
+    every = F.array(*[F.lit(i) for i in range(3)])
+    total = reduce(DataFrame.unionByName, parts)
+    for n in (*light, *promote):
+        total = total.withColumn(n, F.explode(F.when(F.col(n) < 0, every).otherwise(F.array(n))))
+    names = [f"{split}_{out}_{name}" for split in splits for out, name, _, _ in named]
+    total = total.groupBy(*score, *light, *promote).agg(*[F.sum(n).alias(n) for n in names])
+    at = lambda wanted: _rule_id([f"{n}_at" for n in wanted], [3] * len(wanted)).cast("int")
+    return total.select(
+        at(GATE_NAMES).alias("gate_id"), at(PROMOTE_NAMES).alias("promote_id"), *[F.col(n).cast("long").alias(n) if n.endswith("actions") else round_to(n, 4).alias(n) for n in names],
     )
-    return total.withColumns({n: round_to(n, 4) for n in names if n.endswith("roi")})
 
 
 def _base_position(names: tuple[str, ...]) -> int:
@@ -752,32 +805,27 @@ def fit_gates(search: DataFrame) -> DataFrame:
     then to grid order.  The winner is ready when validation return beats the
     base configuration's without falling under 35% of its actions.
     """
-    base_id, base_promote = _base_position(GATE_NAMES), _base_position(PROMOTE_NAMES)
-    b = search.filter((F.col("gate_id") == base_id) & (F.col("promote_id") == base_promote)).first()
-    if b is None:
-        return search.limit(0).withColumn("status", F.lit(""))
+    is_base = (F.col("gate_id") == _base_position(GATE_NAMES)) & (F.col("promote_id") == _base_position(PROMOTE_NAMES))
+    every = Window.partitionBy(F.lit(0))  # 3^9 rows at most
+    names = [f"{split}_{kind}_{c}" for split in ("train", "validation") for kind in ("algo", "final") for c in ("actions", "roi")]
+    df = search.withColumns({f"_b_{n}": F.max(F.when(is_base, F.col(n))).over(every) for n in names}).filter("_b_train_final_actions is not null")
+    base = lambda n: F.col(f"_b_{n}")
     acts = F.greatest("train_final_actions", "train_algo_actions")
     order = F.struct(
         F.greatest("train_final_roi", "train_algo_roi"), F.col("train_final_roi"), F.col("train_algo_roi"),
-        -F.abs(F.col("train_final_actions") - F.lit(b["train_final_actions"])), -F.col("gate_id"), -F.col("promote_id"),
+        -F.abs(F.col("train_final_actions") - base("train_final_actions")), -F.col("gate_id"), -F.col("promote_id"),
     )
-    usable = search.filter(acts >= V.GATE_MIN_TRAIN_ACTIONS)
-    best = usable.agg(F.max_by(F.struct(*search.columns), order).alias("b")).filter("b is not null").select("b.*")
+    best = df.filter(acts >= V.GATE_MIN_TRAIN_ACTIONS).agg(F.max_by(F.struct(*df.columns), order).alias("b")).filter("b is not null").select("b.*")
 
     def improved(kind: str) -> Column:
-        floor = max(1, math.ceil(b[f"validation_{kind}_actions"] * 0.35))
-        return (F.col(f"validation_{kind}_roi") > b[f"validation_{kind}_roi"] + 1e-9) & (
-            F.col(f"validation_{kind}_actions") >= floor
-        )
+        floor = F.greatest(F.lit(1), F.ceil(base(f"validation_{kind}_actions") * 0.35))
+        return (F.col(f"validation_{kind}_roi") > base(f"validation_{kind}_roi") + 1e-9) & (F.col(f"validation_{kind}_actions") >= floor)
 
-    enough = (
-        max(b["train_final_actions"], b["train_algo_actions"]) >= V.GATE_MIN_TRAIN_ACTIONS
-        and max(b["validation_final_actions"], b["validation_algo_actions"]) >= V.GATE_MIN_VALIDATION_ACTIONS
-    )
-    status = (
-        F.when(improved("algo") | improved("final"), "ready").otherwise("no_gain") if enough else F.lit("insufficient_samples")
+    enough = (F.greatest(base("train_final_actions"), base("train_algo_actions")) >= V.GATE_MIN_TRAIN_ACTIONS) & (
+        F.greatest(base("validation_final_actions"), base("validation_algo_actions")) >= V.GATE_MIN_VALIDATION_ACTIONS
     )
-    return best.withColumn("status", status)
+    status = F.when(~enough, "insufficient_samples").when(improved("algo") | improved("final"), "ready").otherwise("no_gain")
+    return best.withColumn("status", status).drop(*[f"_b_{n}" for n in names])
 
 
 def train_profile(rows: DataFrame) -> DataFrame:

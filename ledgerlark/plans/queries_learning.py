@@ -313,11 +313,6 @@ def learning_split(spark, sf_dir):
     return rows(spark, sf_dir, WINDOW_PERIODS).groupBy("period", "period_rank", "is_validation").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("gate_search_best", None)
-def gate_search_best(spark, sf_dir):
-    return learning.fit_gates(learning.gate_search(rows(spark, sf_dir)))
-
-
 @query("trained_profile", None)
 def trained_profile(spark, sf_dir):
     return learning.train_profile(rows(spark, sf_dir))
