@@ -10,7 +10,6 @@ not on the data.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -761,31 +760,27 @@ def gate_search(rows: DataFrame, calibrator: dict | None = None) -> DataFrame:
     splits = ("train", "validation")
     named = (("algo", "actions", "a", "n"), ("algo", "roi", "a", "r"), ("final", "actions", "p", "n"), ("final", "roi", "p", "r"))
 
-    def part(names: list[str], value) -> DataFrame:
-        df = cells
-        for n in names:
-            df = df.withColumn(n, F.explode(_reach(n)))
-        for n in (*light, *promote):
-            if n not in names:
-                df = df.withColumn(n, F.lit(-1))  # for every position
-        sums = [F.sum(value(split, kind, what)).alias(f"{split}_{out}_{name}") for split in splits for out, name, kind, what in named]
-        return df.groupBy(*score, *light, *promote).agg(*sums)
-
     x = lambda split, state, kind, what: F.col(f"{split}_{state}_{kind}_{what}")
-    zero = F.lit(0)
 
-    def granted(split: str, state: str, kind: str, what: str) -> Column:
-        return x(split, state, "q", what) - x(split, state, "p", what) if kind == "p" else zero
-
-    parts = (
-        part([], lambda s, k, w: x(s, "closed", k, w)), part(light, lambda s, k, w: x(s, "opened", k, w) - x(s, "closed", k, w)),
-        part(promote, lambda s, k, w: granted(s, "closed", k, w)), part([*light, *promote], lambda s, k, w: granted(s, "opened", k, w) - granted(s, "closed", k, w)),
-    )
+    def change(split: str, kind: str, what: str) -> Column:
+        """What part 0 to 3 adds: nothing opened, light opened, promotion granted, both."""
+        opened, closed = (x(split, state, kind, what) for state in ("opened", "closed"))
+        out = F.when(F.col("_part") == 0, closed).when(F.col("_part") == 1, opened - closed)
+        if kind == "a":
+            return out.otherwise(0)
+        up = {state: x(split, state, "q", what) - x(split, state, "p", what) for state in ("opened", "closed")}
+        return out.when(F.col("_part") == 2, up["closed"]).otherwise(up["opened"] - up["closed"])
+
+    # One pass over the cells for all four parts; position -1 stands for every position.
+    total = cells.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    for names, parts in ((light, (1, 3)), (promote, (2, 3))):
+        for n in names:
+            total = total.withColumn(n, F.explode(F.when(F.col("_part").isin(*parts), _reach(n)).otherwise(F.array(F.lit(-1)))))
+    names = [f"{split}_{out}_{name}" for split in splits for out, name, _, _ in named]
+    total = total.groupBy(*score, *light, *promote).agg(*[F.sum(change(split, kind, what)).alias(f"{split}_{out}_{name}") for split in splits for out, name, kind, what in named])
     every = F.array(*[F.lit(i) for i in range(3)])
-    total = reduce(DataFrame.unionByName, parts)
     for n in (*light, *promote):
         total = total.withColumn(n, F.explode(F.when(F.col(n) < 0, every).otherwise(F.array(n))))
-    names = [f"{split}_{out}_{name}" for split in splits for out, name, _, _ in named]
     total = total.groupBy(*score, *light, *promote).agg(*[F.sum(n).alias(n) for n in names])
     at = lambda wanted: _rule_id([f"{n}_at" for n in wanted], [3] * len(wanted)).cast("int")
     return total.select(
