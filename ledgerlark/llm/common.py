@@ -74,6 +74,11 @@ def text_mark() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id and a hash of the text as doc_id: rows that share an id, or have none, are told apart by it."""
+    return docs.withColumn("doc_id", F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")))
+
+
 def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, keep: str = "doc_id") -> DataFrame:
     """One output row per input row: the kept column and what ``row(text)`` returns, a few hundred texts at a time."""
 

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import SLICE_ROWS, cut, gram_hashes, hash_words, null_safe, picked, ship, texts
+from .common import SLICE_ROWS, by_row, cut, gram_hashes, hash_words, null_safe, picked, ship, texts
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -67,10 +68,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     """Per row of ``docs``: its words, those inside an occurrence of an item's window, and the items that occur.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case.  Null or empty texts
-    have no words and are clean; items without words or id occur nowhere.  Rows that repeat a doc_id are taken to repeat
-    its text and get the same result; repeated items count once by item_id.  An empty benchmark leaves all clean.
-    ``items_sha256`` hashes the sorted item ids, joined by commas (of the empty string if there are none).
+    have no words and are clean; items without words or id occur nowhere.  Rows are told apart by doc_id and text, so
+    different texts under one id, or without id, get results of their own; equal rows get equal ones.  A doc_id that is
+    a struct is the caller's own key of a row.  Repeated items count once by item_id.  An empty benchmark leaves all
+    clean.  ``items_sha256`` hashes the sorted item ids, joined by commas (of the empty string if there are none).
     """
+    if isinstance(docs.schema["doc_id"].dataType, StructType):
+        return _contamination(docs, items, window, gram)
+    found = _contamination(by_row(docs.select("doc_id", "text")), items, window, gram)
+    return found.withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     windows = cut(item_windows(items, window, gram).distinct(), "items")
     bit = F.pmod(F.col("print"), F.lit(BITMAP_BITS))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WORD, SpanHasher, cut, gram_hashes, hash_words, null_safe, picked, texts
+from .common import SLICE_ROWS, SpanHasher, WORD, by_row, cut, gram_hashes, hash_words, null_safe, picked, texts
 
 WINDOW = 35
 K = 8
@@ -60,10 +60,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
 
     A word goes if a window of ``window`` words that covers it starts anywhere else too, in the same text or another.
     Null and empty texts have no words; texts shorter than the window keep all.  A row that is repeated counts as a
-    second place, so both lose every window.  Rows that share a doc_id are taken to repeat one text (if they do not,
-    they lose the union of each other's spans); a null doc_id is an id like any other.  No rows give no rows.
-    ``window`` may be up to 255 and must exceed ``k``.
+    second place, so both lose every window.  Rows are told apart by doc_id and text, so different texts under one id,
+    or without id, are judged each by itself.  No rows give no rows.  ``window`` may be up to 255 and must exceed ``k``.
     """
+    return _remove_repeats(by_row(docs.select("doc_id", "text")), window, k).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def _remove_repeats(docs: DataFrame, window: int, k: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -303,3 +303,15 @@ def test_accounts_and_cards_beside_other_words():
     for text, want in (("2 4111111111111111", "4111111111111111"), ("12 3782 822463 10005 7 1", "3782 822463 10005"), ("1 4111 1111 1111 1111", "4111 1111 1111 1111")):
         assert ("card", want) in added(text), text
     assert added("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20") == []
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Only the second and third text share a passage; the item stands in the first alone."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(None, one), (None, f"{two} x"), (1, f"{two} y"), (1, three), (2, three + " tail"), (2, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert removed == {(None, 60): 0, (None, 61): 60, (1, 61): 60, (1, 60): 60, (2, 61): 60, (2, 1): 0}
+    items = spark.createDataFrame([(7, one)], "item_id long, text string")
+    hit = sorted((r["doc_id"] is None, r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect())
+    assert hit == [(False, 1, 0, 0), (False, 60, 0, 0), (False, 61, 0, 0), (False, 61, 0, 0), (True, 60, 60, 1), (True, 61, 0, 0)]
