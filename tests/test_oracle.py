@@ -14,6 +14,8 @@ FAST = [
     "canonical_runs", "asof_latest_run", "resolve_team_names", "period_top_picks", "settled_top_picks", "settle_batch",
     "chain_audit_findings", "fit_calibrator", "handicap_rule_grid", "fit_outcome_rules", "fit_handicap_buckets", "extract_market_quotes",
     "extract_lineups", "bookmaker_median_odds", "stored_review_payloads", "loose_match_times", "goal_model", "handicap_cover_probabilities",
+    "fit_expanded_outcome_rules", "both_team_metrics", "feature_snapshots", "match_features", "data_quality_scores", "imported_runs", "history_counters", "resolved_actions", "or_rule_metrics", "profile_replay",
+    "gate_search_totals", "shrinkage_what_if", "orphan_rows", "import_settlements",
 ]
 
 
