@@ -185,19 +185,13 @@ def import_settlements(stored: DataFrame, incoming: DataFrame, valid: Column) ->
     come from a two-step rank (rows per partition, then offsets), never from a
     single-task window over all new rows.
     """
-    order = [F.col("source"), labels.period_key("period"), F.col("feedback_id")]
-    first = latest(incoming.filter(valid), ["match_id"], order)
-    fresh = first.join(stored.select("match_id"), "match_id", "left_anti")
-    is_first = fresh.select("match_id", F.struct("source", "feedback_id").alias("_first"))  # ids of two sources may be equal
-    status = (
-        F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.struct("source", "feedback_id") == F.col("_first"), "imported").otherwise("existing")
-    )
-    marked = incoming.join(is_first, "match_id", "left")
-    counters = marked.groupBy("source").agg(
-        F.count_if(status == "imported").alias("imported"), F.count_if(status == "existing").alias("existing"),
-        F.count_if(status == "invalid").alias("invalid"),
-    )
-    return fresh, counters
+    own = Window.partitionBy("match_id", "_valid").orderBy("source", labels.period_key("period"), "feedback_id")
+    turns = incoming.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("_turn", F.row_number().over(own))
+    have = stored.select("match_id").distinct().withColumn("_have", F.lit(True))
+    status = F.when(~F.col("_valid"), "invalid").when(F.col("_have").isNull() & (F.col("_turn") == 1), "imported").otherwise("existing")
+    marked = turns.join(have, "match_id", "left").withColumn("_status", status)
+    counters = marked.groupBy("source").agg(*[F.count_if(F.col("_status") == s).alias(s) for s in ("imported", "existing", "invalid")])
+    return marked.where("_status = 'imported'").drop("_valid", "_turn", "_have", "_status"), counters
 
 
 def renumber(df: DataFrame, key: str, out: str, start: Column | int = 0, buckets: int = 256) -> DataFrame:
