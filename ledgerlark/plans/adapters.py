@@ -204,14 +204,14 @@ VIEWS = {
         FROM {wide}""",
     "fetched": """SELECT match_id, CASE WHEN match_id % 55 = 0 THEN 'home' ELSE actual_result END AS actual_result, actual_score,
         'src' AS result_source_url FROM {wide} WHERE match_id % 5 <> 0 OR match_id % 55 = 0""",
-    # a settlement per run; three of four matches are archived ones that the matches view does not hold
-    "feedback": """SELECT run_id * 2 + 1 AS feedback_id, run_id, CASE WHEN match_id % 4 = 0 THEN match_id ELSE match_id + 1000000007 END AS match_id, period, actual_result, actual_score, match_time AS settled_at,
+    # a settlement per run; three of four are archived ones, whose runs and matches the other views do not hold
+    "feedback": """SELECT own * 2 + 1 AS feedback_id, own AS run_id, CASE WHEN match_id % 4 = 0 THEN match_id ELSE match_id + 1000000007 END AS match_id, period, actual_result, actual_score, match_time AS settled_at,
         CAST(recommended_outcome = actual_result AS INT) AS hit_recommendation, -0.01e0 * (1 + match_id % 3) AS roi_delta,
         CASE match_id % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' ELSE 'push' END AS handicap_actual_result,
         CAST(match_id % 2 AS INT) AS handicap_hit, 0.01e0 * (match_id % 4) AS handicap_roi_delta,
         CASE WHEN match_id % 8 = 0 THEN 'manual_override' ELSE 'auto' END AS roi_source,
         CASE WHEN match_id % 6 = 0 THEN 'checked' ELSE '' END AS notes
-        FROM {runs}""",
+        FROM (SELECT *, CASE WHEN match_id % 4 = 0 THEN run_id ELSE -run_id - 1 END AS own FROM {runs}) r""",
     "snapshots": """SELECT l_orderkey AS match_id, l_partkey AS snapshot_id, l_shipdate AS snapshot_at, l_quantity AS home_rating,
         l_discount AS h2h FROM {lineitem}""",
 }

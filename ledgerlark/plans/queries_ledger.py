@@ -150,8 +150,8 @@ def cascade_delete_counts(spark, sf_dir):
 @query("prune_to_recent_periods", sql(
     """SELECT 'matches' AS "table", count(*) AS rows_before, count(*) FILTER (period IN (FROM keep)) AS rows_kept, count(*) FILTER (period NOT IN (FROM keep)) AS rows_deleted FROM matches
     UNION ALL SELECT 'runs', count(*), count(*) FILTER (period IN (FROM keep)), count(*) FILTER (period NOT IN (FROM keep)) FROM runs
-    UNION ALL SELECT 'feedback', count(*), count(*) FILTER (period IN (FROM keep)), count(*) FILTER (period NOT IN (FROM keep)) FROM feedback""",
-    "matches", "feedback", extra=["keep AS (SELECT DISTINCT period FROM matches ORDER BY 1 DESC LIMIT 30)"]))
+    UNION ALL SELECT 'feedback', count(*), count(*) FILTER (match_id NOT IN (FROM old)), count(*) FILTER (match_id IN (FROM old)) FROM feedback""",
+    "matches", "feedback", extra=["keep AS (SELECT DISTINCT period FROM matches ORDER BY 1 DESC LIMIT 30)", "old AS (SELECT match_id FROM matches WHERE period NOT IN (FROM keep))"]))
 def prune_to_recent_periods(spark, sf_dir):
     before = {n: load(spark, sf_dir, n) for n in ("matches", "runs", "feedback")}
     return ledger.deleted_counts(before, ledger.prune(before, 30))
