@@ -137,16 +137,18 @@ def test_settlement_twice_is_the_same(spark):
 
 def test_expanded_rules_equal_direct_filters(learn):
     """Random candidates of the expanded search against a plain Python evaluation."""
-    top = learning.outcome_rules(learn).filter(F.col("train_actions") >= V.RULE_MIN_TRAIN_ROWS).orderBy(
-        learning.rule_score("train").desc(), "rule_id").limit(V.EXPANSION_LIMIT).collect()
+    top = learning.outcome_rules(learn).select("rule_id", *learning.O_ORDER).orderBy("rule_id").collect()
+    rng = random.Random(11)
+    tried = [(rng.randrange(len(top)), rng.randrange(11), rng.randrange(18)) for _ in range(25)]
+    bases = [top[place].rule_id for place, _, _ in tried]
     extra = learning.filter_columns()
     packed = learn.withColumn("_x", F.struct(*[c.alias(n) for n, c in extra.items()]))
     rows = [r for r in learning.direction_rows(packed, ["is_validation", "_x"]).collect() if not r.is_validation]
-    got = {(r.place, r.cat, r.struct): r for r in learning.expanded_rules(learn).collect()}
+    all_rules = learning.expanded_rules(learn).withColumn("base", F.floor(F.col("rule_id") / learning.VARIANTS_PER_RULE))
+    got = {(r.base, r.cat, r.struct): r for r in all_rules.filter(F.col("base").isin(bases)).collect()}
     signed = lambda r, gap: {"home": r._x[gap], "away": -r._x[gap]}.get(r.outcome, -abs(r._x[gap]))
-    g, rng = V.OUTCOME_GRID, random.Random(11)
-    for _ in range(25):
-        place, cat, struct = rng.randrange(min(len(top), 100)), rng.randrange(11), rng.randrange(18)
+    g = V.OUTCOME_GRID
+    for place, cat, struct in tried:
         rule = top[place]
         cats = V.CATEGORY_FILTERS[cat - 1] if cat else {}
         gaps = V.STRUCTURAL_FILTERS[struct - 1] if struct else {}
@@ -159,6 +161,6 @@ def test_expanded_rules_equal_direct_filters(learn):
             and all((r.outcome if k == "outcomes" else r._x[k]) in v for k, v in cats.items())
             and all(signed(r, k) >= v for k, v in gaps.items())
         ]
-        found = got.get((place, cat, struct))
+        found = got.get((rule.rule_id, cat, struct))
         assert (found.train_actions if found else 0) == len(passing)
         assert (found.train_hits if found else 0) == sum(r.hit for r in passing)
