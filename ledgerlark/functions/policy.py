@@ -209,29 +209,36 @@ def can_act(loosest: dict[str, Column]) -> Column:
     return F.col("favourite_guard") | (_passes("light", loosest, scored=False) & guard)
 
 
-def stake(action: Column, confidence: Column) -> Column:
-    """Quarter-Kelly stake in percent, tilted by evidence; EV-based when Kelly is 0."""
+def stake_from(
+    action: Column, edge: Column, ev: Column, confidence: Column, quality: Column, agreement: Column, score: Column | float = 0.60, gap: Column | float = 0.0
+) -> Column:
+    """Quarter-Kelly stake in percent, tilted by evidence; EV-based when Kelly (``edge``) is 0."""
+    score, gap = (F.lit(x) if isinstance(x, float) else x for x in (score, gap))
     blend = clamp(
         F.lit(0.55)
         + (confidence - 0.55) * 0.45
-        + (F.col("policy_score") - 0.55) * 0.40
-        + (F.col("_agreement") - 0.65) * 0.25
-        + (F.col("_quality") - 0.65) * 0.20,
+        + (score - 0.55) * 0.40
+        + (agreement - 0.65) * 0.25
+        + (quality - 0.65) * 0.20,
         0.40,
         1.30,
     )
-    fade = F.when(
-        (F.col("_quality") < C["gap_quality_floor"]) & (F.col("_gap") > 0.10),
-        clamp(1.0 - (F.col("_gap") - 0.10) * 1.6, 0.55, 1.0),
-    ).otherwise(1.0)
-    pct = F.col("_kelly") * 0.25 * 100.0 * blend * fade
-    fallback = F.greatest(F.col("policy_ev"), F.lit(0.0)) * confidence
-    has_kelly = F.col("_kelly") > 0
+    fade = F.when((quality < C["gap_quality_floor"]) & (gap > 0.10), clamp(1.0 - (gap - 0.10) * 1.6, 0.55, 1.0)).otherwise(1.0)
+    pct = edge * 0.25 * 100.0 * blend * fade
+    fallback = F.greatest(ev, F.lit(0.0)) * confidence
+    has_kelly = edge > 0
     main = F.when(has_kelly, clamp(pct, 0.5, 4.0)).otherwise(clamp(fallback * 12.0, 0.5, 4.0))
     light = F.when(has_kelly, clamp(pct, 0.2, 1.5)).otherwise(clamp(fallback * 6.0, 0.2, 1.5))
     return F.when(action == "main", round_to(main, 2)).when(action == "light", round_to(light, 2)).otherwise(0.0)
 
 
+def stake(action: Column, confidence: Column) -> Column:
+    """Stake of a staged selection."""
+    return stake_from(
+        action, F.col("_kelly"), F.col("policy_ev"), confidence, F.col("_quality"), F.col("_agreement"), F.col("policy_score"), F.col("_gap")
+    )
+
+
 def gated_action(df: DataFrame, gates: Gates) -> DataFrame:
     """Adds policy_score, policy_action and policy_stake for the given gates."""
     df = df.withColumn("policy_score", evidence_score(gates))

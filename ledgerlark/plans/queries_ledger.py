@@ -457,23 +457,6 @@ def rejected_manual_settlements(spark, sf_dir):
     return settle.rejected_feedback(load(spark, sf_dir, "feedback"), canonical).select("feedback_id", "reject_reason")
 
 
-_NOW = "TIMESTAMP '1998-01-01 00:00:00'"
-
-
-@query("expire_reviews", sql(
-    f"""SELECT run_id, CASE WHEN r.manual_review_status = 'pending' AND m.match_time <= {_NOW} THEN 'expired' ELSE r.manual_review_status END AS manual_review_status
-    FROM runs r LEFT JOIN matches m ON m.match_id = r.match_id""", "runs", "matches"))
-def expire_reviews(spark, sf_dir):
-    runs = load(spark, sf_dir, "runs").select("run_id", "match_id", "manual_review_status")
-    return settle.expire_reviews(runs, load(spark, sf_dir, "matches"), F.expr(_NOW)).select("run_id", "manual_review_status")
-
-
-@query("supersede_reviews", sql(
-    """SELECT run_id, CASE WHEN manual_review_status = 'pending' AND run_id <> max(run_id) OVER (PARTITION BY match_id) THEN 'superseded' ELSE manual_review_status END AS manual_review_status FROM runs""", "runs"))
-def supersede_reviews(spark, sf_dir):
-    return settle.supersede_reviews(load(spark, sf_dir, "runs")).select("run_id", "manual_review_status")
-
-
 @query("apply_batch_strategy", with_ctes(
     """SELECT run_id, match_id, CASE WHEN coverage_draw_rescue.outcome = '' THEN 'watch' WHEN coverage_draw_rescue.tier = 'core' THEN 'main' ELSE 'light' END AS recommendation,
     CASE WHEN coverage_draw_rescue.outcome = '' THEN recommended_outcome ELSE coverage_draw_rescue.outcome END AS recommended_outcome, coverage_draw_rescue.stake AS suggested_stake_pct FROM picks""",
@@ -503,15 +486,6 @@ def backfill_plan(spark, sf_dir):
     return settle.backfill_plan(settled, view(spark, sf_dir, _SEQ), 40)
 
 
-@query("resolve_reviews", None)
-def resolve_reviews(spark, sf_dir):
-    decisions = view(spark, sf_dir, "SELECT run_id, CASE match_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN '轻仓' ELSE 'hold' END AS action FROM {wide}")
-    rows = settle.resolve_reviews(load(spark, sf_dir, "wide"), decisions)
-    return rows.filter("effective_action_source = 'manual_review'").select(
-        "run_id", "effective_recommendation", "effective_stake_pct", "manual_review_status"
-    )
-
-
 # --- audits ---------------------------------------------------------------------------
 
 
