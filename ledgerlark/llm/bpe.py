@@ -13,7 +13,6 @@ import heapq
 import itertools
 import json
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -167,15 +166,14 @@ class Codec(dict):
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
 def codec(file: bytes) -> Codec:
-    """The worker's codec of a vocabulary file."""
-    key = zlib.crc32(file)
-    if key not in _codecs:
-        _codecs[key] = Codec(file)
-    return _codecs[key]
+    """The worker's codec of a vocabulary file; a bytes object keeps its hash, so only the first text pays for it."""
+    if file not in _codecs:
+        _codecs[file] = Codec(file)
+    return _codecs[file]
 
 
 def _shipped(spark: SparkSession, vocabulary: str):
