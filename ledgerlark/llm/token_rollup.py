@@ -2,8 +2,9 @@
 
 A change carries what a document counted before and after it: an insert has no before, a delete no after, a revised
 count both.  Changes become signed rows, are summed per key in front of the shuffle, and are committed as one batch.
-A batch is visible through a marker file that can be created only once, so committing it again changes nothing, and
-a failed attempt leaves no marker.  Totals are the sum over the committed batches; no document is ever read again.
+A batch is visible through a marker file.  The marker is written under another name and then renamed, which fails where
+it is there already: committing a batch again changes nothing, and an attempt that dies at any point leaves no marker,
+so the batch can be sent again.  Totals are the sum over the committed batches; no document is ever read again.
 """
 
 from __future__ import annotations
@@ -43,12 +44,14 @@ class Rollup:
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
     def committed(self) -> dict[str, str]:
-        """Attempt of each committed batch."""
+        """Attempt of each committed batch; markers without an attempt commit nothing."""
         folder = self._at("commits")
         if not self._fs.exists(folder):
             return {}
         out = {}
         for status in self._fs.listStatus(folder):
+            if not status.getLen():
+                continue
             stream = self._fs.open(status.getPath())
             out[status.getPath().getName()] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
@@ -56,18 +59,33 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes once; False if the batch is in already, whatever it holds now."""
-        if self._fs.exists(self._at("commits", batch)):
+        if self._is_in(batch):
             return False
         attempt = uuid.uuid4().hex
         signed(changes).write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
+        return self._mark(batch, attempt)
+
+    def _is_in(self, batch: str) -> bool:
+        marker = self._at("commits", batch)
+        return bool(self._fs.exists(marker) and self._fs.getFileStatus(marker).getLen())
+
+    def _mark(self, batch: str, attempt: str) -> bool:
+        """Make the attempt the batch's own; False if another writer was first."""
+        staged, marker = self._at("staged", attempt), self._at("commits", batch)
+        stream = self._fs.create(staged, False)
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        if self._fs.exists(marker) and not self._is_in(batch):
+            self._fs.delete(marker, False)
+        self._fs.mkdirs(self._at("commits"))
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            stream = self._fs.create(self._at("commits", batch), False)
+            files.rename(staged, marker, options)
         except Exception:
-            if self._fs.exists(self._at("commits", batch)):  # another writer was first
+            if self._is_in(batch):
                 return False
             raise
-        stream.write(bytearray(attempt.encode()))
-        stream.close()
         return True
 
     def totals(self) -> DataFrame:

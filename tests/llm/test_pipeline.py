@@ -45,6 +45,14 @@ def test_batches_commit_once(spark):
     assert not store.commit("a", change(("s", "en", "t", None, 100)))
     assert store.commit("b", change(("s", "en", "t", 5, 6), ("s", "en", "t", 7, None), (None, None, "t", 0, None), ("x", "en", "t", None, None)))
     assert rows_of(store.totals(), "source", "n_docs", "n_tokens") == [("s", 1, 6)]
+    # An empty marker commits nothing and does not stand in the way; of two attempts at one batch only the first counts.
+    empty = store._at("commits", "d")
+    store._fs.create(empty, False).close()
+    assert "d" not in store.committed() and rows_of(store.totals(), "source", "n_docs", "n_tokens") == [("s", 1, 6)]
+    assert store.commit("d", change(("y", "en", "t", None, 2)))
+    assert not store._mark("d", "another") and not store.commit("d", change(("y", "en", "t", None, 2)))
+    assert sorted(rows_of(store.totals(), "source", "n_docs", "n_tokens")) == [("s", 1, 6), ("y", 1, 2)]
+    assert store.commit("e", change(("y", "en", "t", 2, None)))
     # A failed attempt leaves files but no marker.
     token_rollup.signed(change(("s", "en", "t", None, 9))).write.parquet(f"{store.path}/deltas/c/failed")
     assert rows_of(store.totals(), "source", "n_docs", "n_tokens") == [("s", 1, 6)]
