@@ -22,6 +22,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 DIGITS = re.compile(r"[0-9]+")
 #: An account's start and what may belong to it; where it ends, mod 97 says.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: 19 digits hold no more groups of four, with a last one of any size.
+MOST_GROUPS = 5
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 #: Words beside a span that speak for or against it; a span's score starts at BASE and gains or loses STEP for them.
@@ -89,24 +91,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _cards_within(text: str, start: int, end: int):
     """Cards among whole digit groups of a run: 13 to 19 digits in groups of four or more, the last of any size.
 
-    Every group may start one; of those that overlap the first and longest stays.
+    Every group may start one, and all that pass are given, overlapping ones too: one number in ten passes by chance,
+    and such a find in front (a year, a quantity) must not hide the card behind it.
     """
-    groups, done = [(m.start(), m.end()) for m in DIGITS.finditer(text, start, end)], start
+    groups = [(m.start(), m.end()) for m in DIGITS.finditer(text, start, end)]
     for i, (a, _) in enumerate(groups):
-        if a < done:
-            continue
-        digits, best = "", None
-        for c, d in groups[i:]:
-            digits += text[c:d]
+        digits = ""
+        for c, d in groups[i : i + MOST_GROUPS]:
+            digits += text[c : min(d, c + 20)]
             if len(digits) > 19:
                 break
             if len(digits) >= 13 and luhn(digits):
-                best = d
+                yield a, d
             if d - c < 4:
                 break
-        if best:
-            yield a, best
-            done = best
 
 
 def _ibans(text: str):
