@@ -93,6 +93,25 @@ def test_secrets_in_glued_damaged_and_large_layers():
     assert spans(large) and secret_scan.secrets(large, 1 << 20)[1:4:2] == (secret_scan.secrets(large)[1], 1)
 
 
+def test_secrets_below_many_escapes():
+    import random
+    from urllib.parse import quote
+
+    rng = random.Random(11)
+    for _ in range(200):
+        plain = "é token=" + "".join(rng.choice("abcxyz0189") for _ in range(8)) + " %zz"
+        text, kinds = plain, rng.choices(("percent", "unicode", "html"), k=rng.randint(1, 9))
+        for kind in kinds:
+            text = quote(text) if kind == "percent" else "".join(f"\\u{ord(c):04x}" if c in "%&\\; é=" else c for c in text) if kind == "unicode" else "".join(f"&#{ord(c)};" if c in "%&\\ é=" else c for c in text)
+        found = secret_scan.secrets(text)[1]
+        assert any(kind == "assign" and a <= text.find("token") and b > text.find("token") + 5 for kind, a, b in found), (kinds, text)
+    # Escapes of escapes cost their length.
+    for text in ("%" + "25" * 200_000 + "3D", "password%" + "25" * 100_000 + "3Dhunter2hunter2", "\\" + "u005c" * 50_000 + "u0041", "&#38;" + "#38;" * 50_000):
+        assert secret_scan.secrets(text)[2] <= 8
+    settled = secret_scan._settled(("a%25252541\\u005cx42%C3%A9&#x26;#67;", None, None))
+    assert settled[0] == "aABéC" and list(settled[1]) == [0, 1, 10, 19, 25] and list(settled[2]) == [1, 10, 19, 25, 35]
+
+
 def plain_personal(t):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -128,6 +147,15 @@ def test_personal_edges():
     added = personal_data.added_spans(t, personal_data.base_spans(t))
     assert [k for k, _, _ in added].count("iban") == 1 and ("card", t.index("4111"), len(t)) in added
     assert personal_data.added_spans("her ssn 123-45-6789", []) == [("ssn", 8, 19)] and personal_data.added_spans("part 123-45-6789", []) == []
+    # A number in front that passes by chance hides no card.
+    lost = 0
+    for _ in range(2000):
+        card = "4" + "".join(str(rng.randint(0, 9)) for _ in range(14))
+        card += next(c for c in "0123456789" if personal_data.luhn(card + c))
+        t = f"{rng.randint(1990, 2030)} {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}"
+        lost += not {("card", 5, len(t)), ("card", 0, len(t))} & {*personal_data.base_spans(t), *personal_data.added_spans(t, personal_data.base_spans(t))}
+    assert lost == 0
+    personal_data.added_spans("1234 " * 100_000, [])
     long = "9" * 200_000 + "a" * 200_000
     assert personal_data.base_spans(long) == []
 
