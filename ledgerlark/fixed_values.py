@@ -230,3 +230,29 @@ VALUE_GAP_SCALE, VALUE_GAP_LIMIT = 85.0, 190.0
 MOTIVATION_MARK, MOTIVATION_SIGNAL = "参考最近交锋", 0.15
 ENOUGH_GAMES = 6
 LINEUP_FALLBACKS = ("lineup fallback not found", "injury fallback not found")
+
+# --- fixed values: collected dimensions and their failure texts --------------
+REQUIRED_DIMENSIONS = {
+    "elo_home": "维度一：基础实力/主队 Elo/实力代理",
+    "elo_away": "维度一：基础实力/客队 Elo/实力代理",
+    "market_value_summary": "维度一：基础实力/球队球员身价",
+    "recent_form_home": "维度一：基础实力/主队近期状态",
+    "recent_form_away": "维度一：基础实力/客队近期状态",
+    "home_away_form": "维度一：基础实力/主客场表现",
+    "head_to_head_summary": "维度二：近期动态/交锋记录",
+    "injury_or_lineup_notes": "维度二：近期动态/伤停/阵容",
+    "motivation_or_schedule_notes": "维度二：近期动态/战意/赛程",
+    "european_odds_movement_summary": "维度三：市场数据/欧赔变化",
+    "asian_handicap_summary": "维度三：市场数据/让球亚盘变化",
+    "betting_heat_summary": "维度三：市场数据/投注热度",
+}
+OPTIONAL_DIMENSIONS = ("elo_home", "elo_away", "market_value_summary")
+SHOWN_DIMENSIONS = 8
+COLLECTION_PLACEHOLDERS = (
+    "未在公开来源中命中预计首发", "外部公开来源补采未命中", "伤停/阵容补采失败", "collection note",
+    "user_daily_quota_exhausted", "quota_exhausted", "quota_limit",
+)
+COLLECTION_TEXTS = {
+    "failure_prefix": "采集失败：", "missing_prefix": "采集失败：缺少采集维度：", "missing": "缺少采集维度：",
+    "no_row": "未找到对赛采集记录", "uncollected": "当前场次未采集，请先采集",
+}

@@ -15,7 +15,7 @@ FAST = [
     "chain_audit_findings", "fit_calibrator", "handicap_rule_grid", "fit_outcome_rules", "fit_handicap_buckets", "extract_market_quotes",
     "extract_lineups", "bookmaker_median_odds", "stored_review_payloads", "loose_match_times", "goal_model", "handicap_cover_probabilities",
     "fit_expanded_outcome_rules", "both_team_metrics", "feature_snapshots", "match_features", "data_quality_scores", "imported_runs", "history_counters", "resolved_actions", "or_rule_metrics", "profile_replay",
-    "resolve_reviews", "rejected_decisions", "gate_search_totals", "shrinkage_what_if", "orphan_rows", "import_settlements",
+    "collection_failure_reasons", "retry_summary", "resolve_reviews", "rejected_decisions", "gate_search_totals", "shrinkage_what_if", "orphan_rows", "import_settlements",
 ]
 
 
