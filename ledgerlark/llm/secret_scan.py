@@ -231,33 +231,6 @@ def _inflated(chunks: Iterator[bytes], read: list[int]) -> Iterator[bytes]:
         return
 
 
-def _deepest(raw: bytes, read: list[int]) -> Iterator[bytes] | None:
-    """Pieces of what is below all compressions of ``raw``; None if it is not compressed."""
-    chunks, heads, level = iter((raw,)), set(), 0
-    while True:
-        head = b""
-        while len(head) < 6 and (more := next(chunks, b"")):
-            head += more
-        if _decoder(head) is None or head in heads:  # a layer that holds itself ends here
-            return itertools.chain((head,), chunks) if level else None
-        heads.add(head)
-        kept, source = [head], chunks
-
-        def recorded(kept=kept, source=source):
-            yield kept[0]
-            for c in source:
-                if kept:
-                    kept.append(c)
-                yield c
-
-        inner = _inflated(recorded(), read if not level else [])
-        first = next((c for c in inner if c), b"")
-        if not first:
-            return itertools.chain(kept, chunks) if level else None
-        kept.clear()
-        chunks, level = (c for c in itertools.chain((first,), inner) if c), level + 1
-
-
 class _Budget:
     """Bytes that one text may still unwrap to at once, compressed tokens already charged, and tokens read as a stream."""
 
@@ -265,40 +238,75 @@ class _Budget:
         self.left, self.charged, self.refused = left, {}, 0
 
 
-def _unpacked(raw: bytes, budget: _Budget) -> Iterator[tuple[str, int | None]]:
-    """Texts below a compressed token, with the bytes it took if known: one, or windows if it is too large for the budget."""
-    read: list[int] = []
-    chunks = _deepest(raw, read)
-    if chunks is None:
-        return
-    key = xxhash.xxh3_128_digest(raw)
-    most = max(budget.left, budget.charged.get(key, 0))
-    kept, size = [], 0
-    for c in chunks:
-        kept.append(c)
-        size += len(c)
-        if size > most:
-            break
-    else:
-        if key not in budget.charged:
-            budget.charged[key] = size
-            budget.left -= size
-        yield b"".join(kept).decode(errors="replace"), read[0] if read else None
-        return
-    if key not in budget.charged:
-        budget.charged[key] = 0
-        budget.refused += 1
-    held = b"".join(kept)
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Overlapping windows of a stream."""
+    held = b""
     for c in itertools.chain(chunks, (b"",)):
         held += c
         while len(held) >= 2 * WINDOW:
-            yield held[: 2 * WINDOW].decode(errors="replace"), None
+            yield held[: 2 * WINDOW]
             # The next window begins at a break, so that only a run longer than a window is ever split.
             at = held.rfind(b"\n", WINDOW // 2, 2 * WINDOW - OVERLAP)
             at = at if at >= 0 else held.rfind(b" ", WINDOW // 2, 2 * WINDOW - OVERLAP)
             held = held[at if at >= 0 else 2 * WINDOW - OVERLAP :]
     if held:
-        yield held.decode(errors="replace"), None
+        yield held
+
+
+def _unpacked(raw: bytes, budget: _Budget) -> Iterator[tuple[str, int | None]]:
+    """Texts of every layer below a compressed token, with the bytes it took if known: one a layer, or windows if it is
+    too large for the budget.
+
+    A layer may only look compressed, or hold text beside what is compressed in it, so each is read as text too.  The list
+    ends at what no decompressor reads, or at a whole layer that the token held before: one that holds itself.  What was
+    charged for a layer is given back when the next one below it is read from it.
+    """
+    key, seen, read = xxhash.xxh3_128_digest(raw), {xxhash.xxh3_128_digest(raw)}, []
+    source, took = (lambda: iter((raw,))), None
+    for level in itertools.count():
+        most = max(budget.left, budget.charged.get((key, level), 0))
+        chunks = (c for c in _inflated(source(), read if not level else []) if c)
+        kept, size, mark = [], 0, xxhash.xxh3_128()
+        for c in chunks:
+            kept.append(c)
+            size += len(c)
+            mark.update(c)
+            if size > most:
+                break
+        if not size:
+            return
+        if size <= most:
+            if mark.digest() in seen:
+                return
+            took = read[0] if read else None
+            spent = (key, level) not in budget.charged
+            if spent:
+                budget.charged[key, level] = size
+                budget.left -= size
+            whole = b"".join(kept)
+            if PLAIN.search(whole):
+                yield whole.decode(errors="replace"), took
+            if spent and _decoder(whole[:6]) is not None:
+                budget.left += size
+            source = lambda whole=whole: iter((whole,))
+        else:
+            if (key, level) not in budget.charged:
+                budget.charged[key, level] = 0
+                budget.refused += 1
+
+            def marked(chunks=chunks, mark=mark):
+                for c in chunks:
+                    mark.update(c)
+                    yield c
+
+            for window in _windows(itertools.chain(kept, marked())):
+                if PLAIN.search(window):
+                    yield window.decode(errors="replace"), took
+            if mark.digest() in seen:
+                return
+            took = read[0] if read else None
+            source = lambda source=source: _inflated(source(), [])
+        seen.add(mark.digest())
 
 
 def _tokens(layer: Layer, budget: _Budget) -> Iterator[Layer]:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -93,6 +94,29 @@ def test_secrets_in_glued_damaged_and_large_layers():
     assert spans(large) and secret_scan.secrets(large, 1 << 20)[1:4:2] == (secret_scan.secrets(large)[1], 1)
 
 
+def test_secrets_below_layers_that_begin_alike_or_hold_text_beside():
+    def found(raw):
+        text = "x " + base64.b64encode(raw).decode()
+        return {(a, b) for k, a, b in secret_scan.secrets(text)[1] if k == "assign"}
+
+    def split(whole):
+        return gzip.compress(whole[:10], mtime=0) + gzip.compress(whole[10:], mtime=0)
+
+    raw = gzip.compress(b"see password=abcdefgh12 there", mtime=0)
+    for _ in range(4):  # every layer inflates to the same ten bytes first
+        raw = split(raw)
+        assert found(raw), len(raw)
+    # Behind or in front of what is compressed in a layer, and in a layer that only looks compressed.
+    assert found(gzip.compress(zlib.compress(b"nothing to see") + b" password=abcdefgh12 "))
+    assert found(gzip.compress(gzip.compress(b"nothing")[:-4] + b"\npassword=abcdefgh12"))
+    # A layer too large for the budget is followed downwards as well, and lost to no charge of the layers above it.
+    noise = random.Random(5).randbytes(300_000)
+    deep = gzip.compress(gzip.compress(noise + b"\npassword=abcdefgh12\n" + noise), mtime=0)
+    text = "x " + base64.b64encode(deep).decode()
+    whole = secret_scan.secrets(text)[1]
+    assert secret_scan.secrets(text, 700_000)[1] == whole and secret_scan.secrets(text, 1000)[1] and any(k == "assign" for k, _, _ in whole)
+
+
 def test_secrets_below_many_escapes():
     import random
     from urllib.parse import quote
