@@ -97,25 +97,29 @@ def resolve_names(rows: DataFrame, row_id: str | list[str], aliases: str, dim: D
     ).select(*ids, F.col("_best._title").alias(title), (F.col("_best._kind") == 0).alias("exact"))
 
 
+#: Parts of a hot key: rows that meet a small side on few keys are dealt out over so many, with a copy of that side for each.
+SALTS = 16
+
+
 def both_team_metrics(matches: DataFrame, teams: DataFrame, metrics: list[str]) -> DataFrame:
     """Metrics of both teams of a match from the first of its league codes that knows both.
 
-    ``matches`` has (match_id, codes, home_aliases, away_aliases), arrays in order of preference; ``teams`` has (code,
-    title, place, metrics...), ``place`` being the order within a code.  A match without such a code has no row.
+    ``matches`` has (match_id, codes, home_aliases, away_aliases), arrays in order of preference; ``teams`` has one row per
+    (code, title) with place and metrics, ``place`` being the order within a code.  A match without such a code has no row.
+
+    Names are resolved once per code and alias list, not per match.  A league has few names, so the matches meet the
+    resolved ones by salted keys: neither a code nor a name is ever one task.
     """
-    sides = matches.select(
-        "match_id", F.posexplode("codes").alias("_c", "code"),
-        F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_aliases").alias("aliases")) for s in ("home", "away")]).alias("_sides"),
-    ).select("match_id", "_c", "code", F.inline("_sides"))
-    known = sides.join(teams.select("code").distinct(), "code", "left_semi")
-    found = resolve_names(known, ["match_id", "_c", "code", "side"], "aliases", teams, "title", "place", "code")
-    pairs = found.groupBy("match_id", "_c", "code").agg(*[F.max(F.when(F.col("side") == s, F.col("title"))).alias(f"{s}_title") for s in ("home", "away")])
-    pairs = pairs.where("home_title is not null and away_title is not null")
-    first = pairs.groupBy("match_id").agg(F.min(F.struct("_c", "code", "home_title", "away_title")).alias("_b")).select("match_id", "_b.code", "_b.home_title", "_b.away_title")
+    cases = matches.select("match_id", "home_aliases", "away_aliases", F.posexplode("codes").alias("_c", "code"), F.pmod(F.hash("match_id"), F.lit(SALTS)).alias("_salt"))
+    sides = F.explode(F.array("home_aliases", "away_aliases")).alias("aliases")
+    asked = matches.select(F.explode("codes").alias("code"), "home_aliases", "away_aliases").select("code", sides).distinct().withColumn("_given", F.col("aliases"))
+    found = resolve_names(asked, ["code", "_given"], "aliases", teams, "title", "place", "code")
+    known = found.join(teams.select("code", "title", *metrics), ["code", "title"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     for s in ("home", "away"):
-        own = teams.select("code", F.col("title").alias(f"{s}_title"), *[F.col(m).alias(f"{s}_{m}") for m in metrics])
-        first = first.join(own, ["code", f"{s}_title"])
-    return first.select("match_id", "code", "home_title", "away_title", *[f"{s}_{m}" for s in ("home", "away") for m in metrics])
+        own = known.select("code", F.col("_given").alias(f"{s}_aliases"), "_salt", F.col("title").alias(f"{s}_title"), *[F.col(m).alias(f"{s}_{m}") for m in metrics])
+        cases = cases.join(own, ["code", f"{s}_aliases", "_salt"])
+    names = ["code", "home_title", "away_title", *[f"{s}_{m}" for s in ("home", "away") for m in metrics]]
+    return cases.groupBy("match_id").agg(F.min(F.struct("_c", *names)).alias("_b")).select("match_id", *[F.col(f"_b.{n}").alias(n) for n in names])
 
 
 def alias_list(name: Column, known: Column | None = None) -> Column:

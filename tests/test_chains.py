@@ -7,8 +7,8 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from ledgerlark import fixed_values as V
-from ledgerlark.operators import features, history, learning, profile, resolution, what_if
-from ledgerlark.plans import queries_features, queries_learning, queries_profile
+from ledgerlark.operators import features, history, joins, learning, profile, resolution, what_if
+from ledgerlark.plans import adapters, queries_features, queries_learning, queries_profile
 
 ROWS = {
     "recent_form_home": "近10场  6胜2平2负，进18球失9球，胜率60%，赢盘率50%，大球率40%", "recent_form_away": "近8场  2胜2平4负，进7球失12球，胜率25%，赢盘率40%，大球率30%",
@@ -144,5 +144,20 @@ def test_no_theta_join_for_both_teams(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_no_shuffle_of_matches_by_league_code(spark):
+    plan = queries_features.both_team_metrics(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and "_salt" in plan
+    matches = spark.createDataFrame([(1, ["x", "b", "a"], ["One", "one (W)"], ["Two FC"]), (2, ["b"], ["One"], ["Three"]), (3, ["a", "b"], ["On"], ["Two"]), (4, ["a"], None, ["Two"])],
+                                    "match_id long, codes array<string>, home_aliases array<string>, away_aliases array<string>")
+    teams = spark.createDataFrame([("a", "One", 1, 5), ("a", "Two", 2, 6), ("b", "One", 1, 7), ("b", "Four", 2, 8)], "code string, title string, place long, games long")
+    got = sorted(tuple(r) for r in joins.both_team_metrics(matches, teams, ["games"]).collect())
+    assert got == [(1, "a", "One", "Two", 5, 6), (3, "a", "One", "Two", 5, 6)]
+
+
+def test_wide_rows_are_dealt_in_proportion_to_the_input(spark):
+    orders = adapters.table(spark, SF, "orders")
+    assert adapters.wide(spark, SF).rdd.getNumPartitions() >= adapters.TASKS_PER_SPLIT * orders.rdd.getNumPartitions()
+
+
 def test_levels_are_known():
     assert set(resolution.LEVELS) == set(V.ACTIONS)
