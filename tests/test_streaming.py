@@ -1,10 +1,14 @@
 """Streams end where the batch ends."""
 
+import glob
 import uuid
 
+from conftest import SF
 from pyspark.sql import functions as F
 
+from ledgerlark.plans import queries_streaming
 from ledgerlark.schemas import MATCHES
+from ledgerlark.session import shared_dir
 from ledgerlark.streaming import feeds
 
 def test_late_rows_do_not_win(spark, tmp_path):
@@ -42,3 +46,10 @@ def test_reviews_expire_at_kickoff(spark, tmp_path):
     run()
     rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()]
     assert rows == [(1, "expired")]
+
+
+def test_feed_is_written_by_many_tasks_in_few_batches(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/feed-*"))
+    assert queries_streaming.streamed_match_feed(spark, SF).count() > 0
+    (base,) = set(glob.glob(f"{shared_dir(spark)}/feed-*")) - before
+    assert len(glob.glob(f"{base}/in/*.parquet")) > 3 and len(glob.glob(f"{base}/checkpoint/commits/[0-9]*")) == queries_streaming.BATCHES
