@@ -7,7 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from ledgerlark import fixed_values as V
-from ledgerlark.operators import features, history, joins, learning, profile, resolution, what_if
+from ledgerlark.operators import extract, features, history, joins, learning, profile, resolution, what_if
 from ledgerlark.plans import adapters, queries_features, queries_learning, queries_profile
 
 ROWS = {
@@ -159,5 +159,13 @@ def test_wide_rows_are_dealt_in_proportion_to_the_input(spark):
     assert adapters.wide(spark, SF).rdd.getNumPartitions() >= adapters.TASKS_PER_SPLIT * orders.rdd.getNumPartitions()
 
 
+def test_medians_take_one_shuffle_and_read_a_line_once(spark):
+    lines = spark.createDataFrame([(1, "a 1.50 3.10 5.00 1.60 3.20 4.80\nb 1.70 3.30 5.20 1.40 3.00 5.60\nc 9.99"), (2, "a 2.00 3.00 4.00 2.10 3.10 3.90 7.00"), (3, None)], "id long, line string")
+    found = extract.median_odds(extract.bookmaker_rows(lines, "id", "line"), "id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1.6, 3.2, 5.1, 1.5, 3.1, 5.2, -0.1, -0.1, 0.1), (2, 2.0, 3.0, 4.0, 2.1, 3.1, 3.9, 0.1, 0.1, -0.1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_levels_are_known():
     assert set(resolution.LEVELS) == set(V.ACTIONS)
