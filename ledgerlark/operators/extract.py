@@ -24,14 +24,21 @@ def squeeze(value: Column | str) -> Column:
 
 def captures(value: Column, pattern: str, groups: int) -> Column:
     """Captured groups of the first match as an array; null when nothing matches."""
-    found = F.regexp_extract(value, pattern, 0)
+    return _groups(F.regexp_extract(value, pattern, 0), pattern, groups)
+
+
+def _groups(found: Column, pattern: str, groups: int) -> Column:
     joined = F.regexp_replace(found, pattern, _SEP.join(f"${i}" for i in range(1, groups + 1)))
     return F.when(found != "", F.split(joined, _SEP))
 
 
 def with_captures(df: DataFrame, specs: dict[str, tuple[str, str, int]]) -> DataFrame:
-    """Adds one array per spec (text column, pattern, group count)."""
-    return df.withColumns({out: captures(squeeze(c), p, n) for out, (c, p, n) in specs.items()})
+    """Adds one array per spec (text column, pattern, group count).
+
+    The match is a column of its own: below a condition an expression that occurs twice is evaluated twice, text and all.
+    """
+    df = df.withColumns({f"_m{out}": F.regexp_extract(squeeze(c), p, 0) for out, (c, p, _) in specs.items()})
+    return df.withColumns({out: _groups(F.col(f"_m{out}"), p, n) for out, (_, p, n) in specs.items()}).drop(*[f"_m{out}" for out in specs])
 
 
 def _int(array: str, i: int) -> Column:
@@ -98,21 +105,34 @@ def odds_triple(array: str, fallback: tuple[Column, Column, Column]) -> dict[str
     }
 
 
+_LINE_NUMBER = r"([+-]?\d+(?:\.\d+)?)"
+
+
 def handicap_line(value: Column) -> Column:
     """Number in the text, else the longest known wording it contains, signed."""
     cleaned = squeeze(value)
-    number = F.regexp_extract(cleaned, r"([+-]?\d+(?:\.\d+)?)", 1)
+    return _line(cleaned, F.regexp_extract(cleaned, _LINE_NUMBER, 1))
+
+
+def _line(cleaned: Column, number: Column) -> Column:
     sign = F.when(cleaned.startswith("-") | F.contains(cleaned, F.lit("受")), -1.0).otherwise(1.0)
     words = sorted(V.HANDICAP_WORDS.items(), key=lambda kv: -len(kv[0]))
     worded = F.coalesce(*[F.when(F.contains(cleaned, F.lit(w)), F.lit(v)) for w, v in words], F.lit(0.0))
     return F.when(number != "", text_num(number)).otherwise(sign * worded)
 
 
+def with_lines(df: DataFrame, array: str) -> DataFrame:
+    """Adds the two handicap lines of a captured quote, ``_line1`` and ``_line4``; each text is cleaned once, not per wording."""
+    df = df.withColumns({f"_c{i}": squeeze(F.get(F.col(array), F.lit(i))) for i in (1, 4)})
+    df = df.withColumns({f"_n{i}": F.regexp_extract(f"_c{i}", _LINE_NUMBER, 1) for i in (1, 4)})
+    return df.withColumns({f"_line{i}": F.coalesce(_line(F.col(f"_c{i}"), F.col(f"_n{i}")), F.lit(0.0)) for i in (1, 4)}).drop("_c1", "_c4", "_n1", "_n4")
+
+
 def handicap_quotes(array: str) -> dict[str, Column]:
-    at = lambda i: F.get(F.col(array), F.lit(i))
+    """Quotes of a captured array; the lines are those of ``with_lines``."""
     return {
-        "initial_home_odds": _dbl(array, 0), "initial_line": F.coalesce(handicap_line(at(1)), F.lit(0.0)), "initial_away_odds": _dbl(array, 2),
-        "current_home_odds": _dbl(array, 3), "current_line": F.coalesce(handicap_line(at(4)), F.lit(0.0)), "current_away_odds": _dbl(array, 5),
+        "initial_home_odds": _dbl(array, 0), "initial_line": F.col("_line1"), "initial_away_odds": _dbl(array, 2),
+        "current_home_odds": _dbl(array, 3), "current_line": F.col("_line4"), "current_away_odds": _dbl(array, 5),
     }
 
 
@@ -157,6 +177,9 @@ def _items(value: Column, pattern: str, placeholder: str) -> Column:
     return F.when(F.contains(value, F.lit(placeholder)), F.array().cast("array<string>")).otherwise(parts)
 
 
+_INJURIES = r"主队(.*?)(?:；|;)\s*客队(.*)"
+
+
 def lineup_metrics(df: DataFrame, column: str) -> DataFrame:
     """Starters, absences, availability from labelled lineup notes."""
     raw = text(column)
@@ -169,9 +192,9 @@ def lineup_metrics(df: DataFrame, column: str) -> DataFrame:
         {
             "_signal": (F.trim(raw) != "") & (~placeholder | concrete),
             "_home": _after_label(F.col("_lines"), "主队："), "_away": _after_label(F.col("_lines"), "客队："),
-            "_injury": captures(_after_label(F.col("_lines"), "关键伤停："), r"主队(.*?)(?:；|;)\s*客队(.*)", 2),
+            "_hurt": F.regexp_extract(_after_label(F.col("_lines"), "关键伤停："), _INJURIES, 0),
         }
-    )
+    ).withColumn("_injury", _groups(F.col("_hurt"), _INJURIES, 2))
     df = df.withColumns(
         {
             "_hs": _items(F.col("_home"), "/", V.LINEUP_PLACEHOLDERS[0]), "_as": _items(F.col("_away"), "/", V.LINEUP_PLACEHOLDERS[0]),
@@ -181,10 +204,10 @@ def lineup_metrics(df: DataFrame, column: str) -> DataFrame:
             },
         }
     )
-    doubtful = lambda a: F.size(F.filter(F.col(a), lambda x: F.contains(x, F.lit("成疑"))))
+    df = df.withColumns({f"_{s}d": F.size(F.filter(F.col(f"_{s}i"), lambda x: F.contains(x, F.lit("成疑")))) for s in "ha"})
     out = {}
     for s, side in (("h", "home"), ("a", "away")):
-        starters, doubt = F.size(f"_{s}s"), doubtful(f"_{s}i")
+        starters, doubt = F.size(f"_{s}s"), F.col(f"_{s}d")
         absent = F.size(f"_{s}i") - doubt
         impact = clamp(absent * 0.06 + doubt * 0.03 + F.greatest(F.lit(0), F.lit(11) - starters) * 0.015, 0.0, 0.36)
         on = F.col("_signal")
@@ -195,7 +218,7 @@ def lineup_metrics(df: DataFrame, column: str) -> DataFrame:
         }
     payload = F.size("_hs") + F.size("_as") + F.size("_hi") + F.size("_ai") > 0
     out["data_available"] = (F.col("_signal") & payload).cast("int")
-    return df.withColumns(out).drop("_lines", "_signal", "_home", "_away", "_injury", "_hs", "_as", "_hi", "_ai")
+    return df.withColumns(out).drop("_lines", "_signal", "_home", "_away", "_hurt", "_injury", "_hs", "_as", "_hi", "_ai", "_hd", "_ad")
 
 
 def summary_features(df: DataFrame, listed: tuple[Column, Column, Column] | None = None) -> DataFrame:
@@ -207,6 +230,7 @@ def summary_features(df: DataFrame, listed: tuple[Column, Column, Column] | None
         "_od": ("european_odds_movement_summary", V.ODDS_PATTERN, 6),
         "_hc": ("asian_handicap_summary", V.HANDICAP_PATTERN, 6), "_bh": ("betting_heat_summary", V.HEAT_PATTERN, 3),
     }).withColumn("_mv", team_values("market_value_summary"))
+    df = with_lines(df, "_hc")
     pack = lambda d: F.struct(*[c.alias(n) for n, c in d.items()])
     listed = listed or (F.lit(0.0), F.lit(0.0), F.lit(0.0))
     heat = {o: _dbl("_bh", i) / 100.0 for i, o in enumerate(V.OUTCOMES)}
@@ -218,7 +242,7 @@ def summary_features(df: DataFrame, listed: tuple[Column, Column, Column] | None
             "odds": pack(odds_triple("_od", listed)), "handicap": pack(handicap_quotes("_hc")),
             "heat": pack(heat), "team_value": pack(team_value_metrics("_mv")),
         }
-    ).drop("_rh", "_ra", "_ha", "_hh", "_eh", "_ea", "_od", "_hc", "_bh", "_mv")
+    ).drop("_rh", "_ra", "_ha", "_hh", "_eh", "_ea", "_od", "_hc", "_bh", "_mv", "_line1", "_line4")
 
 
 # --- dates and schedule ------------------------------------------------------------

@@ -100,11 +100,13 @@ _prob = lambda o: f"v_{o} / (v_home + v_draw + v_away)"
 def feature_snapshots(spark, sf_dir):
     wide = load(spark, sf_dir, "wide")
     found = features.feature_snapshots(analyses(spark, sf_dir), F.current_timestamp(), features.team_schedule(wide), stored_xg(wide))
-    at = lambda path, kind: F.get_json_object("feature_payload", f"$.{path}").cast(kind)
+    read = {"recent_home": "matches int", "recent_away": "goal_diff_per_game double", "strength_away": "rank int", "market_odds": "home double", "market_value": "log_gap double", "xg": "home_xg double"}
+    found = found.withColumn("_read", F.from_json("feature_payload", ", ".join(f"{g} struct<{f.replace(' ', ': ')}>" for g, f in read.items())))
+    at = lambda path: F.col(f"_read.{path}")
     return found.select(
         "match_id", "period", "home_rating", "away_rating", "recent_home_ppg", "recent_away_ppg", "recent_home_gf_pg", "recent_away_ga_pg", "home_split_ppg", "away_split_ppg", "home_doubtful_count", "lineup_home_availability",
-        "rest_days_home", "schedule_load_away", "h2h_edge", *[f"market_{o}_prob" for o in V.OUTCOMES], at("recent_home.matches", "int").alias("p_recent_matches"), round_to(at("recent_away.goal_diff_per_game", "double"), 6).alias("p_away_goal_diff"),
-        at("strength_away.rank", "int").alias("p_away_rank"), at("market_odds.home", "double").alias("p_home_odds"), at("market_value.log_gap", "double").alias("p_value_gap"), round_to(at("xg.home_xg", "double"), 6).alias("p_home_xg"),
+        "rest_days_home", "schedule_load_away", "h2h_edge", *[f"market_{o}_prob" for o in V.OUTCOMES], at("recent_home.matches").alias("p_recent_matches"), round_to(at("recent_away.goal_diff_per_game"), 6).alias("p_away_goal_diff"),
+        at("strength_away.rank").alias("p_away_rank"), at("market_odds.home").alias("p_home_odds"), at("market_value.log_gap").alias("p_value_gap"), round_to(at("xg.home_xg"), 6).alias("p_home_xg"),
         F.size(F.json_object_keys("feature_payload")).alias("p_groups"),
     )
 

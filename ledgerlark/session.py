@@ -29,6 +29,15 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+def bounded_methods(spark: SparkSession) -> None:
+    """Keep the generated code of wide projections within what the JIT compiles.
+
+    Spark's own limit lets methods through that the JVM then interprets row by row.  A session that names a limit keeps it.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
