@@ -109,24 +109,32 @@ def feature_snapshots(analyses: DataFrame, at: Column, schedule: DataFrame | Non
     return df.select("match_id", "period", at.alias("snapshot_at"), *[c.alias(n) for n, c in flat.items()], payload.alias("feature_payload"))
 
 
-def _read(group: str) -> Column:
-    """A group of the payload as typed struct; null where the payload has none.  Numbers may be stored as text."""
-    kinds = PAYLOAD[group]
+def _parsed(group: str) -> Column:
+    """A group of the payload as struct of texts; null where the payload has none."""
     raw = F.col(f"_p.{group}")
-    fields = F.from_json(raw, ", ".join(f"{n} string" for n in kinds))
-    typed = F.struct(*[text_num(fields[n]).cast("int" if t is int else "double").alias(n) for n, t in kinds.items()])
+    return F.when(raw.isNotNull() & ~raw.isin(*_NOTHING), F.from_json(raw, ", ".join(f"{n} string" for n in PAYLOAD[group])))
+
+
+def _typed(group: str) -> Column:
+    """The fields of a parsed group; numbers may be stored as text."""
+    raw, fields = F.col(f"_p.{group}"), F.col(f"_g_{group}")
+    typed = F.struct(*[text_num(fields[n]).cast("int" if t is int else "double").alias(n) for n, t in PAYLOAD[group].items()])
     return F.when(raw.isNotNull() & ~raw.isin(*_NOTHING), typed)
 
 
 def with_payload(df: DataFrame, payload: str = "feature_payload") -> DataFrame:
-    """Adds ``p_<group>`` per payload group; anything but a JSON object holds no group."""
+    """Adds ``p_<group>`` per payload group; anything but a JSON object holds no group.
+
+    A parsed text is a column of its own: fields taken from the parse itself would each parse the text again.
+    """
     own = text(payload)
     whole = F.ltrim(own).startswith("{") & F.try_parse_json(own).isNotNull()
     schema = ", ".join(f"{g} string" for g in (*PAYLOAD, "lineup_raw"))
     df = df.withColumn("_p", F.when(whole, F.from_json(own, schema)))
     raw = F.from_json(F.col("_p.lineup_raw"), ", ".join(f"{n} array<string>" for n in LISTED_LINEUP))
-    listed = F.exists(F.array(*[F.coalesce(F.size(raw[n]), F.lit(0)) for n in LISTED_LINEUP]), lambda n: n > 0)
-    return df.withColumns({f"p_{g}": _read(g) for g in PAYLOAD} | {"lineup_listed": F.coalesce(listed, F.lit(False))}).drop("_p")
+    df = df.withColumns({f"_g_{g}": _parsed(g) for g in PAYLOAD} | {"_raw": raw})
+    listed = F.exists(F.array(*[F.coalesce(F.size(F.col(f"_raw.{n}")), F.lit(0)) for n in LISTED_LINEUP]), lambda n: n > 0)
+    return df.withColumns({f"p_{g}": _typed(g) for g in PAYLOAD} | {"lineup_listed": F.coalesce(listed, F.lit(False))}).drop("_p", "_raw", *[f"_g_{g}" for g in PAYLOAD])
 
 
 def match_features(analyses: DataFrame, snapshots: DataFrame, xg: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from ledgerlark.fixed_values import RECORD_PATTERN
-from ledgerlark.operators import extract
+from ledgerlark.operators import extract, features
 from ledgerlark.plans import adapters, queries_features
 
 
@@ -19,6 +19,12 @@ def test_a_text_is_matched_once(spark):
     assert notes.count("regexp_extract(") == 1
 
 
+def test_a_payload_group_is_parsed_once(spark):
+    df = features.with_payload(spark.createDataFrame([("{}",)], "feature_payload string"))
+    kept = optimised(df.select("p_recent_home", "p_split"))
+    assert kept.count("from_json(") == 3  # the payload and two groups
+
+
 def test_snapshot_payload_is_read_back_in_one_pass(spark):
     assert "get_json_object" not in optimised(queries_features.feature_snapshots(spark, SF))
 
