@@ -386,7 +386,7 @@ def with_draw_rescue(df: DataFrame) -> DataFrame:
     The per-period winner is a ``max(struct)`` aggregate, combined map-side, so
     a period holding most rows costs one row per task on the wire.  Ties on the
     score go to the newest settlement.  Only that axis-sized frame is joined
-    back.  Expects :func:`row_picks`.
+    back, by broadcast, so the picks are not shuffled.  Expects :func:`row_picks`.
     """
     parent = "coverage_value_guarded"
     guarded = _filled_home(parent) & F.col("s_xg") & (F.col("s_xg_gap") < 0.25)
@@ -395,13 +395,15 @@ def with_draw_rescue(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_cand", F.when(F.col("_cand.score") > 0, F.col("_cand")))
     # A filter here would be pushed below the layers and inline all of them, so the
-    # bound is part of the aggregate.
+    # bound leaves through a one-element generator.  A maximum of structs sorts its
+    # input; only rows that can win reach it.
     entry = F.when(F.col("_cand.score") >= 2.0, F.struct("_cand.score", "feedback_id", "match_id"))
     winners = (
-        df.groupBy("period").agg(F.max(entry).alias("_w")).filter("_w is not null")
-        .select("period", F.col("_w.match_id").alias("_winner"))
+        df.select("period", F.explode(F.array(entry)).alias("_e")).filter("_e is not null")
+        .groupBy("period").agg(F.max("_e").alias("_w")).select("period", F.col("_w.match_id").alias("_winner"))
     )
-    df = df.join(winners, "period", "left")
+    # One row per period: a plain join would shuffle all picks by period before its size is known.
+    df = df.join(F.broadcast(winners), "period", "left")
     cand = F.col("_cand")
     late_draw = (
         (cand["outcome"] == "draw") & (cand["score"] >= 0.5)

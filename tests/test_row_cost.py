@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 
 from ledgerlark.fixed_values import RECORD_PATTERN
 from ledgerlark.operators import extract, features
-from ledgerlark.plans import adapters, queries_features
+from ledgerlark.plans import adapters, queries_backtest, queries_features
 
 
 def optimised(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_text_is_matched_once(spark):
     df = spark.createDataFrame([("x",)], "t string")
     assert optimised(extract.with_captures(df, {"g": ("t", RECORD_PATTERN, 9)})).count("regexp_extract(") == 1
@@ -29,6 +33,11 @@ def test_snapshot_payload_is_read_back_in_one_pass(spark):
     assert "get_json_object" not in optimised(queries_features.feature_snapshots(spark, SF))
 
 
+def test_picks_are_not_shuffled_by_period(spark):
+    plan = physical(queries_backtest.strategy_picks(spark, SF))
+    assert plan.count("Exchange hashpartitioning(period") == 1  # the winners' own aggregate
+
+
 def test_method_limit_is_set_unless_the_session_names_one(spark):
     key = "spark.sql.codegen.hugeMethodLimit"
     before = spark.conf.get(key)
