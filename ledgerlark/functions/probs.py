@@ -93,17 +93,26 @@ def log_loss(probs: Triple, actual: Column) -> Column:
     return -F.log(F.greatest(chosen, F.lit(EPSILON)))
 
 
-def calibrate(probs: Triple, temperature: Column, biases: Triple) -> Triple:
-    """Temperature and bias softmax over floored, normalised probabilities."""
-    raw = normalise(probs, EPSILON)
+def log_scores(probs: Triple) -> Triple:
+    """Logarithms of the floored, normalised probabilities."""
+    return {o: F.log(F.greatest(v, F.lit(EPSILON))) for o, v in normalise(probs, EPSILON).items()}
+
+
+def soften(logs: Triple, temperature: Column, biases: Triple) -> Triple:
+    """Temperature and bias softmax over ``log_scores``."""
     t = F.greatest(temperature, F.lit(0.35))
-    scores = {o: (F.log(F.greatest(raw[o], F.lit(EPSILON))) + biases[o]) / t for o in OUTCOMES}
+    scores = {o: (logs[o] + biases[o]) / t for o in OUTCOMES}
     top = F.greatest(*scores.values())
     exps = {o: F.exp(s - top) for o, s in scores.items()}
     s = total(exps)
     return {o: e / s for o, e in exps.items()}
 
 
+def calibrate(probs: Triple, temperature: Column, biases: Triple) -> Triple:
+    """Temperature and bias softmax over floored, normalised probabilities."""
+    return soften(log_scores(probs), temperature, biases)
+
+
 def poisson(rate: Column, goals: int) -> Column:
     factorial = 1
     for i in range(2, goals + 1):

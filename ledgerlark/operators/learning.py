@@ -31,30 +31,38 @@ def period_axis(df: DataFrame, last: int | None = None) -> DataFrame:
 
 
 def learning_window(df: DataFrame, last: int | None = None) -> DataFrame:
-    """Rows of all periods, or of the last ``last`` ones, with period_rank and the latest-period hold-out flag."""
+    """Rows of all periods, or of the last ``last`` ones, with period_rank and the latest-period hold-out flag.
+
+    The axis has one row per period and is broadcast: a plain join shuffles all rows by period before its size is known.
+    """
     axis = period_axis(df, last)
     top = Window.partitionBy()
     axis = axis.withColumn("is_validation", (F.col("period_rank") == F.max("period_rank").over(top)) & (F.max("period_rank").over(top) > 1))
-    return df.join(axis, "period")
+    return df.join(F.broadcast(axis), "period")
 
 
 # --- calibration ---------------------------------------------------------------
 
 
-def calibration_grid(rows: DataFrame) -> DataFrame:
-    """Log loss, Brier and hit rate of every (bias scale, temperature) on both splits.
-
-    The class means are one row; the grid is 30 constants exploded in front of
-    a partial aggregate.
-    """
+def class_stats(rows: DataFrame):
+    """Train rows in all and per result, and the mean probabilities of the classes: one row, one pass."""
     raw = probs.normalise(probs.triple("final"), V.EPSILON)
-    train = ~F.col("is_validation")
-    # One pass gives the class means; they come back as a single row.
-    stats = rows.filter(train).agg(
+    actual = F.col("actual_result")
+    return rows.filter(~F.col("is_validation")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(raw[o]).alias(f"p_{o}") for o in V.OUTCOMES],
-        *[F.avg((F.col("actual_result") == o).cast("int")).alias(f"e_{o}") for o in V.OUTCOMES],
+        *[F.avg((actual == o).cast("int")).alias(f"e_{o}") for o in V.OUTCOMES],
+        *[F.count_if(actual == o).alias(o) for o in V.OUTCOMES],
     ).first()
+
+
+def calibration_grid(rows: DataFrame, stats=None) -> DataFrame:
+    """Log loss, Brier and hit rate of every (bias scale, temperature) on both splits.
+
+    The class means are one row (``stats``, as ``class_stats`` returns it); the grid is 30 constants exploded in front of
+    a partial aggregate.  Logarithms are taken once per row, in front of the explode.
+    """
+    stats = stats or class_stats(rows)
     base = {
         o: math.log(max(stats[f"e_{o}"] or 0.0, V.EPSILON) / max(stats[f"p_{o}"] or 0.0, V.EPSILON)) for o in V.OUTCOMES
     }
@@ -66,8 +74,9 @@ def calibration_grid(rows: DataFrame) -> DataFrame:
         )
         for i, (scale, temperature) in enumerate(product(V.BIAS_SCALES, V.TEMPERATURES))
     ])
-    exploded = rows.select("is_validation", "actual_result", *[f"final_{o}_prob" for o in V.OUTCOMES], F.explode(grid).alias("g"))
-    p = probs.calibrate(probs.triple("final"), F.col("g.temperature"), {o: F.col(f"g.b_{o}") for o in V.OUTCOMES})
+    logs = probs.log_scores(probs.triple("final"))
+    exploded = rows.select("is_validation", "actual_result", *[c.alias(f"_l_{o}") for o, c in logs.items()]).select("*", F.explode(grid).alias("g"))
+    p = probs.soften({o: F.col(f"_l_{o}") for o in V.OUTCOMES}, F.col("g.temperature"), {o: F.col(f"g.b_{o}") for o in V.OUTCOMES})
     scored = exploded.select("is_validation", "actual_result", "g.grid_id", "g.bias_scale", "g.temperature", *[p[o].alias(o) for o in V.OUTCOMES])
     q = {o: F.col(o) for o in V.OUTCOMES}
     actual = F.col("actual_result")
@@ -87,10 +96,8 @@ def calibration_grid(rows: DataFrame) -> DataFrame:
 
 def fit_calibrator(rows: DataFrame) -> DataFrame:
     """Best grid point on train, accepted only if validation improves; one row with its status."""
-    grid = calibration_grid(rows)
-    classes = rows.filter(~F.col("is_validation")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("actual_result") == o).alias(o) for o in V.OUTCOMES]
-    ).first()
+    classes = class_stats(rows)
+    grid = calibration_grid(rows, classes)
     enough = classes["n"] >= V.CALIBRATION_MIN_ROWS and min(classes[o] for o in V.OUTCOMES) >= V.CALIBRATION_MIN_CLASS_ROWS
     # Grid point 2 is (scale 0, temperature 1): the uncalibrated baseline.
     baseline = V.TEMPERATURES.index(1.0)
@@ -242,12 +249,13 @@ def handicap_sides(rows: DataFrame) -> DataFrame:
 
 
 def handicap_rules(rows: DataFrame) -> DataFrame:
-    """Train and validation metrics of all 9,720 handicap rules that act at least once."""
+    """Train and validation metrics of all 9,720 handicap rules that act at least once.
+
+    Rows without a side are cells of side 0, which no rule reads: the samples of a split are the sum over all cells.
+    """
     g = V.HANDICAP_GRID
     val = F.col("is_validation")
-    df = handicap_sides(rows)
-    totals = df.agg(F.count_if(~val).alias("t"), F.count_if(val).alias("v")).first()
-    indexed = df.filter(F.col("_side").isin(*V.SIDES)).select(
+    indexed = handicap_sides(rows).select(
         "is_validation", "_side", "_action", "_hit", "_roi",
         threshold_index(F.col("_ev"), g["ev_min"]).alias("ev_min"),
         threshold_index(num("handicap_confidence"), g["confidence_min"]).alias("confidence_min"),
@@ -256,7 +264,7 @@ def handicap_rules(rows: DataFrame) -> DataFrame:
         threshold_index(num("quality_score"), g["quality_min"]).alias("quality_min"),
         _cap_index(F.col("_odds"), g["odds_max"]).alias("odds_max"),
     )
-    side = F.when(F.col("_side") == "home", 1).otherwise(2)
+    side = F.when(F.col("_side") == "home", 1).when(F.col("_side") == "away", 2).otherwise(0)
     base = F.when(F.col("_action") == "main", 2).when(F.col("_action") == "light", 1).otherwise(0)
     facts = lambda flag: [
         F.count_if(flag).alias("_n"), F.sum(F.when(flag, F.col("_hit")).otherwise(0)), F.sum(F.when(flag, F.col("_roi")).otherwise(0.0))
@@ -267,15 +275,18 @@ def handicap_rules(rows: DataFrame) -> DataFrame:
         sums += [n.alias(f"{split}_actions"), h.alias(f"{split}_hits"), r.alias(f"{split}_roi")]
     names = [f"{s}_{c}" for s in ("train", "validation") for c in ("actions", "hits", "roi")]
     cells = indexed.withColumns({"sides": side, "base_actions": base}).groupBy(*H_ORDER).agg(*sums)
-    cube = _expand(cells, [], [
+    everything = Window.partitionBy()
+    samples = {f"_{s}_samples": F.sum(f"{s}_actions").over(everything) for s in ("train", "validation")}
+    cells = cells.withColumns(samples).filter(F.col("sides") > 0)
+    cube = _expand(cells, list(samples), [
         {"ev_min": _reach("ev_min"), "confidence_min": _reach("confidence_min"), "odds_max": _reach_caps("odds_max", 3)},
         {"cover_prob_min": _reach("cover_prob_min"), "cover_margin_min": _reach("cover_margin_min"), "quality_min": _reach("quality_min")},
         {"sides": F.array(F.lit(0), F.col("sides")), "base_actions": F.sequence(F.lit(0), F.col("base_actions"))},
     ], names)
     sizes = [len(g[k]) for k in H_ORDER]
     return cube.withColumn("rule_id", _rule_id(list(H_ORDER), sizes)).withColumns(
-        {**grid_metrics(cube, "train", F.lit(totals["t"])), **grid_metrics(cube, "validation", F.lit(totals["v"]))}
-    )
+        {**grid_metrics(cube, "train", F.col("_train_samples")), **grid_metrics(cube, "validation", F.col("_validation_samples"))}
+    ).drop(*samples)
 
 
 def fit_handicap_rules(rows: DataFrame) -> DataFrame:

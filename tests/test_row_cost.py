@@ -4,8 +4,9 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from ledgerlark.fixed_values import RECORD_PATTERN
+from ledgerlark.functions import labels
 from ledgerlark.operators import extract, features
-from ledgerlark.plans import adapters, queries_backtest, queries_features
+from ledgerlark.plans import adapters, queries_backtest, queries_features, queries_learning
 
 
 def optimised(df):
@@ -48,3 +49,16 @@ def test_method_limit_is_set_unless_the_session_names_one(spark):
             assert spark.conf.get(key) == expected
     finally:
         spark.conf.set(key, before)
+
+
+def test_learning_rows_are_not_shuffled_by_period(spark):
+    plan = physical(queries_learning.rows(spark, SF).select("match_id", "period_rank"))
+    assert plan.count("Exchange hashpartitioning(period") == 1  # the axis' own distinct
+
+
+def test_listed_labels_are_not_lower_cased_first(spark):
+    said = ("main", "轻仓", "", "  Watch now", "TOP", "Else", None)
+    df = spark.createDataFrame([(s,) for s in said], "s string").select(labels.action_label("s").alias("a"))
+    assert [r.a for r in df.collect()] == ["main", "light", "watch", "watch", "main", "else", "watch"]
+    shown = optimised(df)
+    assert shown.index("lower(") > shown.index(" IN (")
