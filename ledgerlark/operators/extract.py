@@ -136,23 +136,34 @@ def handicap_quotes(array: str) -> dict[str, Column]:
     }
 
 
+#: What an amount is multiplied by, per unit; any other unit counts as millions.
+_UNITS = {1.0: ("", "m", "mil", "million"), 1000.0: ("bn", "b", "billion"), 0.001: ("k", "th", "thousand")}
+
+
 def _scaled(amount: Column, unit: Column) -> Column:
-    number = F.regexp_replace(amount, ",", ".").try_cast("double")
-    u = F.lower(unit)
-    factor = F.when(u.isin("bn", "b", "billion"), 1000.0).when(u.isin("k", "th", "thousand"), 0.001).otherwise(1.0)
-    return number * factor
+    def known(u: Column, rest: Column) -> Column:
+        chain = F
+        for factor, words in _UNITS.items():
+            chain = chain.when(u.isin(*words), factor)
+        return chain.otherwise(rest)
+
+    # A unit in lower case is known as it stands; lower-casing costs far more than the comparisons.
+    return F.replace(amount, F.lit(","), F.lit(".")).try_cast("double") * known(unit, known(F.lower(unit), F.lit(1.0)))
 
 
 def team_values(summary: Column | str) -> Column:
-    """EUR millions of the first two lines that quote an amount."""
-    def line_value(line: Column) -> Column:
-        before = F.regexp_extract(line, V.EUR_AMOUNT_PATTERN, 1)
-        after = F.regexp_extract(line, V.AMOUNT_EUR_PATTERN, 1)
-        first = _scaled(before, F.regexp_extract(line, V.EUR_AMOUNT_PATTERN, 2))
-        second = _scaled(after, F.regexp_extract(line, V.AMOUNT_EUR_PATTERN, 2))
-        return F.coalesce(F.when(before != "", first).when(after != "", second), F.lit(0.0))
-
-    values = F.transform(F.split(text(summary), r"\r?\n"), line_value)
+    """EUR millions of the first two lines that quote an amount.
+
+    A line is matched once per pattern; amount and unit are read from the short match.  What a lambda uses twice is an
+    element of the array before it: lambdas are interpreted, and nothing in them is evaluated only once.
+    """
+    quotes = F.transform(F.split(text(summary), r"\r?\n"), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, V.EUR_AMOUNT_PATTERN, 0).alias("before")))
+    quotes = F.transform(quotes, lambda q: F.struct(
+        q["before"].alias("before"), F.when(q["before"] != "", "").otherwise(F.regexp_extract(q["line"], V.AMOUNT_EUR_PATTERN, 0)).alias("after"),
+    ))
+    part = lambda q, i: F.when(q["before"] != "", F.regexp_extract(q["before"], V.EUR_AMOUNT_PATTERN, i)).otherwise(F.regexp_extract(q["after"], V.AMOUNT_EUR_PATTERN, i))
+    found = F.transform(F.filter(quotes, lambda q: (q["before"] != "") | (q["after"] != "")), lambda q: F.struct(part(q, 1).alias("amount"), part(q, 2).alias("unit")))
+    values = F.transform(found, lambda f: F.coalesce(_scaled(f["amount"], f["unit"]), F.lit(0.0)))
     return F.slice(F.filter(values, lambda v: v > 0), 1, 2)
 
 
@@ -169,12 +180,12 @@ def team_value_metrics(array: str) -> dict[str, Column]:
 
 def _after_label(lines: Column, label: str) -> Column:
     hits = F.filter(lines, lambda x: x.startswith(label))
-    return F.coalesce(F.regexp_replace(F.try_element_at(hits, F.lit(-1)), "^" + label, ""), F.lit(""))
+    return F.coalesce(F.substring(F.try_element_at(hits, F.lit(-1)), len(label) + 1, 2**31 - 1), F.lit(""))
 
 
 def _items(value: Column, pattern: str, placeholder: str) -> Column:
     parts = F.filter(F.transform(F.split(value, pattern), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.contains(value, F.lit(placeholder)), F.array().cast("array<string>")).otherwise(parts)
+    return F.when((value == "") | F.contains(value, F.lit(placeholder)), F.array().cast("array<string>")).otherwise(parts)
 
 
 _INJURIES = r"主队(.*?)(?:；|;)\s*客队(.*)"

@@ -62,3 +62,11 @@ def test_listed_labels_are_not_lower_cased_first(spark):
     assert [r.a for r in df.collect()] == ["main", "light", "watch", "watch", "main", "else", "watch"]
     shown = optimised(df)
     assert shown.index("lower(") > shown.index(" IN (")
+
+
+def test_a_value_line_is_matched_once_per_pattern(spark):
+    said = ["EUR 1,5 BN\nx 20 Mil €", "€3\r\nx 4k EUR", "EUR 0\n7 K € EUR 9m\n5 Th EUR", "", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", extract.team_values("s").alias("v"))
+    assert [r.v for r in df.orderBy("i").collect()] == [[1500.0, 20.0], [3.0, 0.004], [9.0, 0.005], [], []]
+    shown = optimised(df)
+    assert shown.count("regexp_extract(") == 6 and "regexp_replace(" not in shown  # two on the line, four on the short match
