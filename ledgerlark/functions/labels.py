@@ -13,22 +13,16 @@ def action_label(value: Column | str) -> Column:
     """Canonical action: first word, case-insensitive, aliases resolved, blank = watch.
 
     Set membership instead of a map or regex: this sits in the hottest
-    projections and is referenced several times per row.  A word that is spelled
-    as listed is known as it stands; only others are lower-cased, which costs far
-    more than the comparisons.
+    projections and is referenced several times per row.
     """
-    word = F.substring_index(F.trim(text(value)), " ", 1)
+    word = F.lower(F.substring_index(F.trim(text(value)), " ", 1))
     spelled = {a: [w for w, canon in ACTION_ALIASES.items() if canon == a] for a in ACTIONS}
-    spelled["watch"].insert(0, "")
-
-    def known(w: Column, rest: Column) -> Column:
-        chain = F
-        for action in ACTIONS:
-            chain = chain.when(w.isin(*spelled[action]), action)
-        return chain.otherwise(rest)
-
-    lowered = F.lower(word)
-    return known(word, known(lowered, lowered))
+    return (
+        F.when(word.isin("", *spelled["watch"]), "watch")
+        .when(word.isin(*spelled["light"]), "light")
+        .when(word.isin(*spelled["main"]), "main")
+        .otherwise(word)
+    )
 
 
 def action_level(action: Column) -> Column:
