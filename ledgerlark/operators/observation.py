@@ -202,12 +202,30 @@ def _delta_rows(picks: DataFrame, layers) -> DataFrame:
     )
 
 
+def _delta_cells(picks: DataFrame, layers) -> DataFrame:
+    """Production actions x layers with the layer's verdict; one row per pair of a cell of like fixtures and a layer.
+
+    The cells are those of ``stability.variant_periods`` over the row-local
+    strategies, so a query that asks for both scores its fixtures once.
+    """
+    variants = strategies.ROW_LOCAL + tuple(v for v in layers if v not in strategies.ROW_LOCAL)
+    place = {v: i + 1 for i, v in enumerate(variants)}
+    drops = lambda at: f"substring(verdicts, {at}, 1) = '{strategies.NO_ACTION}'"
+    # Whether production acted leaves through the generator: a filter on a cell's key would be pushed into the layers.
+    entries = ", ".join(f"struct('{v}' AS layer, {place[v]} AS place, NOT {drops(place[PRODUCTION])} AS keep)" for v in layers)
+    cells = strategies.verdict_cells(picks, ["period"], variants).selectExpr("*", f"explode(array({entries})) AS e")
+    return cells.filter("e.keep").selectExpr(
+        "period", "n", *strategies.cell_facts(str(place[PRODUCTION]), {PRODUCTION: "true"}),
+        "e.layer AS layer", f"{drops('e.place')} AS dropped",
+    )
+
+
 def deltas(picks: DataFrame, layers=DELTA_LAYERS) -> DataFrame:
     """What each observation layer would filter out of production."""
     d = F.col("dropped")
-    per_period = _delta_rows(picks, layers).groupBy("layer", "period").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"),
-        F.sum(d.cast("int")).alias("f"), F.sum(F.when(d, F.col("hit")).otherwise(0)).alias("fh"),
+    per_period = _delta_cells(picks, layers).groupBy("layer", "period").agg(
+        F.sum("n").alias("n"), F.sum("hit").alias("hits"),
+        F.sum(F.when(d, F.col("n")).otherwise(0)).alias("f"), F.sum(F.when(d, F.col("hit")).otherwise(0)).alias("fh"),
         F.sum(F.when(d, F.col("roi")).otherwise(0.0)).alias("f_roi"),
         F.sum(F.when(d, F.col("stake_units")).otherwise(0.0)).alias("f_stake"),
     )
@@ -267,9 +285,9 @@ def transition(picks: DataFrame, source: str, target: str) -> DataFrame:
 def period_thirds(picks: DataFrame, layers=("rescue", "broad")) -> DataFrame:
     """Early, middle and recent thirds: production next to each observation layer."""
     d = F.col("dropped")
-    per_period = _delta_rows(picks, layers).groupBy("layer", "period").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"),
-        F.sum(d.cast("int")).alias("f"), F.sum(F.when(d, F.col("hit")).otherwise(0)).alias("fh"),
+    per_period = _delta_cells(picks, layers).groupBy("layer", "period").agg(
+        F.sum("n").alias("n"), F.sum("hit").alias("hits"),
+        F.sum(F.when(d, F.col("n")).otherwise(0)).alias("f"), F.sum(F.when(d, F.col("hit")).otherwise(0)).alias("fh"),
     )
     axis = picks.select("period").distinct()
     empty = axis.select(F.explode(F.array(*[F.lit(v) for v in layers])).alias("variant"), "period")

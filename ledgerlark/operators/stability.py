@@ -20,9 +20,9 @@ ADDITIVE = ("samples", "actions", "hits", "roi", "stake")
 
 def variant_periods(picks: DataFrame, variants=None) -> DataFrame:
     """Additive facts per (variant, period), periods without actions included."""
-    rows = strategies.variant_rows(picks, ["period"], variants)
-    return rows.groupBy("variant", "period").agg(
-        F.count(F.lit(1)).alias("samples"),
+    cells = strategies.variant_cells(picks, ["period"], variants)
+    return cells.groupBy("variant", "period").agg(
+        F.sum("n").alias("samples"),
         F.sum("acted").alias("actions"),
         F.sum("hit").alias("hits"),
         F.sum("roi").alias("roi"),

@@ -3,7 +3,10 @@
 A pick is struct<outcome, tier, reason, stake>.  A strategy is its parent's
 pick plus vetoes (turn a pick into watch) and fills (turn watch into a pick).
 Every layer is its own projection that refers to the previous one by name, so
-expressions stay small although the layers nest twelve deep.
+expressions stay small although the layers nest twelve deep.  The layers carry a
+pick as one column per field, words as numbers: rows are copied from layer to
+layer, and fields that neither a later layer nor the report reads are left out.
+The structs are put together behind the last layer.
 
 ``register_strategy`` is the extension point: a function from the pick columns
 to a pick struct, visible to Catalyst, no UDF.
@@ -12,6 +15,8 @@ to a pick struct, visible to Catalyst, no UDF.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +42,28 @@ def register_strategy(name: str, pick: Callable[[], Column]) -> None:
     _EXTENSIONS[name] = pick
 
 
+Pick = dict[str, Column]
+FIELDS = ("outcome", "tier", "reason", "stake")
+_WORDS: dict[str, int] = {w: i for i, w in enumerate(("", *OUTCOMES, "watch", "standard", "core"))}
+
+
+def code(word: str | Column) -> Column:
+    """Number of a word of the picks, or of an outcome held in a column (null stays null, any other text is -1)."""
+    if isinstance(word, str):
+        return F.lit(_WORDS.setdefault(word, len(_WORDS)))
+    chain = F
+    for outcome in OUTCOMES:
+        chain = chain.when(word == outcome, _WORDS[outcome])
+    return chain.when(word.isNotNull(), -1)
+
+
+def pick_codes(outcome: str | Column, tier: str, reason: str | Column, stake=1.0) -> Pick:
+    """A pick of the layers; a reason given as a column is a code."""
+    stake = stake if isinstance(stake, Column) else F.lit(stake)
+    reason = code(reason) if isinstance(reason, str) else reason
+    return dict(zip(FIELDS, (code(outcome), code(tier), reason, stake.cast("double")), strict=True))
+
+
 def make_pick(outcome, tier: str, reason, stake=1.0) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
@@ -47,8 +74,8 @@ def make_pick(outcome, tier: str, reason, stake=1.0) -> Column:
     )
 
 
-def watch(reason) -> Column:
-    return make_pick("", "watch", reason, 0.0)
+def watch(reason: str | Column) -> Pick:
+    return pick_codes("", "watch", reason, 0.0)
 
 
 def picked(name: str) -> Column:
@@ -59,8 +86,50 @@ def part(name: str, field: str) -> Column:
     return picked(name)[field]
 
 
+def held_name(name: str, field: str) -> str:
+    return f"{PREFIX}{name}__{field}"
+
+
+def held(name: str, field: str) -> Column:
+    """A field of a strategy's pick as the layers carry it."""
+    return F.col(held_name(name, field))
+
+
+def _kept(name: str) -> Pick:
+    return {f: held(name, f) for f in FIELDS}
+
+
+def choose(branches: list[tuple[Column, Pick]], rest: Pick) -> Pick:
+    """The pick of the first branch that holds, field by field."""
+    chosen = {}
+    for field in FIELDS:
+        chain = F
+        for condition, pick in branches:
+            chain = chain.when(condition, pick[field])
+        chosen[field] = chain.otherwise(rest[field])
+    return chosen
+
+
+def with_picks(df: DataFrame, picks: dict[str, Pick]) -> DataFrame:
+    return df.withColumns({held_name(name, f): c for name, pick in picks.items() for f, c in pick.items()})
+
+
+def with_structs(df: DataFrame, names) -> DataFrame:
+    """Adds the struct ``pick_<strategy>`` to the columns the layers carry."""
+    words = ", ".join(f"'{w}'" for w in _WORDS)
+    text_of = lambda name, f: f"element_at(array({words}), {held_name(name, f)} + 1)"
+    struct = lambda name: ", ".join(f"'{f}', {text_of(name, f)}" for f in FIELDS[:3])
+    return df.withColumns({
+        PREFIX + name: F.expr(f"named_struct({struct(name)}, 'stake', {held_name(name, 'stake')})") for name in names
+    })
+
+
 def odds_of(name: str) -> Column:
-    return probs.pick(probs.market_odds(), part(name, "outcome"))
+    odds = probs.market_odds()
+    chain = F
+    for outcome in OUTCOMES:
+        chain = chain.when(held(name, "outcome") == code(outcome), odds[outcome])
+    return chain.otherwise(0.0)
 
 
 def signals(df: DataFrame) -> DataFrame:
@@ -87,7 +156,7 @@ def signals(df: DataFrame) -> DataFrame:
     )
 
 
-def _base() -> Column:
+def _base() -> Pick:
     conf, direction = num("confidence_score"), F.col("s_direction")
     away_unconfirmed = (F.col("s_outcome") == "away") & ((direction != "away") | (F.col("s_gf_gap") > -0.6))
     keep = (
@@ -105,31 +174,29 @@ def _base() -> Column:
         (F.col("s_market_top") == "away") & (F.col("s_market_margin") >= 0.10) & (conf <= 0.88)
         & (num("market_away_prob") >= 0.52)
     )
-    return (
-        F.when(keep, make_pick(F.col("s_outcome"), "core", "existing", F.col("s_stake")))
-        .when(legacy_away, make_pick("away", "standard", "R1_legacy_away"))
-        .when(market_home, make_pick("home", "standard", "R2_market_home"))
-        .when(market_away, make_pick("away", "core", "R3_market_away"))
-        .when((direction == "draw") & (conf <= 0.82), make_pick("draw", "core", "R4_score_draw"))
-        .otherwise(watch("watch"))
+    return choose(
+        [
+            (keep, pick_codes(F.col("s_outcome"), "core", "existing", F.col("s_stake"))),
+            (legacy_away, pick_codes("away", "standard", "R1_legacy_away")),
+            (market_home, pick_codes("home", "standard", "R2_market_home")),
+            (market_away, pick_codes("away", "core", "R3_market_away")),
+            ((direction == "draw") & (conf <= 0.82), pick_codes("draw", "core", "R4_score_draw")),
+        ],
+        watch("watch"),
     )
 
 
-def _veto(parent: str, *guards: tuple[Column, str]) -> Column:
+def _veto(parent: str, *guards: tuple[Column, str]) -> Pick:
     """First guard that fires turns the parent's pick into watch."""
-    chain = None
-    for condition, reason in guards:
-        step = watch(reason)
-        chain = F.when(condition, step) if chain is None else chain.when(condition, step)
-    return chain.otherwise(picked(parent))
+    return choose([(condition, watch(reason)) for condition, reason in guards], _kept(parent))
 
 
 def _is(parent: str, outcome: str | None = None, reason: str | None = None) -> Column:
-    test = part(parent, "outcome") != ""
+    test = held(parent, "outcome") != code("")
     if outcome is not None:
-        test = part(parent, "outcome") == outcome
+        test = held(parent, "outcome") == code(outcome)
     if reason is not None:
-        test = test & (part(parent, "reason") == reason)
+        test = test & (held(parent, "reason") == code(reason))
     return test
 
 
@@ -147,15 +214,12 @@ def _midlow_home(parent: str) -> Column:
     )
 
 
-def _fill(parent: str, dropped: Column | None, fills: list[tuple[Column, Column]], rest: str) -> Column:
+def _fill(parent: str, dropped: Column | None, fills: list[tuple[Column, Pick]], rest: str) -> Pick:
     """Keep the parent's pick unless dropped; else the first fill that applies; else watch."""
-    kept = part(parent, "outcome") != ""
+    kept = _is(parent)
     if dropped is not None:
         kept = kept & ~dropped
-    chain = F.when(kept, picked(parent))
-    for condition, result in fills:
-        chain = chain.when(condition, result)
-    return chain.otherwise(watch(rest))
+    return choose([(kept, _kept(parent)), *fills], watch(rest))
 
 
 def _home_in_odds() -> Column:
@@ -166,15 +230,34 @@ def _legacy_thin_home() -> Column:
     return (F.col("s_legacy_top") == "home") & between(F.col("s_legacy_margin"), 0.05, 0.10)
 
 
+#: Reasons of the fills that pick home; the stable score fill follows the score.
+HOME_FILLS = (
+    "fill_market_home_odds_180_220", "fill_legacy_home_margin_05_10", "fill_stable_market_home_odds_180_220",
+    "fill_stable_legacy_home_margin_05_10", "fill_stable_market_home_draw_ge_30", "fill_stable_score_conf80",
+    "fill_refined_market_home_prob50_low_draw", "fill_value_guarded_home_odds_180_220_score_home",
+)
+PRECISE_GUARDS = ("precise_league_guard", "precise_market_draw_pressure_guard", "precise_existing_home_midlow_draw_risk_guard")
+for _word in HOME_FILLS:
+    _WORDS.setdefault(_word, len(_WORDS))
+
+
 def _filled_home(parent: str) -> Column:
-    return _is(parent, "home") & part(parent, "reason").startswith("fill_")
+    return _is(parent, "home") & held(parent, "reason").isin(*[_WORDS[r] for r in HOME_FILLS])
 
 
-def _layers() -> list[tuple[str, Callable[[], Column]]]:
+def _rescued() -> Column:
+    """The reason of a rescue: only a precise guard can have fired."""
+    chain = F
+    for guard in PRECISE_GUARDS:
+        chain = chain.when(held("precise", "reason") == code(guard), code(f"rescue_{guard}"))
+    return chain
+
+
+def _layers() -> list[tuple[str, Callable[[], Pick]]]:
     draw, away, home = num("market_draw_prob"), num("market_away_prob"), num("market_home_prob")
     conf, h2h, direction = num("confidence_score"), num("h2h_edge"), F.col("s_direction")
     absent_gap = num("home_absent_count") - num("away_absent_count")
-    fill = lambda outcome, reason: make_pick(outcome, "standard", reason)
+    fill = lambda outcome, reason: pick_codes(outcome, "standard", reason)
     return [
         ("base", _base),
         ("league_guarded", lambda: _veto("base", (_is("base") & _league_in(GUARDED_LEAGUES), "league_guard"))),
@@ -195,7 +278,7 @@ def _layers() -> list[tuple[str, Callable[[], Column]]]:
         ("deep", lambda: _veto(
             "strict",
             (
-                _is("strict", reason="existing") & (direction != "") & (direction != part("strict", "outcome")),
+                _is("strict", reason="existing") & (direction != "") & (code(direction) != held("strict", "outcome")),
                 "deep_existing_score_conflict_guard",
             ),
         )),
@@ -223,23 +306,21 @@ def _layers() -> list[tuple[str, Callable[[], Column]]]:
         )),
         ("precise", lambda: _veto(
             "steady",
-            (_is("steady") & _league_in(CAUTIOUS_LEAGUES), "precise_league_guard"),
-            (_is("steady") & (draw >= 0.30), "precise_market_draw_pressure_guard"),
-            (_midlow_home("steady"), "precise_existing_home_midlow_draw_risk_guard"),
+            *zip(
+                (_is("steady") & _league_in(CAUTIOUS_LEAGUES), _is("steady") & (draw >= 0.30), _midlow_home("steady")),
+                PRECISE_GUARDS, strict=True,
+            ),
         )),
-        ("rescue", lambda: (
-            F.when(part("precise", "outcome") != "", picked("precise"))
-            .when(part("steady", "outcome") == "", picked("steady"))
-            .when(
-                (draw >= 0.19) & (h2h >= 0.0) & (odds_of("steady") < 3.20),
-                F.struct(
-                    part("steady", "outcome").alias("outcome"),
-                    part("steady", "tier").alias("tier"),
-                    F.concat(F.lit("rescue_"), part("precise", "reason")).alias("reason"),
-                    part("steady", "stake").alias("stake"),
+        ("rescue", lambda: choose(
+            [
+                (_is("precise"), _kept("precise")),
+                (~_is("steady"), _kept("steady")),
+                (
+                    (draw >= 0.19) & (h2h >= 0.0) & (odds_of("steady") < 3.20),
+                    _kept("steady") | {"reason": _rescued()},
                 ),
-            )
-            .otherwise(watch(part("precise", "reason")))
+            ],
+            watch(held("precise", "reason")),
         )),
         ("broad", lambda: _veto(
             "steady",
@@ -251,14 +332,14 @@ def _layers() -> list[tuple[str, Callable[[], Column]]]:
         ("ultra", lambda: _veto(
             "steady",
             (
-                (part("steady", "reason") == "R4_score_draw")
+                (held("steady", "reason") == code("R4_score_draw"))
                 & ((home < 0.39) | (away > home) | (num("legacy_away_prob") >= 0.40)),
                 "ultra_draw_away_pressure_guard",
             ),
             (_midlow_home("steady"), "ultra_existing_home_midlow_draw_risk_guard"),
         )),
         ("clean", lambda: _veto(
-            "steady", (_is("steady") & (F.size(raised_flags()) > 0), "clean_observation_flag_guard"))),
+            "steady", (reduce(or_, _raised().values()), "clean_observation_flag_guard"))),
         ("coverage_push", lambda: _fill(
             "base", None,
             [
@@ -326,20 +407,26 @@ STAGES = (
 FLAG_LAYERS = ("rescue", "broad", "cautious", "ultra")
 
 
+def _raised() -> dict[str, Column]:
+    return {f: _is("steady") & ~_is(f) for f in FLAG_LAYERS}
+
+
 def raised_flags() -> Column:
     """Observation layers that drop the production pick, in fixed order."""
-    raised = [F.when(_is("steady") & (part(f, "outcome") == ""), F.lit(f)) for f in FLAG_LAYERS]
-    return F.array_compact(F.array(*raised))
+    return F.array_compact(F.array(*[F.when(raised, F.lit(f)) for f, raised in _raised().items()]))
 
 
 def row_picks(df: DataFrame, upto: str | None = None) -> DataFrame:
     """Adds ``pick_<strategy>`` for every row-local strategy (or the chain up to one)."""
     df = signals(df)
     layers = dict(_layers())
+    built = []
     for stage in STAGES:
-        df = df.withColumns({PREFIX + name: layers[name]() for name in stage})
+        df = with_picks(df, {name: layers[name]() for name in stage})
+        built += stage
         if upto in stage:
-            return df
+            return with_structs(df, built)
+    df = with_structs(df, built)
     for name, build in _EXTENSIONS.items():
         df = df.withColumn(PREFIX + name, build())
     return df
@@ -409,16 +496,20 @@ def with_draw_rescue(df: DataFrame) -> DataFrame:
         (cand["outcome"] == "draw") & (cand["score"] >= 0.5)
         & (~F.col("s_xg") | (F.col("s_xg_gap") >= 0.5)) & (F.col("s_split_gap") >= 0.0)
     )
-    result = (
-        F.when(F.col("_kept"), picked(parent))
-        .when(
-            cand.isNotNull() & (F.col("match_id") == F.col("_winner")),
-            make_pick(cand["outcome"], "standard", F.concat(F.lit("draw_rescue_"), cand["reason"])),
-        )
-        .when(late_draw, make_pick("draw", "standard", "draw_rescue_xg_split_draw"))
-        .otherwise(watch("coverage_draw_rescue_watch"))
+    ranked = reduce(lambda c, o: c.when(cand["reason"] == f"rank_{o}", code(f"draw_rescue_rank_{o}")), OUTCOMES, F)
+    result = choose(
+        [
+            (F.col("_kept"), _kept(parent)),
+            (
+                cand.isNotNull() & (F.col("match_id") == F.col("_winner")),
+                pick_codes(cand["outcome"], "standard", ranked),
+            ),
+            (late_draw, pick_codes("draw", "standard", "draw_rescue_xg_split_draw")),
+        ],
+        watch("coverage_draw_rescue_watch"),
     )
-    return df.withColumn(PREFIX + "coverage_draw_rescue", result).drop("_kept", "_cand", "_winner")
+    df = with_picks(df, {"coverage_draw_rescue": result}).drop("_kept", "_cand", "_winner")
+    return with_structs(df, ["coverage_draw_rescue"])
 
 
 def all_picks(df: DataFrame) -> DataFrame:
@@ -441,19 +532,59 @@ def settle_pick(pick: Column) -> dict[str, Column]:
     }
 
 
-def variant_rows(df: DataFrame, keys: list[str], variants=None) -> DataFrame:
-    """One row per fixture and strategy, with keys and additive facts.
+NO_ACTION, MISS, HIT, UNJUDGED = "0", "1", "2", "3"
 
-    The explode feeds a partial aggregate in the same stage, so the fan-out
-    never leaves the task.
+
+def verdict_cells(df: DataFrame, keys: list[str], variants=ROW_LOCAL) -> DataFrame:
+    """Fixtures counted (``n``) by key and by what the picks of all ``variants`` came to, with each one's money sums.
+
+    ``verdicts`` has a digit per strategy: no action, a miss, a hit, an action without
+    a stored result.  The picks of a fixture follow from one another, so few combinations
+    occur: one partial aggregate over the fixtures as they are serves every strategy, and
+    a row per fixture and strategy is never made.  The sums are those of
+    :func:`settle_pick`, as SQL text because a call per expression node takes long to plan.
     """
-    variants = list(variants or VARIANT_ROLES)
-    entries = F.array(*[
-        F.struct(F.lit(v).alias("variant"), picked(v).alias("pick")) for v in variants
-    ])
-    needed = [*keys, "actual_result", *[f"market_odds_{o}" for o in OUTCOMES]]
-    rows = df.select(*needed, F.explode(entries).alias("e")).select(*needed, "e.variant", "e.pick")
-    return rows.select(*keys, "variant", "pick", *[c.alias(n) for n, c in settle_pick(F.col("pick")).items()])
+    odds = probs.pick(probs.market_odds(), F.col("actual_result"))
+    gain = F.when(odds > 0, odds - 1.0).otherwise(-1.0)  # a hit has the odds of the result
+    rows = df.withColumns({"_gain": gain, "_result": code(F.col("actual_result"))})
+    verdicts, money = [], {}
+    for name in variants:
+        if name in _EXTENSIONS:
+            outcome, none, result, stake = f"{PREFIX}{name}.outcome", "''", "actual_result", f"{PREFIX}{name}.stake"
+        else:
+            outcome, none, result, stake = held_name(name, "outcome"), "0", "_result", held_name(name, "stake")
+        units, hit = f"{stake} / 100D", f"{outcome} = {result}"
+        verdicts.append(
+            f"CASE WHEN {outcome} <> {none} THEN CASE WHEN {hit} THEN '{HIT}' WHEN {result} IS NULL THEN '{UNJUDGED}'"
+            f" ELSE '{MISS}' END ELSE '{NO_ACTION}' END"
+        )
+        money[f"roi_{name}"] = f"CASE WHEN {outcome} <> {none} THEN {units} * CASE WHEN {hit} THEN _gain ELSE -1D END ELSE 0D END"
+        money[f"stake_units_{name}"] = f"CASE WHEN {outcome} <> {none} THEN {units} ELSE 0D END"
+    return (
+        rows.selectExpr(*keys, f"concat({', '.join(verdicts)}) AS verdicts", *[f"{m} AS {n}" for n, m in money.items()])
+        .groupBy(*keys, "verdicts").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({n})").alias(n) for n in money])
+    )
+
+
+def cell_facts(place: str, variants: dict[str, str]) -> list[str]:
+    """SQL of one strategy's additive facts in a cell: its place among the digits, and the strategies by a test for each."""
+    verdict = f"substring(verdicts, {place}, 1)"
+    of = lambda fact: "CASE " + " ".join(f"WHEN {t} THEN {fact}_{v}" for v, t in variants.items()) + " END"
+    return [
+        f"CASE WHEN {verdict} <> '{NO_ACTION}' THEN n ELSE 0L END AS acted",
+        f"CASE {verdict} WHEN '{HIT}' THEN n WHEN '{UNJUDGED}' THEN NULL ELSE 0L END AS hit",
+        f"{of('roi')} AS roi",
+        f"{of('stake_units')} AS stake_units",
+    ]
+
+
+def variant_cells(df: DataFrame, keys: list[str], variants=None) -> DataFrame:
+    """One row per cell and strategy, with keys, fixtures and additive facts."""
+    variants = tuple(variants or VARIANT_ROLES)
+    names = ", ".join(f"'{v}'" for v in variants)
+    cells = verdict_cells(df, keys, variants).selectExpr("*", f"posexplode(array({names})) AS (place, variant)")
+    # Facts are chosen behind the generator, so those a report does not ask for are not summed at all.
+    return cells.selectExpr(*keys, "variant", "n", *cell_facts("place + 1", {v: f"variant = '{v}'" for v in variants}))
 
 
 def actions_of(

@@ -1,10 +1,11 @@
 """What a row costs: texts are read once, picks are not shuffled, generated methods stay within what the JIT compiles."""
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from ledgerlark.fixed_values import RECORD_PATTERN
-from ledgerlark.operators import extract, features
+from ledgerlark.fixed_values import RECORD_PATTERN, VARIANT_ROLES
+from ledgerlark.operators import extract, features, observation, stability, strategies
 from ledgerlark.plans import adapters, queries_backtest, queries_features, queries_learning
 
 
@@ -61,3 +62,43 @@ def test_a_value_line_is_matched_once_per_pattern(spark):
     assert [r.v for r in df.orderBy("i").collect()] == [[1500.0, 20.0], [3.0, 0.004], [9.0, 0.005], [], []]
     shown = optimised(df)
     assert shown.count("regexp_extract(") == 6 and "regexp_replace(" not in shown  # two on the line, four on the short match
+
+
+def test_fixtures_are_counted_before_they_meet_the_strategies(spark):
+    picks = queries_backtest.row_picks(spark, SF)
+    for df in (stability.variant_periods(picks, strategies.ROW_LOCAL), observation.deltas(picks)):
+        plan = optimised(df)
+        assert plan.rindex("Generate ") < plan.rindex("Aggregate ")  # printed from the top: no generator below the first aggregate
+
+
+def test_readiness_scores_its_fixtures_once(spark):
+    df = queries_backtest.observation_readiness(spark, SF)
+    assert len(df.collect()) == 11
+    final = physical(df).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1 and final.count("Scan parquet") == 2  # orders and customer
+
+
+def test_layers_carry_only_the_fields_a_report_reads(spark):
+    assert "steady_R2_home_draw_pressure_guard" not in optimised(queries_backtest.observation_readiness(spark, SF))
+
+
+def test_cell_facts_are_those_of_the_picks(spark):
+    odd = adapters.wide(spark, SF).withColumns({
+        "actual_result": F.when(F.col("match_id") % 5 == 0, F.lit(None)).when(F.col("match_id") % 7 == 0, "void").otherwise(F.col("actual_result")),
+        "market_odds_home": F.when(F.col("match_id") % 3 == 0, 0.0).when(F.col("match_id") % 4 == 0, F.lit(None)).otherwise(F.col("market_odds_home")),
+    })
+    strategies.register_strategy("own", lambda: strategies.make_pick(F.when(F.col("match_id") % 2 == 0, "other").otherwise("home"), "core", "own", 2.5))
+    try:
+        picks = strategies.all_picks(odd)
+        names = [*VARIANT_ROLES, "own"]
+        facts = [F.struct(F.lit(v).alias("variant"), *[c.alias(n) for n, c in strategies.settle_pick(strategies.picked(v)).items()]) for v in names]
+        rows = picks.select("period", F.explode(F.array(*facts)).alias("e")).select("period", "e.*")
+        plain = rows.groupBy("variant", "period").agg(
+            F.count(F.lit(1)), F.sum("acted"), F.sum("hit"), F.sum("roi"), F.sum("stake_units"))
+        expected = {(r[0], r[1]): r[2:] for r in plain.collect()}
+        found = {(r.variant, r.period): (r.samples, r.actions, r.hits, r.roi, r.stake) for r in stability.variant_periods(picks, names).collect()}
+    finally:
+        del strategies._EXTENSIONS["own"]
+    assert found.keys() == expected.keys()
+    for key, values in found.items():
+        assert values == pytest.approx(tuple(expected[key]), abs=1e-9), key
