@@ -75,7 +75,7 @@ def test_readiness_scores_its_fixtures_once(spark):
     df = queries_backtest.observation_readiness(spark, SF)
     assert len(df.collect()) == 11
     final = physical(df).split("== Initial Plan ==")[0]
-    assert final.count("ReusedExchange") >= 1 and final.count("Scan parquet") == 2  # orders and customer
+    assert final.count("date_format(") == 1  # the period of a fixture, at the foot of the layers
 
 
 def test_layers_carry_only_the_fields_a_report_reads(spark):
