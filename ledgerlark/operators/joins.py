@@ -150,3 +150,20 @@ def scoped(df: DataFrame, ids: DataFrame | None, period: str | None = None) -> D
     if ids is not None:
         return df.join(ids.select("match_id").distinct(), "match_id", "left_semi")
     return df if period is None else df.filter(F.col("period") == period)
+
+
+#: 64-bit words of a sieve, which is broadcast: at most one row a word, whatever the input.
+SIEVE_WORDS = 1 << 20
+
+
+def sieved(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be one of ``keys``: none of those is lost, others pass where all their three bits are set.
+
+    In front of a shuffle by ``key`` that most rows would take in vain; a join behind it settles which rows match.
+    """
+    part = lambda shift, width: F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND(F.lit(width - 1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), part(shift, 64).cast("int")) for shift in (0, 6, 12)]
+    word, mask = part(18, SIEVE_WORDS).alias("_slot"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("_mask")
+    marks = keys.select(word, mask).groupBy("_slot").agg(F.bit_or("_mask").alias("_bits"))
+    met = df.select("*", word, mask).join(F.broadcast(marks), "_slot")
+    return met.where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(*df.columns)

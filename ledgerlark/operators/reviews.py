@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import ACTIONS, OUTCOMES
 from ..functions import labels, policy, probs
 from ..functions.numeric import kelly, num, text
+from .joins import sieved
 
 EXPIRED, SUPERSEDED = "expired at kickoff", "replaced by a newer run"
 
@@ -59,27 +60,58 @@ def decided_stake(action: Column) -> Column:
     return F.when(outcome.isin(*OUTCOMES), pct).otherwise(0.0)
 
 
-def _judged(runs: DataFrame, decisions: DataFrame, matches: DataFrame, asof: Column) -> DataFrame:
-    """Runs with ``_n`` (decisions that name them), ``_word`` (the first with a known action), ``_expired``, ``_top`` and ``_stale``.
+def _asked(decisions: DataFrame) -> DataFrame:
+    """Runs that decisions name, with their number (``_n``) and the first one that has a known action (``_word``)."""
+    known = (F.trim(text("action")) != "") & labels.action_label("action").isin(*ACTIONS)
+    word = F.struct("decision_id", labels.action_label("action").alias("action"), F.trim(text("notes")).alias("notes"))
+    return decisions.where("run_id is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(known, word)).alias("_word"))
+
+
+def _per_match(j: DataFrame, matches: DataFrame, asof: Column, *of_newest: str) -> DataFrame:
+    """Matches with a decision: their newest run (with ``of_newest``), their reviews that wait and are decided about, ``_started``."""
+    waiting = F.col("_n").isNotNull() & F.col("_pending")
+    per = j.where("match_id is not null").groupBy("match_id").agg(
+        F.max(F.struct("run_id", waiting.alias("waiting"), *of_newest)).alias("_newest"), F.count_if(waiting).alias("_waiting"), F.count("_n").alias("_asked")
+    )
+    return per.join(started(matches, asof), "match_id", "left").where("_asked > 0")
+
+
+def _fates() -> dict[str, Column]:
+    """``_top``, ``_expired`` and ``_stale`` of a run from the row of its match; without such a row it is on its own.
 
     A decision looks at its whole match, as it was before all decisions: reviews of a match that has started expire,
     and one for a run that is not the newest supersedes the match's other pending runs.  Everything per match is an
     aggregate that is joined back, so a match with most of the runs is combined before the shuffle.
     """
-    known = (F.trim(text("action")) != "") & labels.action_label("action").isin(*ACTIONS)
-    word = F.struct("decision_id", labels.action_label("action").alias("action"), F.trim(text("notes")).alias("notes"))
-    asked = decisions.where("run_id is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(known, word)).alias("_word"))
-    j = runs.join(asked, "run_id", "left")
-    waiting = F.col("_n").isNotNull() & _pending()
-    per = j.where("match_id is not null").groupBy("match_id").agg(
-        F.max(F.struct("run_id", waiting.alias("waiting"))).alias("_newest"), F.count_if(waiting).alias("_waiting"), F.count("_n").alias("_asked")
-    )
-    per = per.join(started(matches, asof), "match_id", "left").where("_asked > 0")
-    j = j.join(per, "match_id", "left")
     top = F.coalesce(F.col("run_id") == F.col("_newest.run_id"), F.lit(True))
     expired = F.coalesce("_started", F.lit(False))
     stale = ~expired & F.coalesce(F.col("_waiting") > F.col("_newest.waiting").cast("int"), F.lit(False))
-    return j.withColumns({"_top": top, "_expired": expired, "_stale": stale})
+    return {"_top": top, "_expired": expired, "_stale": stale}
+
+
+def _judged(runs: DataFrame, decisions: DataFrame, matches: DataFrame, asof: Column) -> DataFrame:
+    """All runs with ``_n`` and ``_word`` of :func:`_asked` and their :func:`_fates`."""
+    j = runs.withColumn("_pending", _pending()).join(_asked(decisions), "run_id", "left")
+    return j.join(_per_match(j, matches, asof), "match_id", "left").withColumns(_fates())
+
+
+def _judged_waiting(runs: DataFrame, decisions: DataFrame, matches: DataFrame, asof: Column) -> DataFrame:
+    """As :func:`_judged`, but right for pending runs only, with ``_word`` where a run is the newest.
+
+    Other runs stay as they are, so only runs of matches with a pending review meet decisions, by their keys, and only
+    decisions that may name one of those leave their scan.  What is found comes back as one row per match: whole runs
+    are never shuffled by their id, and not at all where they already lie by match.
+    """
+    keys = runs.select("match_id", "run_id", _pending().alias("_pending"))
+    alone = keys.where("match_id is null and _pending")
+    near = keys.join(keys.where("match_id is not null and _pending").select("match_id"), "match_id", "left_semi").unionByName(alone)
+    asked = _asked(sieved(decisions, "run_id", near))
+    per = _per_match(near.join(asked, "run_id", "left"), matches, asof, "_word")
+    word = F.when(F.col("run_id") == F.col("_newest.run_id"), F.col("_newest._word"))
+    of_match = runs.where("match_id is not null").join(per, "match_id", "left").withColumns({**_fates(), "_word": word}).drop(*per.columns[1:])
+    no, yes = F.lit(False), F.lit(True)
+    of_none = runs.where("match_id is null").join(asked, "run_id", "left").withColumns({"_top": yes, "_expired": no, "_stale": no}).drop("_n")
+    return of_match.unionByName(of_none)
 
 
 def resolve_reviews(runs: DataFrame, decisions: DataFrame, matches: DataFrame, asof: Column) -> DataFrame:
@@ -87,9 +119,9 @@ def resolve_reviews(runs: DataFrame, decisions: DataFrame, matches: DataFrame, a
 
     Of several decisions for a run the first with a known action counts.  Only a pending review of the newest run of a
     match that has not started is resolved; its action becomes the effective one, with the stake of the stored risk.
-    Decisions without such a run leave their mark all the same: see :func:`_judged`.
+    Decisions without such a run leave their mark all the same: see :func:`_fates`.
     """
-    j = _judged(runs, decisions, matches, asof)
+    j = _judged_waiting(runs, decisions, matches, asof)
     expired = _pending() & F.col("_expired")
     superseded = _pending() & F.col("_stale") & ~F.col("_top")
     resolved = _pending() & ~F.col("_expired") & F.col("_top") & F.col("_word").isNotNull()
